@@ -55,6 +55,7 @@ SCORE_COLUMNS = [
     "spend_90d",
 ]
 OPTIONAL_COLUMNS = ["risk_decile", "priority_band"]
+REPORT_SCHEMA = "class string, precision double, recall double, f1_score double, support long"
 
 
 def training_frame(rfm: DataFrame, segments: DataFrame, features: DataFrame) -> DataFrame:
@@ -332,8 +333,20 @@ def churn_scores(df: DataFrame) -> DataFrame:
 
 
 def score_churn(train_all: DataFrame) -> tuple[DataFrame, float, DataFrame]:
-    """Fit on a stratified 80 %, and return all people scored, the hold-out AUC and its report."""
-    train, held_out = stratified_split(train_all)
-    model = fit_churn(train)
-    checked = score_customers(model, held_out)
-    return score_customers(model, train_all), roc_auc(checked), classification_report(checked)
+    """Fit on a stratified 80 %, and return all people scored, the hold-out AUC and its report.
+
+    The frame is kept in memory or on disk only while the split, the fit and the
+    evaluation read it over and over.
+    """
+    frame = train_all.persist()
+    try:
+        train, held_out = stratified_split(frame)
+        model = fit_churn(train)
+        checked = score_customers(model, held_out)
+        auc = roc_auc(checked)
+        report = train_all.sparkSession.createDataFrame(
+            classification_report(checked).collect(), REPORT_SCHEMA
+        )
+    finally:
+        frame.unpersist()
+    return score_customers(model, train_all), auc, report

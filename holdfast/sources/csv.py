@@ -12,6 +12,7 @@ from holdfast.sources.contracts import FREE_TEXT, RAW, schema_of
 def read_csv(spark: SparkSession, table: str, path: str | list[str]) -> DataFrame:
     """A headered CSV file, or directory of files, as the named raw table.
 
+    Columns go by position, as in the contract, whatever the header calls them.
     Quotes are escaped by doubling.  Only tables with free text are read with
     line breaks inside quotes, because Spark cannot split such files.  A value that does
     not fit its type is an error rather than a silent NULL.
@@ -21,7 +22,6 @@ def read_csv(spark: SparkSession, table: str, path: str | list[str]) -> DataFram
         .option("header", True)
         .option("escape", '"')
         .option("mode", "FAILFAST")
-        .option("enforceSchema", False)
     )
     if table in FREE_TEXT:
         reader = reader.option("multiLine", True)
