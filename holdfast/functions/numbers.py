@@ -14,23 +14,46 @@ SCORE = "decimal(5,2)"
 RATE = "decimal(10,4)"
 
 
-def mean_of(total: Column, n: Column, as_type: str) -> Column:
+def cents(value: Column) -> Column:
+    """A money amount as whole cents.
+
+    Sums of cents are exact and run on plain longs; sums of decimal(12,2) would
+    carry 22-digit decimals through every aggregation buffer.
+    """
+    return (value.cast(MONEY) * 100).cast("long")
+
+
+def from_cents(total: Column, as_type: str) -> Column:
+    return (total.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast(as_type)
+
+
+def money_sum(value: Column, as_type: str) -> Column:
+    """Aggregate: exact sum of a money column."""
+    return from_cents(F.sum(cents(value)), as_type)
+
+
+def money_mean(value: Column, as_type: str) -> Column:
+    """Aggregate: mean of the non-NULL amounts of a money column, rounded once."""
+    return mean_of(F.sum(cents(value)), F.count(value), as_type, hundredths=True)
+
+
+def whole_mean(value: Column, as_type: str) -> Column:
+    """Aggregate: mean of the non-NULL values of a whole-number column, rounded once."""
+    return mean_of(F.sum(value), F.count(value), as_type)
+
+
+def mean_of(total: Column, n: Column, as_type: str, hundredths: bool = False) -> Column:
     """``total / n`` to the hundredth, rounded half away from zero exactly once.
 
     Spark's own decimal average keeps 4 extra digits, which is a second rounding
     and can be a cent off for large groups.  This divides whole hundredths, so it
-    holds for any group size.  ``total`` has at most two decimals; NULL if ``n`` is 0.
+    holds for any group size.  ``total`` has at most two decimals, or is in
+    hundredths already.  NULL if ``n`` is 0.
     """
     n = F.nullif(n, F.lit(0)).cast("decimal(20,0)")
-    hundredths = (F.abs(total) * 100).cast("decimal(38,0)")
-    rounded = F.call_function("div", hundredths * 2 + n, n * 2).cast("decimal(20,0)")
-    sign = F.when(total < 0, F.lit(-1)).otherwise(F.lit(1))
-    return (rounded * sign * F.lit(Decimal("0.01"))).cast(as_type)
-
-
-def exact_mean(value: Column, as_type: str) -> Column:
-    """Aggregate: the mean of the non-NULL values, rounded once."""
-    return mean_of(F.sum(value), F.count(value), as_type)
+    size = (F.abs(total) if hundredths else F.abs(total) * 100).cast("decimal(38,0)")
+    rounded = F.call_function("div", size * 2 + n, n * 2)
+    return from_cents(F.when(total < 0, -rounded).otherwise(rounded), as_type)
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -51,12 +74,12 @@ def lenient_double(value: Column) -> Column:
     return value.try_cast("double")
 
 
-def money_total(value: Column) -> Column:
+def amount_total(value: Column) -> Column:
     """Aggregate: exact sum of a model-made double amount, to the cent."""
     return F.round(F.sum(value.cast("decimal(28,12)")), 2).cast("decimal(28,2)")
 
 
-def money_mean(value: Column) -> Column:
+def amount_mean(value: Column) -> Column:
     """Aggregate: exact mean of a model-made double amount, to the cent."""
     return (
         F.sum(value.cast("decimal(28,12)")) / F.nullif(F.count(value), F.lit(0)).cast("decimal(20,0)")

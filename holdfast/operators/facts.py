@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.dates import whole_days
-from holdfast.functions.numbers import MONEY, SCORE, exact_mean
+from holdfast.functions.numbers import MONEY, SCORE, cents, from_cents, money_sum, whole_mean
 from holdfast.operators.joins import skew_join
 from holdfast.operators.ranking import mode_row
 
@@ -63,8 +63,8 @@ def customer_master(delivered: DataFrame, customers: DataFrame) -> DataFrame:
 def order_item_rollup(items: DataFrame) -> DataFrame:
     """Revenue, freight, item count and distinct products per order."""
     return items.groupBy("order_id").agg(
-        F.sum(F.col("price").cast(MONEY)).cast(MONEY).alias("items_revenue"),
-        F.sum(F.col("freight_value").cast(MONEY)).cast(MONEY).alias("freight_value"),
+        money_sum(F.col("price"), MONEY).alias("items_revenue"),
+        money_sum(F.col("freight_value"), MONEY).alias("freight_value"),
         F.count(F.lit(1)).alias("items_count"),
         F.countDistinct("product_id").alias("distinct_products"),
     )
@@ -81,6 +81,7 @@ def order_category_diversity(items: DataFrame, products: DataFrame) -> DataFrame
             products.select("product_id", "product_category_name").distinct(),
             "product_id",
             spread=["order_id"],
+            counted_on=items,
         )
         .groupBy("order_id")
         .agg(F.countDistinct("product_category_name").alias("category_diversity"))
@@ -96,8 +97,8 @@ def order_basket_rollup(items: DataFrame, products: DataFrame) -> DataFrame:
     the row with its first category only.
     """
     pairs = items.groupBy("order_id", "product_id").agg(
-        F.sum(F.col("price").cast(MONEY)).alias("_price"),
-        F.sum(F.col("freight_value").cast(MONEY)).alias("_freight"),
+        F.sum(cents(F.col("price"))).alias("_price"),
+        F.sum(cents(F.col("freight_value"))).alias("_freight"),
         F.count(F.lit(1)).alias("_n"),
     )
     by_category = Window.partitionBy("product_id").orderBy("product_category_name")
@@ -107,11 +108,13 @@ def order_basket_rollup(items: DataFrame, products: DataFrame) -> DataFrame:
         .distinct()
         .withColumn("_repeat", F.row_number().over(by_category) > 1)
     )
-    named = skew_join(pairs, categories, "product_id", "left", spread=["order_id"])
+    named = skew_join(
+        pairs, categories, "product_id", "left", spread=["order_id"], counted_on=items
+    )
     once = ~F.coalesce(F.col("_repeat"), F.lit(False))
     return named.groupBy("order_id").agg(
-        F.sum(F.when(once, F.col("_price"))).cast(MONEY).alias("items_revenue"),
-        F.sum(F.when(once, F.col("_freight"))).cast(MONEY).alias("freight_value"),
+        from_cents(F.sum(F.when(once, F.col("_price"))), MONEY).alias("items_revenue"),
+        from_cents(F.sum(F.when(once, F.col("_freight"))), MONEY).alias("freight_value"),
         F.sum(F.when(once, F.col("_n"))).alias("items_count"),
         F.count(F.when(once, F.col("product_id"))).alias("distinct_products"),
         F.countDistinct("product_category_name").alias("category_diversity"),
@@ -121,7 +124,7 @@ def order_basket_rollup(items: DataFrame, products: DataFrame) -> DataFrame:
 def order_payment_rollup(payments: DataFrame) -> DataFrame:
     """Paid value, distinct payment types and the longest instalment plan per order."""
     return payments.groupBy("order_id").agg(
-        F.sum(F.col("payment_value").cast(MONEY)).cast(MONEY).alias("payment_value"),
+        money_sum(F.col("payment_value"), MONEY).alias("payment_value"),
         F.countDistinct("payment_type").alias("payment_type_count"),
         F.max("payment_installments").alias("max_installments"),
     )
@@ -130,7 +133,7 @@ def order_payment_rollup(payments: DataFrame) -> DataFrame:
 def order_review_rollup(reviews: DataFrame) -> DataFrame:
     """Mean review score per order, two places."""
     return reviews.groupBy("order_id").agg(
-        exact_mean(F.col("review_score"), SCORE).alias("avg_review_score")
+        whole_mean(F.col("review_score"), SCORE).alias("avg_review_score")
     )
 
 

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.001
 
+def hot_keys(df: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Keys with more rows than an average partition, and into how many shares to cut them.
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows that have a key.
-
-    There can be fewer than ``1 / share`` of them (1,000 by default), however
-    many rows ``df`` has, so the result is always small enough to broadcast.
+    A key is hot when it holds more than one ``partitions``-th of the rows, so
+    there are fewer than ``partitions`` hot keys however many rows ``df`` has, and
+    their shares add up to less than twice that.  Both are always small enough to
+    broadcast.
     """
     counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(key).alias("_all"))
-    return counted.where(F.col("_n") > total.scalar() * share).select(key)
+    average = counted.agg((F.sum("_n") / partitions).alias("_average")).scalar()
+    shares = F.ceil(F.col("_n") / average).cast("int")
+    return counted.select(key, shares.alias("_shares")).where(F.col("_shares") > 1)
 
 
 def skew_join(
@@ -25,32 +26,32 @@ def skew_join(
     key: str,
     how: str = "inner",
     spread: list[str] | None = None,
-    share: float = HOT_SHARE,
+    counted_on: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join of a fact table that may have hot keys with a per-key table.
 
-    Fact rows of a hot key are dealt over as many shares as there are shuffle
-    partitions, by a hash of ``spread`` (a column that tells the rows of one key
-    apart, so the deal is the same when a task is run again), and the
-    few matching rows of ``other`` are repeated once per share.  All other keys
-    keep share 0 and join as usual.  ``how`` is ``inner`` or ``left``; rows
-    without a key are dealt out as well, so a left join does not pile them up.
+    Fact rows of a hot key are dealt over several shares by a hash of ``spread``
+    (columns that tell the rows of one key apart, so the deal is the same when a
+    task is run again), and the few rows of ``other`` with that key are repeated once
+    per share.  All other keys keep share 0 and join as usual.  ``how`` is ``inner``
+    or ``left``; rows without a key are dealt out as well, so a left join does not
+    pile them up.
+
+    Hot keys are found by counting ``key`` in ``facts``, or in ``counted_on`` where
+    that is cheaper to read: a table with at least as many rows of each key.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
-    shares = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marked = F.broadcast(hot_keys(facts, key, share).withColumn("_hot", F.lit(True)))
-    deal = F.pmod(F.xxhash64(*(spread or facts.columns)), F.lit(shares)).cast("int")
-    dealt = facts.join(marked, key, "left").withColumn(
-        "_share", F.when(F.col("_hot") | F.col(key).isNull(), deal).otherwise(F.lit(0))
+    partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.broadcast(hot_keys(facts if counted_on is None else counted_on, key, partitions))
+    shares = F.coalesce(
+        "_shares", F.when(F.col(key).isNull(), F.lit(partitions)).otherwise(F.lit(1))
+    )
+    dealt = facts.join(hot, key, "left").withColumn(
+        "_share", F.pmod(F.xxhash64(*(spread or facts.columns)), shares).cast("int")
     )
-    repeated = other.join(marked, key, "left").withColumn(
-        "_share",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(shares - 1))).otherwise(
-                F.array(F.lit(0))
-            )
-        ),
+    repeated = other.join(hot, key, "left").withColumn(
+        "_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
     )
-    joined = dealt.drop("_hot").join(repeated.drop("_hot"), [key, "_share"], how)
+    joined = dealt.drop("_shares").join(repeated.drop("_shares"), [key, "_share"], how)
     return joined.drop("_share")

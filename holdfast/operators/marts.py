@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions import labels
-from holdfast.functions.numbers import MEAN, MONEY, exact_mean, money_mean, money_total
+from holdfast.functions.numbers import MEAN, amount_mean, amount_total, money_mean
 from holdfast.operators.facts import LOCATION, PERSON
 from holdfast.operators.ranking import global_ntile, top_n
 
@@ -79,8 +79,8 @@ def value_at_risk_by(scores: DataFrame, by: Sequence[str] = ("priority_band",))
     """People, total and mean value at risk per group."""
     return scores.groupBy(*by).agg(
         F.count(F.lit(1)).alias("customers"),
-        money_total(F.col("value_at_risk")).alias("total_value_at_risk"),
-        money_mean(F.col("value_at_risk")).alias("avg_value_at_risk"),
+        amount_total(F.col("value_at_risk")).alias("total_value_at_risk"),
+        amount_mean(F.col("value_at_risk")).alias("avg_value_at_risk"),
     )
 
 
@@ -107,9 +107,9 @@ def executive_overview(customers: DataFrame) -> DataFrame:
     """Total people, revenue, churn rate and value at risk in one row."""
     return customers.agg(
         F.count(F.lit(1)).alias("total_customers"),
-        money_total(F.col("monetary")).alias("total_revenue"),
+        amount_total(F.col("monetary")).alias("total_revenue"),
         F.avg("churned").alias("churn_rate"),
-        money_total(F.col("value_at_risk")).alias("total_value_at_risk"),
+        amount_total(F.col("value_at_risk")).alias("total_value_at_risk"),
     )
 
 
@@ -139,7 +139,7 @@ def value_at_risk_matrix(
 ) -> DataFrame:
     """Value at risk per segment with one column per priority band."""
     sums = scores.groupBy("segment_name").pivot("priority_band", list(bands))
-    return sums.agg(money_total(F.col("value_at_risk"))).select(
+    return sums.agg(amount_total(F.col("value_at_risk"))).select(
         "segment_name", *[F.col(band).alias(f"{band.lower()}_value_at_risk") for band in bands]
     )
 
@@ -151,7 +151,7 @@ def order_value_by_segment(enriched: DataFrame) -> DataFrame:
         .groupBy("segment_name")
         .agg(
             F.count(F.lit(1)).alias("orders"),
-            exact_mean(F.col("gross_order_value").cast(MONEY), MEAN).alias("avg_order_value"),
+            money_mean(F.col("gross_order_value"), MEAN).alias("avg_order_value"),
         )
     )
 
@@ -163,7 +163,7 @@ def risk_concentration(scores: DataFrame, bin_col: str = "risk_decile") -> DataF
     """
     deciles = scores.groupBy(bin_col).agg(
         F.count(F.lit(1)).alias("customers"),
-        money_total(F.col("value_at_risk")).alias("total_value_at_risk"),
+        amount_total(F.col("value_at_risk")).alias("total_value_at_risk"),
     )
     whole = F.sum("total_value_at_risk").over(Window.partitionBy()).cast("double")
     down = F.sum("total_value_at_risk").over(Window.orderBy(F.col(bin_col).desc())).cast("double")

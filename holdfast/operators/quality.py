@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.functions.numbers import exact_mean
+from holdfast.functions.numbers import money_mean
 from holdfast.operators.facts import PERSON, WHEN
 
 
@@ -128,7 +128,7 @@ def window_spend_means(features: DataFrame, windows: Sequence[int] = (30, 90, 18
     return features.agg(
         F.count(F.lit(1)).alias("customers"),
         *[
-            exact_mean(F.col(f"spend_{days}d"), "decimal(14,2)").alias(f"avg_spend_{days}d")
+            money_mean(F.col(f"spend_{days}d"), "decimal(14,2)").alias(f"avg_spend_{days}d")
             for days in windows
         ],
     )

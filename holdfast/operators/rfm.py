@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.dates import elapsed_seconds, whole_days
-from holdfast.functions.numbers import MEAN, MONEY, TOTAL, exact_mean
+from holdfast.functions.numbers import MEAN, TOTAL, money_mean, money_sum, whole_mean
 from holdfast.operators.facts import PERSON, WHEN
 
 SECONDS_PER_DAY = 86400
@@ -58,10 +58,10 @@ def customer_rfm(
         F.max(WHEN).alias("last_order_ts"),
         F.count(F.lit(1)).alias("_n"),
         F.countDistinct("order_id").alias("frequency"),
-        F.sum(F.col(value).cast(MONEY)).cast(TOTAL).alias("monetary"),
-        exact_mean(F.col(value).cast(MONEY), TOTAL).alias("avg_order_value"),
-        exact_mean(F.col("items_count"), MEAN).alias("avg_items_per_order"),
-        exact_mean(F.col("category_diversity"), MEAN).alias("avg_category_diversity"),
+        money_sum(F.col(value), TOTAL).alias("monetary"),
+        money_mean(F.col(value), TOTAL).alias("avg_order_value"),
+        whole_mean(F.col("items_count"), MEAN).alias("avg_items_per_order"),
+        whole_mean(F.col("category_diversity"), MEAN).alias("avg_category_diversity"),
     )
     first, last = F.col("first_order_ts"), F.col("last_order_ts")
     return people.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import labels
 from holdfast.functions.dates import whole_days
-from holdfast.functions.numbers import MEAN, MONEY, exact_mean, mean_of
+from holdfast.functions.numbers import MEAN, cents, from_cents, mean_of
 from holdfast.operators.facts import PERSON, WHEN
 from holdfast.operators.impute import as_numbers, fill_medians
 
@@ -164,34 +164,37 @@ def segment_kpis(
     if weighting not in ("order", "customer"):
         raise ValueError(f"unknown weighting: {weighting}")
     base = enriched.where(F.col("segment_name").isNotNull() & F.col(PERSON).isNotNull())
-    averaged = {
-        "avg_order_value": F.col("gross_order_value").cast(MONEY),
-        "avg_items_per_order": F.col("items_count"),
-        "avg_category_diversity": F.col("category_diversity"),
-        "avg_review_score": F.col("avg_review_score"),
+    averaged = {  # measure: (column, whether it is in hundredths)
+        "avg_order_value": (cents(F.col("gross_order_value")), True),
+        "avg_items_per_order": (F.col("items_count"), False),
+        "avg_category_diversity": (F.col("category_diversity"), False),
+        "avg_review_score": (cents(F.col("avg_review_score")), True),
     }
     people = base.groupBy("segment_name", PERSON).agg(
         F.count(F.lit(1)).alias("_rows"),
         F.countDistinct("order_id").alias("_orders"),
         F.max(WHEN).alias("_last"),
-        *[F.sum(value).alias(f"_sum_{name}") for name, value in averaged.items()],
-        *[F.count(value).alias(f"_n_{name}") for name, value in averaged.items()],
+        *[F.sum(value).alias(f"_sum_{name}") for name, (value, _) in averaged.items()],
+        *[F.count(value).alias(f"_n_{name}") for name, (value, _) in averaged.items()],
     )
     today = (F.lit(str(as_of)).cast("date") if as_of else F.current_date()).cast("timestamp_ntz")
     weight = F.col("_rows") if weighting == "order" else F.lit(1).cast("long")
-    spend = F.col("_sum_avg_order_value")
+    spend = F.col("_sum_avg_order_value").cast("decimal(20,0)")  # times a weight below
     kpis = people.groupBy("segment_name").agg(
         F.count(F.lit(1)).alias("customers"),
-        F.sum(spend).cast("decimal(28,2)").alias("revenue"),
+        from_cents(F.sum(spend), "decimal(28,2)").alias("revenue"),
         *[
-            mean_of(F.sum(f"_sum_{name}"), F.sum(f"_n_{name}"), MEAN).alias(name)
-            for name in averaged
+            mean_of(F.sum(f"_sum_{name}"), F.sum(f"_n_{name}"), MEAN, hundredths).alias(name)
+            for name, (_, hundredths) in averaged.items()
         ],
         mean_of(F.sum(F.col("_orders") * weight), F.sum(weight), MEAN).alias(
             "avg_orders_per_customer"
         ),
         mean_of(
-            F.sum(spend * weight), F.sum(F.when(spend.isNotNull(), weight)), "decimal(14,2)"
+            F.sum(spend * weight),
+            F.sum(F.when(spend.isNotNull(), weight)),
+            "decimal(14,2)",
+            hundredths=True,
         ).alias("avg_spend_per_customer"),
         F.percentile(whole_days(today, F.col("_last")), F.lit(0.5), weight)
         .cast(MEAN)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.dates import days_before
-from holdfast.functions.numbers import MONEY, ratio_or_zero
+from holdfast.functions.numbers import cents, from_cents, ratio_or_zero
 from holdfast.operators.facts import PERSON, WHEN
 from holdfast.operators.joins import skew_join
 from holdfast.operators.rfm import dataset_end
@@ -36,7 +36,7 @@ def time_features(
     if anchor not in ("dataset_end", "customer_last"):
         raise ValueError(f"unknown anchor: {anchor}")
     windows = sorted(windows)
-    orders = customer_orders.select(PERSON, "order_id", WHEN, F.col(value).cast(MONEY).alias("_value"))
+    orders = customer_orders.select(PERSON, "order_id", WHEN, cents(F.col(value)).alias("_cents"))
     if anchor == "dataset_end":
         end = dataset_end(customer_orders, WHEN, end_ts)
         recent = ratio_window or windows[-1]
@@ -49,10 +49,12 @@ def time_features(
         raise ValueError(f"ratio_window {recent} is not one of {windows}")
 
     within = {days: F.col(WHEN) >= days_before(end, days) for days in windows}
-    zero = F.lit(0).cast(MONEY)
+    spent = "decimal(22,2)"
     totals = orders.groupBy(PERSON).agg(
         *[
-            F.sum(F.when(inside, F.col("_value")).otherwise(zero)).alias(f"spend_{days}d")
+            from_cents(F.sum(F.when(inside, F.col("_cents")).otherwise(F.lit(0))), spent).alias(
+                f"spend_{days}d"
+            )
             for days, inside in within.items()
         ],
         *[
@@ -60,7 +62,7 @@ def time_features(
             for days, inside in within.items()
         ],
         F.count(F.lit(1)).alias("lifetime_orders"),
-        F.sum("_value").alias("lifetime_spend"),
+        from_cents(F.sum("_cents"), spent).alias("lifetime_spend"),
     )
     spend, orders_in = F.col(f"spend_{recent}d"), F.col(f"orders_{recent}d")
     return totals.select(
