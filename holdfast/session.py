@@ -7,8 +7,13 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, partitions: int = 8, name: str = "holdfast") -> SparkSession:
-    return (
+def local_session(
+    cores: int | str = 8,
+    partitions: int = 8,
+    name: str = "holdfast",
+    scratch: str | None = None,
+) -> SparkSession:
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
@@ -17,8 +22,10 @@ def local_session(cores: int | str = 8, partitions: int = 8, name: str = "holdfa
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
