@@ -7,6 +7,7 @@ columns computed from the tables, so that plain SQL can check their results.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def _score_table(spark, sf):
 @query
 def csv_scan(spark, sf):
     """Accounts written as CSV and read back through the fixed contract."""
-    path = f"{scratch_root(spark)}/csv/customers"
+    path = f"{scratch_root(spark)}/customers-csv-{uuid4()}"
     rows = T.customers(spark, sf).select(
         "customer_id",
         "customer_unique_id",
@@ -100,7 +101,7 @@ def csv_scan(spark, sf):
 @query
 def replace_table(spark, sf):
     """A table replaced twice holds the second content, with the rows counted on the way."""
-    store = PathStore(spark, scratch_root(spark))
+    store = PathStore(spark, f"{scratch_root(spark)}/replaced-{uuid4()}")
     items = T.order_items(spark, sf).select("order_id", "price")
     store.replace(items.where(F.col("price") > 50000), "raw", "replaced_items")
     stored, rows = store.replace(items, "raw", "replaced_items")
@@ -477,6 +478,13 @@ def impute_training(spark, sf):
     )
 
 
+@query
+def encode_features(spark, sf):
+    frame = _trainable(spark, sf)
+    encoded = churn.encode_features(frame, frame)
+    return encoded.withColumns({c: F.round(c, 6) for c in encoded.columns if c.endswith("_z")})
+
+
 @query
 def label_churn(spark, sf):
     return churn.label_churn(_rfm(spark, sf)).select(PERSON, "recency_days", "churned")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from holdfast.functions import labels
 from holdfast.operators.facts import PERSON
-from holdfast.operators.impute import as_numbers, fill_medians
+from holdfast.operators.impute import as_numbers, fill_medians, sized_for_training
 from holdfast.operators.ranking import not_before, quantile_bins, rows_at_ranks
 from holdfast.operators.segments import NO_REPEAT_GAP, SEED
 
@@ -162,20 +162,11 @@ def balanced_weights(df: DataFrame, label: str = "churned", out: str = "_weight"
     return df.withColumn(out, weight)
 
 
-def churn_pipeline(
-    numeric: Sequence[str],
-    category: str,
-    rows: int,
-    label: str = "churned",
-    weight: str = "_weight",
-    strength: float = 1.0,
-) -> Pipeline:
-    """Scaling, one-hot encoding and an L2 logistic regression for ``rows`` training rows.
+def encoding(numeric: Sequence[str], category: str, rows: int) -> Pipeline:
+    """Scaled numbers in ``_z`` and the one-hot category in ``_onehot``, for ``rows`` rows.
 
     The scaler divides by the sample deviation; the product after it turns that
-    into the population deviation.  An unseen category encodes to all zeros.  The
-    solver's loss is a mean, so a penalty weight of ``1 / strength`` on the sum is
-    ``1 / (strength * rows)`` here.
+    into the population deviation.  An unseen category encodes to all zeros.
     """
     to_population = sqrt(rows / (rows - 1)) if rows > 1 else 1.0
     return Pipeline(
@@ -194,6 +185,26 @@ def churn_pipeline(
                 stringOrderType="alphabetAsc",
             ),
             OneHotEncoder(inputCols=["_index"], outputCols=["_onehot"], dropLast=True),
+        ]
+    )
+
+
+def churn_pipeline(
+    numeric: Sequence[str],
+    category: str,
+    rows: int,
+    label: str = "churned",
+    weight: str = "_weight",
+    strength: float = 1.0,
+) -> Pipeline:
+    """Encoding and an L2 logistic regression for ``rows`` training rows.
+
+    The solver's loss is a mean, so a penalty weight of ``1 / strength`` on the sum
+    is ``1 / (strength * rows)`` here.
+    """
+    return Pipeline(
+        stages=[
+            *encoding(numeric, category, rows).getStages(),
             VectorAssembler(inputCols=["_z", "_onehot"], outputCol="_features"),
             LogisticRegression(
                 featuresCol="_features",
@@ -211,6 +222,28 @@ def churn_pipeline(
     )
 
 
+def encode_features(
+    train: DataFrame,
+    df: DataFrame,
+    numeric: Sequence[str] = (*LIFETIME, *RECENT),
+    category: str = "segment_name",
+    key: str = PERSON,
+) -> DataFrame:
+    """Encoded features of ``df`` as plain columns, with scales and categories from ``train``.
+
+    One ``<name>_z`` column per number and one ``is_<category>`` flag per category of ``train``.
+    """
+    model = encoding(numeric, category, train.count()).fit(train)
+    encoded = model.transform(df)
+    z, flags = vector_to_array("_z"), vector_to_array("_onehot")
+    names = [name.lower().replace(" ", "_") for name in model.stages[3].labels]
+    return encoded.select(
+        key,
+        *[z[i].alias(f"{name}_z") for i, name in enumerate(numeric)],
+        *[flags[i].cast("int").alias(f"is_{name}") for i, name in enumerate(names)],
+    )
+
+
 def fit_churn(
     train: DataFrame,
     numeric: Sequence[str] = (*LIFETIME, *RECENT),
@@ -220,7 +253,8 @@ def fit_churn(
     """The fitted churn pipeline with balanced class weights."""
     weighted = balanced_weights(train, label).persist()
     try:
-        return churn_pipeline(numeric, category, weighted.count(), label).fit(weighted)
+        rows = weighted.count()
+        return churn_pipeline(numeric, category, rows, label).fit(sized_for_training(weighted, rows))
     finally:
         weighted.unpersist()
 

@@ -1,4 +1,4 @@
-"""Missing-value handling shared by the two models."""
+"""Preparation shared by the two models: missing values and task sizes."""
 
 from __future__ import annotations
 
@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from holdfast.functions.numbers import lenient_double
 from holdfast.operators.ranking import exact_median
 
+ROWS_PER_TASK = 100_000
+
+
+def sized_for_training(df: DataFrame, rows: int) -> DataFrame:
+    """Partitions merged, without a shuffle, down to at least 100,000 rows per task.
+
+    Iterative solvers start every task again in every step, so many tiny
+    partitions cost more than the arithmetic in them.  Large inputs keep theirs.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
 
 def as_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Columns as double; what does not read as a number, and NaN, becomes NULL."""

@@ -16,7 +16,7 @@ from holdfast.functions import labels
 from holdfast.functions.dates import whole_days
 from holdfast.functions.numbers import MEAN, cents, from_cents, mean_of
 from holdfast.operators.facts import PERSON, WHEN
-from holdfast.operators.impute import as_numbers, fill_medians
+from holdfast.operators.impute import as_numbers, fill_medians, sized_for_training
 
 # Metrics in table order, cluster count, seed, and the gap that
 # stands for "never came back".
@@ -77,7 +77,7 @@ def fit_kmeans(
     df: DataFrame, features: Sequence[str], k: int = CLUSTERS, seed: int = SEED
 ) -> PipelineModel:
     """K-Means on already standardised columns."""
-    return _clustering(features, k, seed).fit(df)
+    return _clustering(features, k, seed).fit(sized_for_training(df.select(*features), df.count()))
 
 
 def label_segments(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -89,11 +89,11 @@ def choose_k(
     df: DataFrame, features: Sequence[str], ks: Iterable[int] = range(2, 11), seed: int = SEED
 ) -> list[tuple[int, float]]:
     """Silhouette per cluster count, from cluster centres rather than all pairs of rows."""
-    points = df.select(*features).persist()
+    points = sized_for_training(df.select(*features), df.count()).persist()
     try:
         scores = []
         for k in ks:
-            labelled = fit_kmeans(points, features, k, seed).transform(points)
+            labelled = _clustering(features, k, seed).fit(points).transform(points)
             evaluator = ClusteringEvaluator(featuresCol="_features", predictionCol="segment")
             scores.append((k, evaluator.evaluate(labelled)))
         return scores
