@@ -323,9 +323,14 @@ def classification_report(
     return outcome.select(F.inline(lines))
 
 
-def risk_decile(df: DataFrame, risk: str = "churn_risk", out: str = "risk_decile") -> DataFrame:
+def risk_decile(
+    df: DataFrame,
+    risk: str = "churn_risk",
+    out: str = "risk_decile",
+    duplicates: str = "raise",
+) -> DataFrame:
     """Decile of the score, 9 the highest."""
-    return quantile_bins(df, risk, 10, out)
+    return quantile_bins(df, risk, 10, out, duplicates)
 
 
 def decile_lift(df: DataFrame, bin_col: str = "risk_decile", label: str = "churned") -> DataFrame:

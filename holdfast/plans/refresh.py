@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from holdfast.operators import calendar, churn, cohorts, facts, marts, quality, rfm, segments, windows
 from holdfast.operators.facts import PERSON
@@ -69,7 +71,7 @@ def refresh(
     frame = churn.label_churn(churn.impute_training(churn.training_frame(people, labelled, recent)))
     trainable = keep("churn_training", frame)
     scored, _, _ = churn.score_churn(trainable)
-    risky = keep("_churn_risk", churn.value_at_risk(scored))
+    risky = keep("churn_risk", churn.value_at_risk(scored))
     banded = churn.priority_band(churn.risk_decile(risky))
     scores = keep("customer_churn_scores", churn.churn_scores(banded))
     keep("marketing_target_list", marts.marketing_target_list(scores, people))
@@ -79,10 +81,6 @@ def refresh(
 
 def verify(store) -> DataFrame:
     """The standing checks on a refreshed analytics layer: ``table_name, rule, observed, passed``."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     plans = {
         "customer_master": [quality.row_count("rows"), quality.unique(PERSON)],
         "customer_orders": [

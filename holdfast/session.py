@@ -22,7 +22,6 @@ def local_session(
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
     )
     if scratch:
         builder = builder.config("spark.checkpoint.dir", scratch)
