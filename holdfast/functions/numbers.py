@@ -32,9 +32,9 @@ def money_sum(value: Column, as_type: str) -> Column:
     return from_cents(F.sum(cents(value)), as_type)
 
 
-def money_mean(value: Column, as_type: str) -> Column:
+def money_mean(value: Column, as_type: str, places: int = 2) -> Column:
     """Aggregate: mean of the non-NULL amounts of a money column, rounded once."""
-    return mean_of(F.sum(cents(value)), F.count(value), as_type, hundredths=True)
+    return mean_of(F.sum(cents(value)), F.count(value), as_type, True, places)
 
 
 def whole_mean(value: Column, as_type: str) -> Column:
@@ -42,18 +42,22 @@ def whole_mean(value: Column, as_type: str) -> Column:
     return mean_of(F.sum(value), F.count(value), as_type)
 
 
-def mean_of(total: Column, n: Column, as_type: str, hundredths: bool = False) -> Column:
-    """``total / n`` to the hundredth, rounded half away from zero exactly once.
+def mean_of(
+    total: Column, n: Column, as_type: str, hundredths: bool = False, places: int = 2
+) -> Column:
+    """``total / n`` to ``places`` decimals, rounded half away from zero exactly once.
 
     Spark's own decimal average keeps 4 extra digits, which is a second rounding
-    and can be a cent off for large groups.  This divides whole hundredths, so it
-    holds for any group size.  ``total`` has at most two decimals, or is in
-    hundredths already.  NULL if ``n`` is 0.
+    and can be a cent off for large groups.  This divides whole units of the last
+    place, so it holds for any group size.  ``total`` has at most two decimals, or
+    is in hundredths already.  NULL if ``n`` is 0.
     """
     n = F.nullif(n, F.lit(0)).cast("decimal(20,0)")
-    size = (F.abs(total) if hundredths else F.abs(total) * 100).cast("decimal(38,0)")
+    units = 10 ** (places - 2) if hundredths else 10**places
+    size = (F.abs(total) * F.lit(units)).cast("decimal(38,0)")
     rounded = F.call_function("div", size * 2 + n, n * 2)
-    return from_cents(F.when(total < 0, -rounded).otherwise(rounded), as_type)
+    signed = F.when(total < 0, -rounded).otherwise(rounded).cast("decimal(20,0)")
+    return (signed * F.lit(Decimal(1).scaleb(-places))).cast(as_type)
 
 
 def rate(part: Column, whole: Column) -> Column:

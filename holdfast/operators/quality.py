@@ -114,8 +114,13 @@ def null_count(df: DataFrame, col: str = WHEN, out: str = "null_purchase_ts") ->
     return df.agg(F.count_if(F.col(col).isNull()).alias(out))
 
 
-def value_range(df: DataFrame, col: str = "recency_days") -> DataFrame:
-    return df.agg(F.min(col).alias("min_value"), F.max(col).alias("max_value"))
+def value_range(
+    df: DataFrame,
+    col: str = "recency_days",
+    low: str = "min_recency",
+    high: str = "max_recency",
+) -> DataFrame:
+    return df.agg(F.min(col).alias(low), F.max(col).alias(high))
 
 
 def repeat_customers(rfm: DataFrame) -> DataFrame:
@@ -128,7 +133,9 @@ def window_spend_means(features: DataFrame, windows: Sequence[int] = (30, 90, 18
     return features.agg(
         F.count(F.lit(1)).alias("customers"),
         *[
-            money_mean(F.col(f"spend_{days}d"), "decimal(14,2)").alias(f"avg_spend_{days}d")
+            money_mean(F.col(f"spend_{days}d"), "decimal(20,6)", places=6).alias(
+                f"avg_spend_{days}d"
+            )
             for days in windows
         ],
     )

@@ -70,10 +70,14 @@ def refresh(
 
     frame = churn.label_churn(churn.impute_training(churn.training_frame(people, labelled, recent)))
     trainable = keep("churn_training", frame)
-    scored, _, _ = churn.score_churn(trainable)
+    keep("churn_class_balance", churn.class_balance(trainable), None)
+    scored, auc, report = churn.score_churn(trainable)
+    keep("churn_model_report", report.withColumn("roc_auc", F.lit(auc)), None)
     risky = keep("churn_risk", churn.value_at_risk(scored))
     banded = churn.priority_band(churn.risk_decile(risky))
     scores = keep("customer_churn_scores", churn.churn_scores(banded))
+    keep("churn_decile_lift", churn.decile_lift(scores), None)
+    keep("value_at_risk_by_band", marts.value_at_risk_by(scores), None)
     keep("marketing_target_list", marts.marketing_target_list(scores, people))
     keep("dim_customer", marts.dim_customer(master, labelled, scores))
     return counts

@@ -68,3 +68,8 @@ class CatalogStore:
 
     def read(self, layer: str, table: str) -> DataFrame:
         return self.spark.table(f"{layer}.{table}")
+
+    def create_view(self, layer: str, name: str, query: str) -> DataFrame:
+        """A view over stored tables, replaced if it is there."""
+        self.spark.sql(f"CREATE OR REPLACE VIEW {layer}.{name} AS {query}")
+        return self.read(layer, name)

@@ -2,6 +2,10 @@ from decimal import Decimal as D
 
 import pytest
 
+from holdfast.__main__ import main
+from holdfast.operators.facts import customer_identity_map, customer_orders, delivered_orders
+from holdfast.operators.ranking import top_n
+from holdfast.operators.windows import time_features
 from holdfast.plans.refresh import load_raw, refresh, verify
 from holdfast.session import scratch_root
 from holdfast.sources.contracts import RAW, schema_of
@@ -149,6 +153,53 @@ def test_refresh_builds_every_table(spark, raw, tmp_path):
     assert retention.where("month_index = 0 AND retention_rate <> 1").count() == 0
 
 
+def test_tables_and_view_answer_sql(spark, raw):
+    """Catalog tables take plain SQL: a view over the raw layer, top lists, filtered counts."""
+    store = CatalogStore(spark)
+    load_raw(raw, store)
+    view = store.create_view(
+        "analytics",
+        "v_delivered",
+        "SELECT order_id, customer_id, order_purchase_timestamp FROM raw.orders "
+        "WHERE order_status = 'delivered' AND order_purchase_timestamp IS NOT NULL",
+    )
+    assert view.count() == delivered_orders(store.read("raw", "orders")).count()
+    orders = customer_orders(
+        delivered_orders(store.read("raw", "orders")),
+        customer_identity_map(store.read("raw", "customers")),
+        *[store.read("raw", t) for t in ("order_items", "products", "order_payments", "order_reviews")],
+    )
+    stored, rows = store.replace(orders, "analytics", "customer_orders", "customer_unique_id")
+    store.replace(time_features(stored), "analytics", "customer_time_features")
+    active = spark.sql(
+        "SELECT count(*) FILTER (WHERE orders_180d > 0) AS active, sum(lifetime_orders) AS orders "
+        "FROM analytics.customer_time_features"
+    ).first()
+    assert 0 < active["active"] <= 120
+    assert active["orders"] == rows
+    top = spark.sql(
+        "SELECT order_id FROM analytics.customer_orders ORDER BY gross_order_value DESC, order_id LIMIT 5"
+    )
+    picked = top_n(stored, [("gross_order_value", "desc"), ("order_id", "asc")], 5)
+    assert [r[0] for r in top.collect()] == [r["order_id"] for r in picked.collect()]
+    spark.sql("DROP VIEW analytics.v_delivered")
+    for table in raw:
+        spark.sql(f"DROP TABLE raw.{table}")
+    for table in ("customer_orders", "customer_time_features"):
+        spark.sql(f"DROP TABLE analytics.{table}")
+
+
+def test_command_line(spark, raw, tmp_path, capsys):
+    for table, df in raw.items():
+        df.write.option("header", True).csv(str(tmp_path / "in" / f"{table}.csv"))
+    warehouse = str(tmp_path / "out")
+    assert main(["load", str(tmp_path / "in"), warehouse]) == 0
+    assert f"orders: {raw['orders'].count()}" in capsys.readouterr().out
+    assert main(["refresh", warehouse, "--as-of", "2019-06-01"]) == 0
+    assert "weighted avg" in capsys.readouterr().out
+    assert main(["verify", warehouse]) == 0
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, raw):
     store = CatalogStore(spark, buckets=4)
     left, rows = store.replace(
