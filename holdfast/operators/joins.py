@@ -44,14 +44,14 @@ def skew_join(
         raise ValueError(f"unsupported join type: {how}")
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = F.broadcast(hot_keys(facts if counted_on is None else counted_on, key, partitions))
-    shares = F.coalesce(
-        "_shares", F.when(F.col(key).isNull(), F.lit(partitions)).otherwise(F.lit(1))
+    apart = ", ".join(f"`{name}`" for name in spread or facts.columns)
+    dealt = facts.join(hot, key, "left").selectExpr(
+        *[f"`{name}`" for name in facts.columns],
+        f"CAST(pmod(xxhash64({apart}), coalesce(_shares, IF(`{key}` IS NULL, {partitions}, 1)))"
+        " AS INT) AS _share",
     )
-    dealt = facts.join(hot, key, "left").withColumn(
-        "_share", F.pmod(F.xxhash64(*(spread or facts.columns)), shares).cast("int")
+    repeated = other.join(hot, key, "left").selectExpr(
+        *[f"`{name}`" for name in other.columns],
+        "explode(sequence(0, coalesce(_shares, 1) - 1)) AS _share",
     )
-    repeated = other.join(hot, key, "left").withColumn(
-        "_share", F.explode(F.sequence(F.lit(0), F.coalesce("_shares", F.lit(1)) - 1))
-    )
-    joined = dealt.drop("_shares").join(repeated.drop("_shares"), [key, "_share"], how)
-    return joined.drop("_share")
+    return dealt.join(repeated, [key, "_share"], how).drop("_share")
