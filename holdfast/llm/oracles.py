@@ -13,3 +13,39 @@ SELECT doc_id,
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+SQL["op5_decontamination"] = f"""
+WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+cut AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS pos FROM item WHERE len(w) > 0
+),
+windows AS (
+  SELECT item_id, list_aggregate(w[pos:pos + 12], 'string_agg', ' ') AS words,
+         least(len(w), 13) AS n
+  FROM cut
+),
+doc AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+lengths AS (SELECT DISTINCT n FROM windows),
+seen AS (
+  SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM doc, lengths WHERE len(w) >= n
+),
+hits AS (
+  SELECT s.r, s.pos, s.n, b.item_id
+  FROM (SELECT r, n, pos, list_aggregate(w[pos:pos + n - 1], 'string_agg', ' ') AS words FROM seen) s
+  JOIN windows b ON s.n = b.n AND s.words = b.words
+),
+hit_words AS (
+  SELECT r, count(DISTINCT at_word) AS n_hit
+  FROM (SELECT r, unnest(range(pos, pos + n)) AS at_word FROM hits) GROUP BY r
+),
+items AS (
+  SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit,
+       coalesce(i.n_items, 0) AS n_items, sha256(coalesce(i.names, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM doc d LEFT JOIN hit_words h USING (r) LEFT JOIN items i USING (r)
+"""
