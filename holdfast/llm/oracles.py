@@ -49,3 +49,26 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit,
        coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
 FROM doc d LEFT JOIN hit_words h USING (r) LEFT JOIN items i USING (r)
 """
+
+_TOKENS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+SQL["op9_substring_dedup"] = f"""
+WITH doc AS (SELECT doc_id, row_number() OVER () AS r, {_TOKENS} AS w FROM documents),
+cut AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM doc WHERE len(w) >= 13),
+windows AS (
+  SELECT r, doc_id, pos, hash(list_aggregate(w[pos:pos + 12], 'string_agg', ' ')) AS h FROM cut
+),
+firsts AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h HAVING count(*) > 1),
+late AS (SELECT r, pos FROM windows JOIN firsts USING (h) WHERE doc_id > owner),
+gone AS (SELECT DISTINCT r, unnest(range(pos, pos + 13)) AS pos FROM late),
+lost AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r),
+kept AS (
+  SELECT c.r, string_agg(c.word, ' ' ORDER BY c.pos) AS words
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM doc) c
+  ANTI JOIN gone g ON c.r = g.r AND c.pos = g.pos
+  GROUP BY c.r
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(l.n_removed, 0) AS n_removed,
+       sha256(coalesce(k.words, '')) AS kept_sha256
+FROM doc d LEFT JOIN lost l USING (r) LEFT JOIN kept k USING (r)
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.decontaminate import contaminated, find_contamination
 from holdfast.llm.exact_dedup import exact_dedup
+from holdfast.llm.substring_dedup import substring_dedup
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -37,7 +38,13 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
