@@ -72,3 +72,21 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(l.n_removed, 0) AS n_remo
        sha256(coalesce(k.words, '')) AS kept_sha256
 FROM doc d LEFT JOIN lost l USING (r) LEFT JOIN kept k USING (r)
 """
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+SQL["op10_warc"] = f"""
+WITH page AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+marked AS (
+  SELECT *, page_id > min(page_id) OVER (PARTITION BY body) AS again,
+         min(page_id) OVER (PARTITION BY body) AS first
+  FROM page
+)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('{_BASE32}',
+         1 + (((('0x' || substr(hex, (5 * (i // 4) + 1)::INT, 5))::BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM marked
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.decontaminate import contaminated, find_contamination
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.substring_dedup import substring_dedup
+from holdfast.llm.warc import read_packages, with_first_copy, write_packages
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -43,8 +44,16 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
+    manifest = write_packages(with_first_copy(_table(spark, sf, "pages")))
+    return read_packages(spark, manifest).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_warc": op10_warc,
 }
