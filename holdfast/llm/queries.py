@@ -11,6 +11,7 @@ from holdfast.llm.chat import conversation_digests, format_chat
 from holdfast.llm.decontaminate import contaminated, find_contamination
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.substring_dedup import substring_dedup
+from holdfast.llm import toxicity
 from holdfast.llm.warc import read_packages, with_first_copy, write_packages
 
 
@@ -18,6 +19,17 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out("doc_id", 3, 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf, "benchmark"))
@@ -61,6 +73,7 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,

@@ -88,23 +88,28 @@ def find_words(column: pa.Array, breaks: np.ndarray, lower: bool) -> Words:
     return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, rows))
 
 
+class SpanHash:
+    """64-bit hashes of byte ranges; different seeds give independent hashes."""
+
+    def __init__(self, data: np.ndarray, seed: int = 0):
+        with np.errstate(over="ignore"):
+            base = (0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * seed | 1) & (1 << 64) - 1
+            n = len(data)
+            table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed + 1))
+            powers, inverse = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
+            powers[:1] = inverse[:1] = 1
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(table[data] * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64, out=self.sums[1:])
+            self.undo = np.cumprod(inverse, dtype=np.uint64)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            size = (end - start).astype(np.uint64)
+            return mix((self.sums[end] - self.sums[start]) * self.undo[start] + size)
+
+
 def word_hashes(words: Words, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word; different seeds give independent hashes."""
-    with np.errstate(over="ignore"):
-        base = 0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * seed | 1
-        back = pow(base, -1, 1 << 64)
-        n = len(words.data)
-        table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed + 1))
-        powers = np.full(n, base & (1 << 64) - 1, np.uint64)
-        if n:
-            powers[0] = 1
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(table[words.data] * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64, out=sums[1:])
-        inverse = np.full(n, back, np.uint64)
-        if n:
-            inverse[0] = 1
-        undo = np.cumprod(inverse, dtype=np.uint64)
-        return mix((sums[words.end] - sums[words.start]) * undo[words.start] + (words.end - words.start).astype(np.uint64))
+    return SpanHash(words.data, seed).of(words.start, words.end)
 
 
 def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
