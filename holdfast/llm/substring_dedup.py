@@ -31,61 +31,104 @@ from holdfast.llm.words import WHITE, find_words, run_hashes, separators, slices
 
 WINDOW = 13
 MINIMISER_WORDS = 4
+BLOCK_BYTES = 24 << 20
+KMERS = "bucket bigint, doc_id bigint, text_hash bigint, first int, packed binary"
 
 
-def super_kmers(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER_WORDS) -> DataFrame:
+def super_kmers(
+    docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER_WORDS, deals: int | None = None
+) -> DataFrame:
     """Rows (bucket, doc_id, text_hash, first, packed) from (doc_id, text_hash, text).
 
     ``packed`` is the document's bytes from the first word of the first window to the
-    last word of the last one; ``first`` is the index of that first word.
+    last word of the last one; ``first`` is the index of that first word.  A task sends
+    its strings in compressed blocks, one for each of the ``deals`` the buckets are dealt
+    into (by default as many as shuffle partitions), and they are unpacked on arrival.
     """
+    spark = docs.sparkSession
+    deals = deals or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks = separators(WHITE)
+        waiting, size = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                words = find_words(batch.column("text"), breaks, lower=False)
-                n = len(words.start) - window + 1
-                if n <= 0:
-                    continue
-                sub = run_hashes(word_hashes(words), minimiser)
-                views = np.lib.stride_tricks.sliding_window_view(sub, window - minimiser + 1)
-                place = np.arange(n) + views.argmin(axis=1)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
-                valid = row[:n] == row[window - 1 :]
-                new = np.ones(n, bool)
-                new[1:] = (place[1:] != place[:-1]) | (row[1:n] != row[: n - 1])
-                head = np.flatnonzero(new & valid)
-                if not len(head):
-                    continue
-                stops = np.flatnonzero(new | ~valid)
-                stops = np.append(stops, n)
-                tail = stops[np.searchsorted(stops, head, side="right")] - 1 + window - 1
-                data = words.data.tobytes()
-                packed = [
-                    data[a:b]
-                    for a, b in zip(words.start[head].tolist(), words.end[tail].tolist(), strict=True)
-                ]
-                owner = pa.array(row[head])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(sub[place[head]].view(np.int64)),
-                        batch.column("doc_id").take(owner),
-                        batch.column("text_hash").take(owner),
-                        pa.array((head - words.first[row[head]]).astype(np.int32)),
-                        pa.array(packed, pa.binary()),
-                    ],
-                    names=["bucket", "doc_id", "text_hash", "first", "packed"],
-                )
+                found = _cut_slice(batch, breaks, window, minimiser)
+                if found is not None:
+                    waiting.append(found)
+                    size += found.nbytes
+                if size >= BLOCK_BYTES:
+                    yield _blocks(waiting, deals)
+                    waiting, size = [], 0
+        if waiting:
+            yield _blocks(waiting, deals)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block"):
+                for rows in pa.ipc.open_stream(block.as_buffer()):
+                    yield from slices(rows, "packed")
+
+    blocks = docs.select("doc_id", "text_hash", "text").mapInArrow(cut, "deal int, block binary")
+    return blocks.repartitionById(deals, F.col("deal")).mapInArrow(unpack, KMERS)
+
+
+def _cut_slice(batch: pa.RecordBatch, breaks: np.ndarray, window: int, minimiser: int) -> pa.RecordBatch | None:
+    words = find_words(batch.column("text"), breaks, lower=False)
+    n = len(words.start) - window + 1
+    if n <= 0:
+        return None
+    sub = run_hashes(word_hashes(words), minimiser)
+    views = np.lib.stride_tricks.sliding_window_view(sub, window - minimiser + 1)
+    place = np.arange(n) + views.argmin(axis=1)
+    row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+    valid = row[:n] == row[window - 1 :]
+    new = np.ones(n, bool)
+    new[1:] = (place[1:] != place[:-1]) | (row[1:n] != row[: n - 1])
+    head = np.flatnonzero(new & valid)
+    if not len(head):
+        return None
+    stops = np.append(np.flatnonzero(new | ~valid), n)
+    tail = stops[np.searchsorted(stops, head, side="right")] - 1 + window - 1
+    data = words.data.tobytes()
+    packed = [data[a:b] for a, b in zip(words.start[head].tolist(), words.end[tail].tolist(), strict=True)]
+    owner = pa.array(row[head])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(sub[place[head]].view(np.int64)),
+            batch.column("doc_id").take(owner),
+            batch.column("text_hash").take(owner),
+            pa.array((head - words.first[row[head]]).astype(np.int32)),
+            pa.array(packed, pa.binary()),
+        ],
+        names=["bucket", "doc_id", "text_hash", "first", "packed"],
+    )
+
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(
-        cut, "bucket bigint, doc_id bigint, text_hash bigint, first int, packed binary"
+def _blocks(waiting: list[pa.RecordBatch], deals: int) -> pa.RecordBatch:
+    """One compressed block per deal from the strings found so far."""
+    rows = pa.Table.from_batches(waiting).combine_chunks()
+    bucket = rows.column("bucket").to_numpy().view(np.uint64)
+    deal = (bucket >> np.uint64(20)) % np.uint64(deals)
+    order = np.argsort(deal, kind="stable")
+    rows = rows.take(pa.array(order))
+    names, heads = np.unique(deal[order], return_index=True)
+    ends = np.append(heads[1:], len(order))
+    blocks = []
+    for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
+        sink = pa.BufferOutputStream()
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+            out.write_table(rows.slice(a, b - a).combine_chunks())
+        blocks.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names.astype(np.int32)), pa.array(blocks, pa.binary())], names=["deal", "block"]
     )
 
 
 def repeated_runs(kmers: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows (doc_id, text_hash, first, n): n windows from word ``first`` on that also
-    start in a document with a smaller id."""
+    start in a document with a smaller id.  All rows of a bucket are in one partition."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks = separators(WHITE)
@@ -95,7 +138,7 @@ def repeated_runs(kmers: DataFrame, window: int = WINDOW) -> DataFrame:
                 continue
             key = batch.column("bucket").to_numpy()
             doc = batch.column("doc_id").to_numpy()
-            words = find_words(batch.column("packed").cast(pa.string()), breaks, lower=False)
+            words = find_words(batch.column("packed"), breaks, lower=False)
             row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
             n = len(words.start) - window + 1
             at = np.flatnonzero(row[:n] == row[window - 1 :])
@@ -143,8 +186,7 @@ def repeated_runs(kmers: DataFrame, window: int = WINDOW) -> DataFrame:
                 )
 
     return (
-        kmers.repartition("bucket")
-        .sortWithinPartitions("bucket", "doc_id")
+        kmers.sortWithinPartitions("bucket", "doc_id")
         .mapInArrow(judge, "doc_id bigint, text_hash bigint, first int, n int")
     )
 

@@ -56,6 +56,8 @@ class Words:
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and row offsets; null is empty."""
+    if pa.types.is_binary(column.type):
+        column = column.cast(pa.string())
     column = pc.fill_null(column, "")
     if pa.types.is_large_string(column.type):
         kind = np.int64
