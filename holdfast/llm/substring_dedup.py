@@ -1,7 +1,8 @@
 """Repeated passages by super-k-mers.
 
-A window is 13 consecutive words of one document.  Its minimiser is the smallest hash
-among its runs of ``MINIMISER_WORDS`` words, so equal windows have equal minimisers.
+A window is 13 consecutive words of one document.  Its minimiser is the first of its runs
+of ``MINIMISER_WORDS`` words by the order of longer words first, then hash, so equal
+windows have equal minimisers and common short words rarely are one.
 Consecutive windows with the same minimiser travel as one packed string to the bucket
 of that minimiser.  There the strings come sorted by minimiser and document, their
 windows are sorted by a 128-bit hash of the word sequence, and the first document of
@@ -27,12 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import slot_filter, stored, with_slot_flag
-from holdfast.llm.words import WHITE, find_words, run_hashes, separators, slices, word_hashes
+from holdfast.llm.words import WHITE, Powers, find_words, run_hashes, separators, slices, word_hashes
 
 WINDOW = 13
-MINIMISER_WORDS = 4
-BLOCK_BYTES = 24 << 20
-KMERS = "bucket bigint, doc_id bigint, text_hash bigint, first int, packed binary"
+MINIMISER_WORDS = 2
+SLICE_BYTES, ZSTD_LEVEL = 1 << 18, 5
+BLOCK_BYTES = 16 << 20
+# Of a bucket's hash so many bits travel; buckets that share them are judged together.
+BUCKET_BITS = 24
+KMERS = "bucket int, doc_id bigint, text_hash int, first int, packed binary"
 
 
 def super_kmers(
@@ -49,37 +53,43 @@ def super_kmers(
     deals = deals or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        breaks = separators(WHITE)
+        breaks, powers = separators(WHITE), Powers()
         waiting, size = [], 0
         for whole in batches:
-            for batch in slices(whole, "text"):
-                found = _cut_slice(batch, breaks, window, minimiser)
+            for batch in slices(whole, "text", SLICE_BYTES):
+                found = _cut_slice(batch, breaks, powers, window, minimiser, deals)
                 if found is not None:
                     waiting.append(found)
                     size += found.nbytes
                 if size >= BLOCK_BYTES:
-                    yield _blocks(waiting, deals)
+                    yield _blocks(waiting)
                     waiting, size = [], 0
         if waiting:
-            yield _blocks(waiting, deals)
+            yield _blocks(waiting)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column("block"):
                 for rows in pa.ipc.open_stream(block.as_buffer()):
-                    yield from slices(rows, "packed")
+                    yield from slices(rows, "packed", SLICE_BYTES)
 
     blocks = docs.select("doc_id", "text_hash", "text").mapInArrow(cut, "deal int, block binary")
     return blocks.repartitionById(deals, F.col("deal")).mapInArrow(unpack, KMERS)
 
 
-def _cut_slice(batch: pa.RecordBatch, breaks: np.ndarray, window: int, minimiser: int) -> pa.RecordBatch | None:
+def _cut_slice(
+    batch: pa.RecordBatch, breaks: np.ndarray, powers: Powers, window: int, minimiser: int, deals: int
+) -> pa.RecordBatch | None:
     words = find_words(batch.column("text"), breaks, lower=False)
     n = len(words.start) - window + 1
     if n <= 0:
         return None
-    sub = run_hashes(word_hashes(words), minimiser)
-    views = np.lib.stride_tricks.sliding_window_view(sub, window - minimiser + 1)
+    sub = run_hashes(word_hashes(words, powers), minimiser, powers)
+    ends = np.cumsum(words.end - words.start)
+    length = ends[minimiser - 1 :].copy()
+    length[1:] -= ends[: len(length) - 1]
+    rank = (sub >> np.uint64(12)) | ((4095 - np.minimum(length, 4095)).astype(np.uint64) << np.uint64(52))
+    views = np.lib.stride_tricks.sliding_window_view(rank, window - minimiser + 1)
     place = np.arange(n) + views.argmin(axis=1)
     row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
     valid = row[:n] == row[window - 1 :]
@@ -93,31 +103,32 @@ def _cut_slice(batch: pa.RecordBatch, breaks: np.ndarray, window: int, minimiser
     data = words.data.tobytes()
     packed = [data[a:b] for a, b in zip(words.start[head].tolist(), words.end[tail].tolist(), strict=True)]
     owner = pa.array(row[head])
+    least = sub[place[head]]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(sub[place[head]].view(np.int64)),
+            pa.array(((least >> np.uint64(32)) % np.uint64(deals)).astype(np.int32)),
+            pa.array((least & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int32)),
             batch.column("doc_id").take(owner),
             batch.column("text_hash").take(owner),
             pa.array((head - words.first[row[head]]).astype(np.int32)),
             pa.array(packed, pa.binary()),
         ],
-        names=["bucket", "doc_id", "text_hash", "first", "packed"],
+        names=["deal", "bucket", "doc_id", "text_hash", "first", "packed"],
     )
 
 
-def _blocks(waiting: list[pa.RecordBatch], deals: int) -> pa.RecordBatch:
+def _blocks(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
     """One compressed block per deal from the strings found so far."""
     rows = pa.Table.from_batches(waiting).combine_chunks()
-    bucket = rows.column("bucket").to_numpy().view(np.uint64)
-    deal = (bucket >> np.uint64(20)) % np.uint64(deals)
+    deal = rows.column("deal").to_numpy()
     order = np.argsort(deal, kind="stable")
-    rows = rows.take(pa.array(order))
+    rows = rows.drop_columns("deal").take(pa.array(order))
     names, heads = np.unique(deal[order], return_index=True)
     ends = np.append(heads[1:], len(order))
     blocks = []
     for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
         sink = pa.BufferOutputStream()
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD_LEVEL))
         with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
             out.write_table(rows.slice(a, b - a).combine_chunks())
         blocks.append(sink.getvalue().to_pybytes())
@@ -131,7 +142,7 @@ def repeated_runs(kmers: DataFrame, window: int = WINDOW) -> DataFrame:
     start in a document with a smaller id.  All rows of a bucket are in one partition."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        breaks = separators(WHITE)
+        breaks, powers, others = separators(WHITE), Powers(), Powers(1)
         held_key, held = None, np.zeros((3, 0), np.uint64)
         for batch in batches:
             if not batch.num_rows:
@@ -142,8 +153,9 @@ def repeated_runs(kmers: DataFrame, window: int = WINDOW) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
             n = len(words.start) - window + 1
             at = np.flatnonzero(row[:n] == row[window - 1 :])
-            one = run_hashes(word_hashes(words, 0), window)[at]
-            two = run_hashes(word_hashes(words, 1), window)[at]
+            hashes = word_hashes(words, powers)
+            one = run_hashes(hashes, window, powers)[at]
+            two = run_hashes(hashes, window, others)[at]
             owner = doc[row[at]].astype(np.int64)
             if held_key is None or key[0] != held_key:
                 held = np.zeros((3, 0), np.uint64)
@@ -187,7 +199,7 @@ def repeated_runs(kmers: DataFrame, window: int = WINDOW) -> DataFrame:
 
     return (
         kmers.sortWithinPartitions("bucket", "doc_id")
-        .mapInArrow(judge, "doc_id bigint, text_hash bigint, first int, n int")
+        .mapInArrow(judge, "doc_id bigint, text_hash int, first int, n int")
     )
 
 
@@ -210,7 +222,8 @@ def substring_dedup(
     space), kept_sha256."""
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        # tells rows apart that share an id but not the text
+        F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 16)).cast("int").alias("text_hash"),
         F.col(text_col).cast("string").alias("text"),
     )
     kmers = super_kmers(rows.where("doc_id is not null"), window, minimiser)

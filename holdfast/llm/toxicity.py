@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import fresh
-from holdfast.llm.words import SpanHash, find_words, separators, slices
+from holdfast.llm.words import find_words, separators, slices, span_hash
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 16_000
 MOST_FEATURES, PREFIXES = 20_000, (4, 5, 6)
@@ -58,7 +58,7 @@ def _features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     new = np.ones(len(row), bool)
     new[1:] = (block[1:] != block[:-1]) | (row[1:] != row[:-1])
     sentence = np.cumsum(new) - 1
-    spans = SpanHash(words.data)
+    spans = span_hash(words.data)
     found = [spans.of(words.start, words.end)]
     owners = [sentence]
     for k in PREFIXES:

@@ -90,37 +90,55 @@ def find_words(column: pa.Array, breaks: np.ndarray, lower: bool) -> Words:
     return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, rows))
 
 
-class SpanHash:
-    """64-bit hashes of byte ranges; different seeds give independent hashes."""
-
-    def __init__(self, data: np.ndarray, seed: int = 0):
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as many as were needed yet."""
+
+    def __init__(self, seed: int = 0):
+        self.base = (0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * seed | 1) & (1 << 64) - 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                size = 1 << (n - 1).bit_length()
+                for name, value in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
+                    powers = np.full(size, value, np.uint64)
+                    powers[0] = 1
+                    setattr(self, name, np.cumprod(powers, dtype=np.uint64))
+
+
+class RunHash:
+    """64-bit hashes of runs of values, from prefix sums of value times power."""
+
+    def __init__(self, values: np.ndarray, powers: Powers | None = None):
+        n = len(values)
+        self.powers = powers or Powers()
+        self.powers.grow(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            base = (0x9E3779B97F4A7C15 + 0x6A09E667F3BCC908 * seed | 1) & (1 << 64) - 1
-            n = len(data)
-            table = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(seed + 1))
-            powers, inverse = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-            powers[:1] = inverse[:1] = 1
-            self.sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(table[data] * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64, out=self.sums[1:])
-            self.undo = np.cumprod(inverse, dtype=np.uint64)
+            np.cumsum(values * self.powers.up[:n], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             size = (end - start).astype(np.uint64)
-            return mix((self.sums[end] - self.sums[start]) * self.undo[start] + size)
+            return mix((self.sums[end] - self.sums[start]) * self.powers.down[start] + size)
+
+
+def byte_values() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def word_hashes(words: Words, seed: int = 0) -> np.ndarray:
-    return SpanHash(words.data, seed).of(words.start, words.end)
+def span_hash(data: np.ndarray, powers: Powers | None = None) -> RunHash:
+    """Hashes of byte ranges."""
+    return RunHash(byte_values()[data], powers)
 
 
-def run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+def word_hashes(words: Words, powers: Powers | None = None) -> np.ndarray:
+    return span_hash(words.data, powers).of(words.start, words.end)
+
+
+def run_hashes(hashes: np.ndarray, k: int, powers: Powers | None = None) -> np.ndarray:
     """Hash of every k consecutive entries (len - k + 1 of them)."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for i in range(k):
-            out = out * np.uint64(0x2545F4914F6CDD1D) + hashes[i : i + n]
-        return mix(out)
+    at = np.arange(max(0, len(hashes) - k + 1))
+    return RunHash(hashes, powers).of(at, at + k)
