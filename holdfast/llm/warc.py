@@ -296,4 +296,6 @@ def read_packages(spark: SparkSession, manifest: DataFrame, range_bytes: int = R
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     ranges = manifest.select("path").mapInArrow(plan, "path string, begin bigint, sizes array<bigint>")
-    return ranges.repartition("path", "begin").mapInArrow(read, RECORD)
+    # a fixed number: the rows are small, but each stands for a range of payloads
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "path", "begin").mapInArrow(read, RECORD)
