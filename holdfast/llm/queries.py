@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from holdfast.llm.chat import conversation_digests, format_chat
 from holdfast.llm.decontaminate import contaminated, find_contamination
 from holdfast.llm.exact_dedup import exact_dedup
+from holdfast.llm.html import extract_text
+from holdfast.llm.jaccard import near_duplicates
+from holdfast.llm.sentencepiece import encode, with_count
 from holdfast.llm.substring_dedup import substring_dedup
-from holdfast.llm import toxicity
+from holdfast.llm import quality, toxicity
+from holdfast.llm.common import stored
 from holdfast.llm.warc import read_packages, with_first_copy, write_packages
 
 
@@ -30,6 +34,19 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return with_count(encode(docs, verify=True)).select("doc_id", "n_tokens", "round_trip", "ids")
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf, "documents"))
+
+
+def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(_table(spark, sf, "pages"))
+
+
 def op5_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     found = find_contamination(docs, _table(spark, sf, "benchmark"))
@@ -52,6 +69,18 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = toxicity.held_out("doc_id", 4, 2)
+    stats = stored(quality.with_statistics(_table(spark, sf, "documents"), "doc_id", "text"))
+    model = quality.fit(stats, _table(spark, sf, "labels").where(~held_out))
+    return quality.score(stats, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
     talks = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -74,8 +103,12 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_sentencepiece": op2_sentencepiece,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_html_extraction": op4_html_extraction,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
