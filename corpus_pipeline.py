@@ -1,23 +1,71 @@
-"""The corpus pipeline (stages are added as their operators are)."""
+"""The corpus pipeline: toxic documents, copies, near copies and benchmark passages go,
+what is left is tokenised.
+
+Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns a
+DataFrame that is written as Parquet and read again as the next stage's ``docs``.  All but
+the last keep the columns of ``documents``, extra ones included.  Rows without an id cannot
+be named, so only the toxicity and decontamination stages, which judge rows by
+themselves, ever drop them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from holdfast.llm import decontaminate, exact_dedup, jaccard, sentencepiece, toxicity
+from holdfast.llm.common import stored, without_ids
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose score reaches the threshold; learns from the labels of ``docs``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, keeps the document with the largest id."""
+    return exact_dedup.drop_exact_copies(docs)
 
-from holdfast.llm.exact_dedup import drop_exact_copies
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies, keeps the document with the smallest id."""
+    found = jaccard.near_duplicates(docs)
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_exact_copies(docs)
 
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which at least a twentieth of the words are benchmark passages."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
-STAGES = [("exact dedup", exact_stage)]
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of each text, and whether they decode to it."""
+    made = sentencepiece.encode(docs, verify=True)
+    ids, same = made.columns[-2:]
+    return made.select(
+        "doc_id",
+        "lang",
+        "source",
+        F.col(ids).alias("ids"),
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.col(same).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("n-gram Jaccard join", near_dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("SentencePiece", sentencepiece_stage),
+]
+
+# A trained model and a tokenizer are not SQL; tests/llm holds the result against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from holdfast.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
