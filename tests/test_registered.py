@@ -5,7 +5,9 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from checks.catalog import QUERIES
 from checks.compare import connect, differences
+from checks.oracles import SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ROWS_ONLY = {
@@ -25,14 +27,19 @@ def con():
 
 
 def test_every_query_has_sql_unless_it_is_a_model():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
-    assert not set(contract.oracle_sql()) - set(contract.queries())
+    assert set(QUERIES) - set(SQL) == ROWS_ONLY
+    assert not set(SQL) - set(QUERIES)
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, con, name):
     assert differences(spark, con, SF, name) == []
