@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from holdfast.operators import (
 from holdfast.operators.facts import PERSON
 from holdfast.session import scratch_root
 from holdfast.sources.csv import read_csv
-from holdfast.sources.store import PathStore
+from holdfast.sources.store import CatalogStore, PathStore, register_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,19 +104,34 @@ def replace_table(spark, sf):
     """A table replaced twice holds the second content, with the rows counted on the way."""
     store = PathStore(spark, f"{scratch_root(spark)}/replaced-{uuid4()}")
     items = T.order_items(spark, sf).select("order_id", "price")
-    store.replace(items.where(F.col("price") > 50000), "raw", "replaced_items")
+    store.replace(items.select("order_id", (F.col("price") + 1).alias("price")), "raw", "replaced_items")
     stored, rows = store.replace(items, "raw", "replaced_items")
     return stored.agg(F.sum("price").cast("decimal(28,2)").alias("price_total")).withColumn(
         "rows_written", F.lit(rows).cast("long")
     )
 
 
+@query
+def view_scan(spark, sf):
+    """Delivered orders through a session view."""
+    register_view(_delivered(spark, sf), "delivered_orders_view")
+    return spark.sql("SELECT customer_id, count(*) AS orders FROM delivered_orders_view GROUP BY customer_id")
+
+
+@query
+def layer_table(spark, sf):
+    """Accounts per person from a managed, bucketed table of a layer that is created for it."""
+    store = CatalogStore(spark, buckets=4)
+    stored, _ = store.replace(T.customers(spark, sf), "raw", "layer_accounts", PERSON)
+    return stored.groupBy(PERSON).agg(F.count(F.lit(1)).alias("accounts"))
+
+
 # --- order facts ---------------------------------------------------------------------
 
 
 @query
 def delivered_orders(spark, sf):
-    return _delivered(spark, sf).drop("order_delivered_customer_date")
+    return _delivered(spark, sf)
 
 
 @query
@@ -160,13 +176,12 @@ def order_review_rollup(spark, sf):
 
 @query
 def customer_orders(spark, sf):
-    return _fact(spark, sf).drop("order_delivered_customer_date")
+    return _fact(spark, sf)
 
 
 @query
 def orders_enriched(spark, sf):
-    log = T.order_log(spark, sf).drop("avg_review_score")
-    return facts.orders_enriched(log, T.segments(spark, sf))
+    return facts.orders_enriched(T.order_log(spark, sf), T.segments(spark, sf))
 
 
 @query
@@ -274,7 +289,7 @@ def segment_retention_curve(spark, sf):
 
 @query
 def cohort_heatmap(spark, sf):
-    return cohorts.cohort_heatmap(_retention(spark, sf), range(13))
+    return cohorts.cohort_heatmap(_retention(spark, sf))
 
 
 @query
@@ -298,17 +313,7 @@ def dim_date(spark, sf):
 
 @query
 def dim_date_padded(spark, sf):
-    days = calendar.dim_date(T.event_log(spark, sf), fiscal_start_month=10, pg_padding=True)
-    return days.select(
-        "date",
-        "month_name",
-        "day_name",
-        "fiscal_year_label",
-        "fiscal_month",
-        "fiscal_quarter",
-        "week_of_year",
-        "iso_year",
-    )
+    return calendar.dim_date(T.event_log(spark, sf), fiscal_start_month=10, pg_padding=True)
 
 
 @query
@@ -322,7 +327,7 @@ def calendar_bounds(spark, sf):
 @query
 def global_ntile(spark, sf):
     items = T.order_items(spark, sf).groupBy("product_id").agg(F.sum("price").alias("revenue"))
-    return ranking.global_ntile(items, [("revenue", "desc"), ("product_id", "asc")], 7, "tile").select(
+    return ranking.global_ntile(items, [("revenue", "desc")], "product_id", 7, "tile").select(
         "product_id", "tile"
     )
 
@@ -331,8 +336,7 @@ def global_ntile(spark, sf):
 def global_ntile_tied(spark, sf):
     """Whole-table tiles over a column with a few values, told apart by the order key."""
     rows = T.table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    order = [("o_orderpriority", "desc"), ("o_orderkey", "asc")]
-    return ranking.global_ntile(rows, order, 10, "tile")
+    return ranking.global_ntile(rows, [("o_orderpriority", "desc")], "o_orderkey", 10, "tile")
 
 
 @query
@@ -431,8 +435,9 @@ def segment_kpis_by_customer(spark, sf):
 
 @query
 def segment_kpis_ranked(spark, sf):
+    """All segments and measures, ordered by revenue."""
     kpis = segments.segment_kpis(_enriched(spark, sf), AS_OF)
-    return ranking.top_n(kpis, [("revenue", "desc")], 3).select("segment_name", "revenue")
+    return kpis.orderBy(*ranking.sort_columns([("revenue", "desc"), ("segment_name", "asc")]))
 
 
 @query
@@ -453,13 +458,49 @@ def kmeans_profile(spark, sf):
     return segments.segment_customers(_rfm(spark, sf))[1]
 
 
+@query
+def kmeans_fixed_point(spark, sf):
+    """Per person: whether their segment's mean is the nearest of all segment means."""
+    scaled = segments.standardize(segments.prepare_rfm_features(_rfm(spark, sf)))
+    features = [f"{name}_z" for name in segments.FEATURES]
+    labelled = segments.label_segments(segments.fit_kmeans(scaled, features), scaled).persist()
+    means = labelled.groupBy("segment").agg(*[F.avg(name).alias(name) for name in features]).collect()
+    labelled = labelled.select(PERSON, "segment", *features)
+
+    def distance(mean):
+        return sum((F.col(name) - F.lit(mean[name])) ** 2 for name in features)
+
+    nearest = F.least(*[distance(m) for m in means], F.lit(float("inf")), F.lit(float("inf")))
+    own = F.coalesce(*[F.when(F.col("segment") == m["segment"], distance(m)) for m in means])
+    # Lloyd's steps end within this distance of a fixed point
+    return labelled.select(PERSON, (own <= nearest + F.lit(0.05)).alias("is_nearest"))
+
+
+@query
+def kmeans_sizes(spark, sf):
+    """Number of segments, people in them, and the share of people over all segments."""
+    profile = segments.segment_customers(_rfm(spark, sf))[1]
+    return profile.agg(
+        F.count(F.lit(1)).alias("segments"),
+        F.sum("customers").alias("customers"),
+        F.round(F.sum("share"), 9).alias("share"),
+    )
+
+
+@query
+def choose_k_range(spark, sf):
+    """Each cluster count with whether its silhouette is a possible and a positive one."""
+    return choose_k(spark, sf).select("k", F.col("silhouette").between(0.0, 1.0).alias("is_valid"))
+
+
 # --- churn ---------------------------------------------------------------------------
 
 
 def _frame(spark, sf):
     log = T.order_log(spark, sf)
-    part_of = T.segments(spark, sf).where(F.col("segment_name") != "BUILDING")
-    return churn.training_frame(rfm.customer_rfm(log), part_of, windows.time_features(log))
+    return churn.training_frame(
+        rfm.customer_rfm(log), T.segments(spark, sf), windows.time_features(log)
+    )
 
 
 def _trainable(spark, sf):
@@ -497,12 +538,11 @@ def class_balance(spark, sf):
 
 @query
 def stratified_split(spark, sf):
-    """Rows per class on both sides of the split."""
+    """Each person's class and side."""
     train, held_out = churn.stratified_split(churn.label_churn(_rfm(spark, sf)))
-    both = train.select("churned", F.lit("train").alias("side")).unionAll(
-        held_out.select("churned", F.lit("test").alias("side"))
+    return train.select(PERSON, "churned", F.lit("train").alias("side")).unionAll(
+        held_out.select(PERSON, "churned", F.lit("test").alias("side"))
     )
-    return both.groupBy("side", "churned").agg(F.count(F.lit(1)).alias("customers"))
 
 
 @query
@@ -567,6 +607,51 @@ def churn_model_report(spark, sf):
     return report.withColumn("roc_auc", F.lit(auc))
 
 
+@query
+def churn_scores_valid(spark, sf):
+    """Each person's class, and whether the model gave them one probability inside (0, 1)."""
+    scored, _, _ = churn.score_churn(_trainable(spark, sf))
+    risk = F.col("churn_risk")
+    return scored.select(PERSON, "churned", ((risk > 0) & (risk < 1)).alias("is_valid"))
+
+
+@query
+def churn_gradient(spark, sf):
+    """Whether the penalised gradient of the fitted model is zero, per coefficient."""
+    train, _ = churn.stratified_split(_trainable(spark, sf))
+    model = churn.fit_churn(train)
+    weighted = churn.balanced_weights(train)
+    last = model.stages[-1]
+    width = last.coefficients.size
+    scored = model.transform(weighted).select(
+        vector_to_array("_features").alias("x"), vector_to_array("_probability")[1].alias("p"),
+        F.col("churned").cast("double").alias("y"), F.col("_weight").alias("w"),
+    )
+    slope = F.col("w") * (F.col("p") - F.col("y"))
+    sums = scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(slope * F.col("x")[i]).alias(f"g{i}") for i in range(width)],
+        F.sum(slope).alias(f"g{width}"),
+    ).first()
+    rows = [
+        (i, bool(abs(sums[f"g{i}"] + (float(last.coefficients[i]) if i < width else 0.0)) / sums["n"] < 1e-3))
+        for i in range(width + 1)
+    ]
+    return spark.createDataFrame(rows, "coefficient int, is_zero boolean")
+
+
+@query
+def churn_report_sums(spark, sf):
+    """Hold-out rows and classes of the model report, and whether its figures are shares."""
+    report = churn_model_report(spark, sf)
+    figures = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1_score", "roc_auc")]
+    return report.select(
+        F.col("class").alias("line"),
+        F.when(F.col("class").isin("0", "1"), F.lit(None)).otherwise(F.col("support")).cast("long").alias("held_out"),
+        (figures[0] & figures[1] & figures[2] & figures[3]).alias("is_valid"),
+    )
+
+
 # --- lists, dimensions, dashboards ---------------------------------------------------
 
 
@@ -586,9 +671,7 @@ def priority_distribution(spark, sf):
 
 @query
 def top_priority_targets(spark, sf):
-    return marts.top_priority_targets(_targets(spark, sf)).select(
-        PERSON, "churn_risk", "monetary", "priority_band"
-    )
+    return marts.top_priority_targets(_targets(spark, sf))
 
 
 @query
@@ -615,7 +698,7 @@ def value_at_risk_matrix(spark, sf):
 
 @query
 def top_value_at_risk(spark, sf):
-    return marts.top_value_at_risk(_score_table(spark, sf)).select(PERSON, "value_at_risk")
+    return marts.top_value_at_risk(_score_table(spark, sf))
 
 
 @query

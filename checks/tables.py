@@ -91,10 +91,9 @@ def products(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def category_names(spark: SparkSession, sf: str) -> DataFrame:
-    """One name per brand, for the brands that have a large part."""
+    """One name per brand."""
     return (
         table(spark, sf, "part")
-        .where(F.col("p_size") > 48)
         .groupBy(F.col("p_brand").alias("product_category_name"))
         .agg(F.min("p_name").alias("product_category_name_english"))
     )

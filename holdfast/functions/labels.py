@@ -5,9 +5,6 @@ The words and thresholds below are fixed values that other tools match on.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,16 +16,6 @@ NEW = "New Customers"
 OCCASIONAL = "Occasional Shoppers"
 UNKNOWN = "Unknown"
 
-# First and last rank each name asks for; the first rule that fits
-# wins and the rest are Occasional Shoppers.
-LAST = 2**31 - 1
-SEGMENT_RULES = [
-    (CHAMPIONS, {"value": (1, 1), "frequency": (1, 2), "recency": (1, 2)}),
-    (AT_RISK, {"value": (1, 2), "recency": (4, LAST)}),
-    (LOYAL_LOW, {"frequency": (1, 2), "value": (4, LAST)}),
-    (NEW, {"recency": (1, 2), "frequency": (4, LAST)}),
-]
-
 # Objective and recommended actions per segment.
 PLAYBOOK = [
     (
@@ -82,10 +69,14 @@ def by_tiles(risk: Column, value: Column, labels: dict, default: str) -> Column:
 
 
 def segment_name(recency_rank: Column, value_rank: Column, freq_rank: Column) -> Column:
-    """Segment name from dense ranks (1 = most recent, most valuable, most frequent)."""
-    ranks = {"recency": recency_rank, "value": value_rank, "frequency": freq_rank}
-    named = [
-        F.when(reduce(and_, [ranks[on].between(*bounds) for on, bounds in rule.items()]), name)
-        for name, rule in SEGMENT_RULES
-    ]
-    return F.coalesce(*named, F.lit(OCCASIONAL))
+    """Segment name from dense ranks (1 = most recent, most valuable, most frequent).
+
+    The first rule that fits wins.  The thresholds are fixed values.
+    """
+    return (
+        F.when((value_rank == 1) & (freq_rank <= 2) & (recency_rank <= 2), CHAMPIONS)
+        .when((value_rank <= 2) & (recency_rank >= 4), AT_RISK)
+        .when((freq_rank <= 2) & (value_rank >= 4), LOYAL_LOW)
+        .when((recency_rank <= 2) & (freq_rank >= 4), NEW)
+        .otherwise(OCCASIONAL)
+    )

@@ -84,7 +84,15 @@ def amount_total(value: Column) -> Column:
 
 
 def amount_mean(value: Column) -> Column:
-    """Aggregate: exact mean of a model-made double amount, to the cent."""
-    return (
-        F.sum(value.cast("decimal(28,12)")) / F.nullif(F.count(value), F.lit(0)).cast("decimal(20,0)")
-    ).cast("decimal(28,2)")
+    """Aggregate: mean of a model-made double amount, to the cent, rounded once.
+
+    The amounts are taken to 12 places and summed exactly; their mean is rounded half
+    away from zero in whole units.
+    """
+    total = F.sum(value.cast("decimal(28,12)"))
+    n = F.nullif(F.count(value), F.lit(0)).cast("decimal(20,0)")
+    size = (F.abs(total) * F.lit(Decimal(10**12))).cast("decimal(38,0)")
+    step = (n * F.lit(Decimal(10**10))).cast("decimal(38,0)")  # one cent, n times
+    cent = F.call_function("div", size * 2 + step, step * 2)
+    signed = F.when(total < 0, -cent).otherwise(cent).cast("decimal(28,0)")
+    return (signed * F.lit(Decimal("0.01"))).cast("decimal(28,2)")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, sqrt
+from operator import or_
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -17,19 +19,20 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions import labels
 from holdfast.operators.facts import PERSON
-from holdfast.operators.impute import as_numbers, fill_medians, sized_for_training
-from holdfast.operators.ranking import not_before, quantile_bins, rows_at_ranks
+from holdfast.operators.impute import FIT_PARTITIONS, as_numbers, fill_medians, laid_out
+from holdfast.operators.ranking import quantile_bins
 from holdfast.operators.segments import NO_REPEAT_GAP, SEED
 
 # Label threshold, hold-out share, solver limit, feature columns
 # and the column order of the score table.
 CHURN_DAYS = 180
 TEST_SHARE = 0.2
+HASH_BITS, STEP_BITS, FEW_ROWS = 60, 12, 1000
 MAX_ITERATIONS = 2000
 LIFETIME = [
     "frequency",
@@ -126,6 +129,56 @@ def _train_counts(counts: dict, share: float) -> dict:
     return given
 
 
+def _cuts(hashed: DataFrame, label: str, key: str, ranks: dict) -> dict:
+    """The (hash, key) that stands at each class's rank, for all classes together.
+
+    One aggregation counts every class's rows by the leading bits of the hash; only the
+    range that holds the rank is counted again by its next bits, until it has a few rows.
+    """
+    spans = {value: (0, HASH_BITS, rank) for value, rank in ranks.items()}
+
+    def inside(value) -> Column:
+        low, bits, _ = spans[value]
+        within = F.col("_hash").between(low, low + (1 << bits) - 1)
+        return F.col(label).eqNullSafe(F.lit(value)) & within
+
+    open_spans = set(spans)
+    while open_spans:
+        step = {value: min(STEP_BITS, spans[value][1]) for value in open_spans}
+        part = F.coalesce(
+            *[
+                F.when(inside(v), F.shiftright("_hash", spans[v][1] - step[v])) for v in open_spans
+            ]
+        )
+        counted = (
+            hashed.where(reduce(or_, [inside(v) for v in open_spans]))
+            .groupBy(F.col(label).alias("_class"), part.alias("_part"))
+            .count()
+            .collect()
+        )
+        for value in list(open_spans):
+            _, bits, rank = spans[value]
+            rest = bits - step[value]
+            for row in sorted((r for r in counted if r["_class"] == value), key=lambda r: r["_part"]):
+                if rank < row["count"]:
+                    spans[value] = (row["_part"] << rest, rest, rank)
+                    if row["count"] <= FEW_ROWS or rest == 0:
+                        open_spans.discard(value)
+                    break
+                rank -= row["count"]
+            else:  # the class has no row at this rank: nothing is held out
+                del spans[value]
+                open_spans.discard(value)
+    if not spans:
+        return {}
+    rows = hashed.where(reduce(or_, [inside(v) for v in spans])).select(label, "_hash", key).collect()
+    found = {}
+    for value, (_, _, rank) in spans.items():
+        own = sorted((r["_hash"], r[key]) for r in rows if r[label] == value)
+        found[value] = own[rank]
+    return found
+
+
 def stratified_split(
     df: DataFrame,
     label: str = "churned",
@@ -135,19 +188,17 @@ def stratified_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Training and hold-out rows with exact class proportions.
 
-    Rows are ordered by a seeded hash of their unique key, and each class is cut at
-    one exact rank, so the split does not depend on partitioning, needs no
-    window over a class, and is the same when a task is run again.
+    Rows are ordered by a seeded hash of their unique key (the first 60 bits of the MD5
+    of ``seed:key``), and each class is cut at one exact rank, so the split does not
+    depend on partitioning, needs no sort, and is the same when a task is run again.
     """
-    order = [("_hash", "asc"), (key, "asc")]
-    hashed = df.withColumn("_hash", F.xxhash64(F.lit(seed), F.col(key)))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    hashed = df.withColumn("_hash", F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long"))
     counts = {row[label]: row["count"] for row in df.groupBy(label).count().collect()}
     held_out = F.lit(False)
-    for value, size in _train_counts(counts, share).items():
-        in_class = F.col(label).eqNullSafe(F.lit(value))
-        _, cut = rows_at_ranks(hashed.where(in_class), order, lambda n, at=size: [at], True)
-        if cut:
-            held_out = held_out | (in_class & not_before(order, cut[size]))
+    for value, (at, name) in _cuts(hashed, label, key, _train_counts(counts, share)).items():
+        beyond = (F.col("_hash") > at) | ((F.col("_hash") == at) & (F.col(key) >= F.lit(name)))
+        held_out = held_out | (F.col(label).eqNullSafe(F.lit(value)) & beyond)
     return hashed.where(~held_out).drop("_hash"), hashed.where(held_out).drop("_hash")
 
 
@@ -249,12 +300,13 @@ def fit_churn(
     numeric: Sequence[str] = (*LIFETIME, *RECENT),
     category: str = "segment_name",
     label: str = "churned",
+    key: str = PERSON,
+    partitions: int = FIT_PARTITIONS,
 ) -> PipelineModel:
     """The fitted churn pipeline with balanced class weights."""
-    weighted = balanced_weights(train, label).persist()
+    weighted = laid_out(balanced_weights(train, label), key, partitions).persist()
     try:
-        rows = weighted.count()
-        return churn_pipeline(numeric, category, rows, label).fit(sized_for_training(weighted, rows))
+        return churn_pipeline(numeric, category, weighted.count(), label).fit(weighted)
     finally:
         weighted.unpersist()
 

@@ -80,8 +80,14 @@ def retention_curve(retention: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def cohort_heatmap(retention: DataFrame, months: Sequence[int]) -> DataFrame:
-    """One row per cohort with one rate column per listed month index (NULL if not observed)."""
+def cohort_heatmap(retention: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
+    """One row per cohort with one rate column per month index (NULL if not observed).
+
+    Without ``months``, every index that occurs gets a column; they are read from the
+    retention table first, at most one per month between the first and last order.
+    """
+    if months is None:
+        months = sorted(row["month_index"] for row in retention.select("month_index").distinct().collect())
     return (
         retention.groupBy("cohort_month")
         .pivot("month_index", list(months))

@@ -203,16 +203,10 @@ def orders_enriched(customer_orders: DataFrame, segments: DataFrame) -> DataFram
 def orders_calendar(enriched: DataFrame, dim_date: DataFrame, cohort: DataFrame) -> DataFrame:
     """Reporting fact: order value with fiscal year, calendar month and cohort month.
 
-    The calendar has one row per day, at most 3.7 million for all dates Spark can
-    hold and a few thousand in practice, so it is broadcast; the months
-    of first purchase are one row per person and may be of any size.
+    The calendar has one row per day; Spark broadcasts it when its measured size allows.
     """
-    days = F.broadcast(
-        dim_date.select(
-            F.col("date").alias("_day"),
-            F.col("fiscal_year_label").alias("fiscal_year"),
-            "month",
-        )
+    days = dim_date.select(
+        F.col("date").alias("_day"), F.col("fiscal_year_label").alias("fiscal_year"), "month"
     )
     first_months = cohort.select(PERSON, "cohort_month").distinct()
     return (

@@ -24,8 +24,8 @@ def marketing_target_list(scores: DataFrame, rfm: DataFrame, tiles: int = 3) ->
     people = scores.select(PERSON, "segment_name", "churn_risk").join(
         rfm.select(PERSON, "monetary", "frequency", "avg_order_value", "tenure_days"), PERSON
     )
-    ranked = global_ntile(people, [("churn_risk", "desc"), (PERSON, "asc")], tiles, "_risk")
-    ranked = global_ntile(ranked, [("monetary", "desc"), (PERSON, "asc")], tiles, "_value")
+    ranked = global_ntile(people, [("churn_risk", "desc")], PERSON, tiles, "_risk")
+    ranked = global_ntile(ranked, [("monetary", "desc")], PERSON, tiles, "_value")
     risk, value = F.col("_risk"), F.col("_value")
     return ranked.select(
         PERSON,
@@ -44,6 +44,7 @@ def marketing_target_list(scores: DataFrame, rfm: DataFrame, tiles: int = 3) ->
 
 def dim_customer(master: DataFrame, segments: DataFrame, scores: DataFrame) -> DataFrame:
     """The customer dimension: master data, segment and scores, one row per person."""
+    # The columns that the dimension takes from the scores.
     scored = [
         "churned",
         "churn_risk",

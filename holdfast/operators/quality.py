@@ -60,7 +60,9 @@ def single_valued(key: str, *parts: str, at_most: int = 0) -> Rule:
 
 
 def starts_at(col: str, key: str, value: int = 0) -> Rule:
-    return Rule(f"{key} whose {col} does not start at {value}", F.min(col) != value, _at_most(0), (key,))
+    """Keys whose smallest value is another one; a key without any value does not start at it."""
+    elsewhere = F.coalesce(F.min(col) != value, F.lit(True))
+    return Rule(f"{key} whose {col} does not start at {value}", elsewhere, _at_most(0), (key,))
 
 
 def joined(*parts: str) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from datetime import date, datetime
 from functools import reduce
-from operator import add, or_
+from operator import add, and_, or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -88,15 +88,16 @@ def rows_at_ranks(
         laid.unpersist()
 
 
-def _literal(value: object) -> Column:
+def _literal(value: object, kind: str | None) -> Column:
     if isinstance(value, datetime):
-        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+        # a zoned time is an instant, whatever zone the session shows it in
+        return F.lit(value) if kind == "timestamp" else F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
     if isinstance(value, date):
         return F.lit(value.isoformat()).cast("date")
     return F.lit(value)
 
 
-def not_before(order: Order, mark: Row) -> Column:
+def not_before(order: Order, mark: Row, types: dict[str, str] | None = None) -> Column:
     """True for rows that stand at or after ``mark`` in the order."""
     result = F.lit(True)
     for name, way in reversed(order):
@@ -105,7 +106,7 @@ def not_before(order: Order, mark: Row) -> Column:
             tied = col.isNull()
             beyond = col.isNotNull() if way == "desc" else F.lit(False)
         else:
-            at = _literal(value)
+            at = _literal(value, (types or {}).get(name))
             tied = col.eqNullSafe(at)
             beyond = (
                 F.coalesce(col < at, F.lit(False))
@@ -122,23 +123,41 @@ def tile_starts(count: int, tiles: int) -> list[int]:
     return [tile * base + min(tile, extra) for tile in range(1, tiles)]
 
 
-def global_ntile(df: DataFrame, order: Order, tiles: int, out: str) -> DataFrame:
-    """Tile number 1..n over the whole table; end ``order`` with a unique key."""
-    _, marks = rows_at_ranks(df, order, lambda n: tile_starts(n, tiles), total_order=True)
+def global_ntile(df: DataFrame, order: Order, key: str, tiles: int, out: str) -> DataFrame:
+    """Tile number 1..n over the whole table; rows with equal order go by ``key``.
+
+    The key has to tell all rows apart.  Where it does not, a tile could not be cut at its
+    exact size, so a key that occurs twice at a cut is an error.
+    """
+    full = [*[(name, way) for name, way in order if name != key], (key, "asc")]
+    types = dict(df.dtypes)
+    _, marks = rows_at_ranks(df, full, lambda n: tile_starts(n, tiles), total_order=True)
+    if marks:
+        same = [
+            reduce(and_, [F.col(name).eqNullSafe(_literal(mark[name], types[name])) for name, _ in full])
+            for mark in marks.values()
+        ]
+        most = df.agg(F.greatest(*[F.count_if(s) for s in same], F.lit(0), F.lit(0))).first()[0]
+        if most > 1:
+            raise ValueError(f"{key} does not tell the rows apart")
     tile = reduce(
-        add, [not_before(order, marks[rank]).cast("int") for rank in sorted(marks)], F.lit(1)
+        add, [not_before(full, marks[rank], types).cast("int") for rank in sorted(marks)], F.lit(1)
     )
     return df.withColumn(out, tile)
 
 
+def _number(col: str) -> Column:
+    return F.nullif(F.col(col).cast("double"), F.lit(float("nan")))
+
+
 def quantile_edges(df: DataFrame, col: str, points: Sequence[tuple[int, int]]) -> list[float] | None:
     """Exact quantiles at the fractions ``(numerator, denominator)``.
 
     Linear interpolation between the two rows next to each point; positions are
     whole-number arithmetic, so a point that falls on a row is that row's value.
-    None if there is no value.
+    NULL and NaN are no values.  None if there is no value.
     """
-    values = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    values = df.select(_number(col).alias("_v")).where(F.col("_v").isNotNull())
 
     def neighbours(n: int) -> list[int]:
         lows = [num * (n - 1) // den for num, den in points]
@@ -178,7 +197,7 @@ def quantile_bins(
         if duplicates == "raise":
             raise ValueError(f"bin edges of {col} are not unique: {edges}")
         edges = sorted(set(edges))
-    value = F.col(col).cast("double")
+    value = _number(col)
     above = reduce(add, [(value > F.lit(edge)).cast("int") for edge in edges[1:-1]], F.lit(0))
     return df.withColumn(out, F.when(value.isNotNull(), above))
 

@@ -16,7 +16,7 @@ from holdfast.functions import labels
 from holdfast.functions.dates import whole_days
 from holdfast.functions.numbers import MEAN, cents, from_cents, mean_of
 from holdfast.operators.facts import PERSON, WHEN
-from holdfast.operators.impute import as_numbers, fill_medians, sized_for_training
+from holdfast.operators.impute import FIT_PARTITIONS, as_numbers, fill_medians, laid_out
 
 # Metrics in table order, cluster count, seed, and the gap that
 # stands for "never came back".
@@ -74,10 +74,15 @@ def _clustering(features: Sequence[str], k: int, seed: int) -> Pipeline:
 
 
 def fit_kmeans(
-    df: DataFrame, features: Sequence[str], k: int = CLUSTERS, seed: int = SEED
+    df: DataFrame,
+    features: Sequence[str],
+    k: int = CLUSTERS,
+    seed: int = SEED,
+    key: str = PERSON,
+    partitions: int = FIT_PARTITIONS,
 ) -> PipelineModel:
-    """K-Means on already standardised columns."""
-    return _clustering(features, k, seed).fit(sized_for_training(df.select(*features), df.count()))
+    """K-Means on already standardised columns; the fit does not depend on how ``df`` is split."""
+    return _clustering(features, k, seed).fit(laid_out(df.select(key, *features), key, partitions))
 
 
 def label_segments(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -86,10 +91,15 @@ def label_segments(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 
 def choose_k(
-    df: DataFrame, features: Sequence[str], ks: Iterable[int] = range(2, 11), seed: int = SEED
+    df: DataFrame,
+    features: Sequence[str],
+    ks: Iterable[int] = range(2, 11),
+    seed: int = SEED,
+    key: str = PERSON,
+    partitions: int = FIT_PARTITIONS,
 ) -> list[tuple[int, float]]:
     """Silhouette per cluster count, from cluster centres rather than all pairs of rows."""
-    points = sized_for_training(df.select(*features), df.count()).persist()
+    points = laid_out(df.select(key, *features), key, partitions).persist()
     try:
         scores = []
         for k in ks:
@@ -154,7 +164,9 @@ def segment_customers(
 def segment_kpis(
     enriched: DataFrame, as_of: date | str | None = None, weighting: str = "order"
 ) -> DataFrame:
-    """Ten measures per segment.
+    """Ten measures per segment, from one evaluation of the orders.
+
+    An order belongs to one person, so a segment's orders are the sum of its people's.
 
     ``weighting="order"`` counts a person's own averages and recency once per
     order, ``"customer"`` once per person.  Orders shrink to one row per person
@@ -182,6 +194,7 @@ def segment_kpis(
     spend = F.col("_sum_avg_order_value").cast("decimal(20,0)")  # times a weight below
     kpis = people.groupBy("segment_name").agg(
         F.count(F.lit(1)).alias("customers"),
+        F.sum("_orders").alias("orders"),
         from_cents(F.sum(spend), "decimal(28,2)").alias("revenue"),
         *[
             mean_of(F.sum(f"_sum_{name}"), F.sum(f"_n_{name}"), MEAN, hundredths).alias(name)
@@ -200,8 +213,7 @@ def segment_kpis(
         .cast(MEAN)
         .alias("median_recency_days"),
     )
-    orders = base.groupBy("segment_name").agg(F.countDistinct("order_id").alias("orders"))
-    return kpis.join(orders, "segment_name").select(
+    return kpis.select(
         "segment_name",
         "customers",
         "orders",

@@ -1,8 +1,10 @@
 """Full refresh of the analytics layer, in dependency order.
 
-Each step is written and read back before the next one uses it, so later steps
-start from stored columns instead of a long lineage, several readers share
-one computation, and a lost executor costs at most one step.
+Each step is written beside the current table and read back before the next one uses
+it, so later steps start from stored columns instead of a long lineage, several
+readers share one computation, and a lost executor costs at most one step.  The
+tables are replaced together at the end: a step that fails, say on tied risk bands,
+leaves the analytics layer as it was.
 """
 
 from __future__ import annotations
@@ -29,12 +31,16 @@ def refresh(
     clusters: int = segments.CLUSTERS,
     seed: int = segments.SEED,
     as_of: date | str | None = None,
+    duplicates: str = "raise",
 ) -> dict[str, int]:
-    """Rebuild every analytics table from the raw layer; returns row counts per table."""
+    """Rebuild every analytics table from the raw layer; returns row counts per table.
+
+    ``duplicates`` says what equal edges of the risk and value bins do: "raise" or "drop".
+    """
     counts: dict[str, int] = {}
 
     def keep(table: str, df: DataFrame, key: str | None = PERSON) -> DataFrame:
-        stored, counts[table] = store.replace(df, "analytics", table, key)
+        stored, counts[table] = store.stage(df, "analytics", table, key)
         return stored
 
     raw = {
@@ -57,16 +63,26 @@ def refresh(
     people = keep("customer_rfm", rfm.customer_rfm(orders))
     recent = keep("customer_time_features", windows.time_features(orders))
     cohort = keep("customer_cohort", cohorts.customer_cohort(orders))
-    keep("cohort_retention", cohorts.cohort_retention(cohort), None)
+    retention = keep("cohort_retention", cohorts.cohort_retention(cohort), None)
+    keep("retention_curve", cohorts.retention_curve(retention), None)
+    keep("cohort_heatmap", cohorts.cohort_heatmap(retention), None)
+    if store.has("raw", "category_translation"):
+        lookup = store.read("raw", "category_translation")
+        keep("products_translated", facts.translate_category(raw["products"], lookup), None)
 
     assigned, profile = segments.segment_customers(people, clusters, seed)
     labelled = keep("customer_segments", assigned)
     keep("segment_profile", profile, None)
-    keep("cohort_retention_by_segment", cohorts.cohort_retention_by(cohort, labelled), None)
+    by_segment = keep(
+        "cohort_retention_by_segment", cohorts.cohort_retention_by(cohort, labelled), None
+    )
+    keep("segment_retention_curve", cohorts.retention_curve(by_segment, ["segment_name"]), None)
     enriched = keep("customer_orders_enriched", facts.orders_enriched(orders, labelled))
     keep("segment_kpis", segments.segment_kpis(enriched, as_of), None)
     keep("segment_actions", segments.segment_actions(enriched.sparkSession), None)
-    keep("dim_date", calendar.dim_date(enriched), None)
+    keep("order_value_by_segment", marts.order_value_by_segment(enriched), None)
+    days = keep("dim_date", calendar.dim_date(enriched), None)
+    keep("orders_calendar", facts.orders_calendar(enriched, days, cohort))
 
     frame = churn.label_churn(churn.impute_training(churn.training_frame(people, labelled, recent)))
     trainable = keep("churn_training", frame)
@@ -74,12 +90,20 @@ def refresh(
     scored, auc, report = churn.score_churn(trainable)
     keep("churn_model_report", report.withColumn("roc_auc", F.lit(auc)), None)
     risky = keep("churn_risk", churn.value_at_risk(scored))
-    banded = churn.priority_band(churn.risk_decile(risky))
+    deciled = churn.risk_decile(risky, duplicates=duplicates)
+    banded = churn.priority_band(deciled, duplicates=duplicates)
     scores = keep("customer_churn_scores", churn.churn_scores(banded))
     keep("churn_decile_lift", churn.decile_lift(scores), None)
     keep("value_at_risk_by_band", marts.value_at_risk_by(scores), None)
+    keep("value_at_risk_matrix", marts.value_at_risk_matrix(scores), None)
+    keep("executive_overview", marts.executive_overview(scores), None)
+    keep("risk_distribution", marts.risk_distribution(scores), None)
+    keep("churn_by_segment", marts.churn_by_segment(scores), None)
+    keep("risk_concentration", marts.risk_concentration(scores), None)
     keep("marketing_target_list", marts.marketing_target_list(scores, people))
     keep("dim_customer", marts.dim_customer(master, labelled, scores))
+    for table in counts:
+        store.promote("analytics", table)
     return counts
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -31,12 +29,8 @@ def local_session(
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for tables written between steps.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a local session without
-    that setting falls back to a new folder on this machine.
+    The cluster names it in ``spark.checkpoint.dir``; a session without that setting
+    uses its warehouse, which driver and executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="holdfast-")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

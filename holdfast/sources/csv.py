@@ -5,27 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from holdfast.sources.contracts import FREE_TEXT, RAW, schema_of
 
+BYTE_ORDER_MARK = "\ufeff"
+
 
 def read_csv(spark: SparkSession, table: str, path: str | list[str]) -> DataFrame:
     """A headered CSV file, or directory of files, as the named raw table.
 
-    Columns go by position, as in the contract, whatever the header calls them.
+    Columns go by the names in the header, in whatever order it has them; a missing,
+    doubled or unknown name is an error.  Files of one directory share one order.
     Quotes are escaped by doubling.  Only tables with free text are read with
     line breaks inside quotes, because Spark cannot split such files.  A value that does
     not fit its type is an error rather than a silent NULL.
     """
-    reader = (
-        spark.read.schema(schema_of(table))
-        .option("header", True)
-        .option("escape", '"')
-        .option("mode", "FAILFAST")
-    )
+    contract = schema_of(table)
+    reader = spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST")
     if table in FREE_TEXT:
         reader = reader.option("multiLine", True)
-    return reader.csv(path)
+    header = reader.csv(path).columns  # reads the first line only, all columns as text
+    names = [name.removeprefix(BYTE_ORDER_MARK).strip() for name in header]
+    if sorted(names) != sorted(contract.names):
+        missing, unknown = set(contract.names) - set(names), set(names) - set(contract.names)
+        raise ValueError(f"{table}: header lacks {sorted(missing)}, has unknown {sorted(unknown)}: {header}")
+    found = StructType([contract[name] for name in names])
+    if names == header:
+        reader = reader.option("enforceSchema", False)  # every file's header is compared
+    return reader.schema(found).csv(path).select(*contract.names)
 
 
 def read_raw(
@@ -34,8 +42,8 @@ def read_raw(
     pattern: str = "{table}.csv",
     tables: Iterable[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All raw tables under ``root``; ``pattern`` names the file of a table."""
-    names = list(tables) if tables is not None else [t for t in RAW if t != "category_translation"]
+    """The raw tables under ``root``, all unless named; ``pattern`` names the file of a table."""
+    names = list(tables) if tables is not None else list(RAW)
     return {
         table: read_csv(spark, table, f"{root.rstrip('/')}/{pattern.format(table=table)}")
         for table in names

@@ -25,8 +25,15 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+NEXT = "__next"
+
+
 class PathStore:
-    """Parquet directories under one root shared by the cluster."""
+    """Parquet directories under one root shared by the cluster.
+
+    A table is written beside the one it replaces and takes its place once it is
+    complete, so a failed write leaves the old table as it was.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -34,17 +41,47 @@ class PathStore:
     def path(self, layer: str, table: str) -> str:
         return f"{self.root}/{layer}/{table}"
 
-    def replace(
+    def _file_system(self):
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _path(self, layer: str, table: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path(layer, table))
+
+    def has(self, layer: str, table: str) -> bool:
+        return self._file_system().exists(self._path(layer, table))
+
+    def stage(
         self, df: DataFrame, layer: str, table: str, key: str | None = None
     ) -> tuple[DataFrame, int]:
-        """Replace a table, and return it as stored with its row count.
+        """Write a table beside the current one; as stored, with its row count.
 
         Counting stored Parquet reads file footers only, no column data.
         """
-        df.write.mode("overwrite").parquet(self.path(layer, table))
-        stored = self.read(layer, table)
+        df.write.mode("overwrite").parquet(self.path(layer, table + NEXT))
+        stored = self.read(layer, table + NEXT)
         return stored, stored.count()
 
+    def promote(self, layer: str, table: str) -> None:
+        """The staged table takes the place of the current one."""
+        files = self._file_system()
+        staged, current, old = (self._path(layer, table + end) for end in (NEXT, "", "__old"))
+        files.delete(old, True)
+        if files.exists(current):
+            files.rename(current, old)
+        if not files.rename(staged, current):
+            files.rename(old, current)
+            raise OSError(f"{table} could not be replaced")
+        files.delete(old, True)
+
+    def replace(
+        self, df: DataFrame, layer: str, table: str, key: str | None = None
+    ) -> tuple[DataFrame, int]:
+        """Replace a table, and return it as stored with its row count."""
+        _, rows = self.stage(df, layer, table, key)
+        self.promote(layer, table)
+        return self.read(layer, table), rows
+
     def read(self, layer: str, table: str) -> DataFrame:
         return self.spark.read.parquet(self.path(layer, table))
 
@@ -56,16 +93,30 @@ class CatalogStore:
         self.spark, self.buckets = spark, buckets
         create_layers(spark)
 
-    def replace(
+    def has(self, layer: str, table: str) -> bool:
+        return self.spark.catalog.tableExists(f"{layer}.{table}")
+
+    def stage(
         self, df: DataFrame, layer: str, table: str, key: str | None = None
     ) -> tuple[DataFrame, int]:
         writer = df.write.mode("overwrite")
         if key and self.buckets:
             writer = writer.bucketBy(self.buckets, key).sortBy(key)
-        writer.format("parquet").saveAsTable(f"{layer}.{table}")
-        stored = self.read(layer, table)
+        writer.format("parquet").saveAsTable(f"{layer}.{table}{NEXT}")
+        stored = self.read(layer, table + NEXT)
         return stored, stored.count()
 
+    def promote(self, layer: str, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{table}")
+        self.spark.sql(f"ALTER TABLE {layer}.{table}{NEXT} RENAME TO {layer}.{table}")
+
+    def replace(
+        self, df: DataFrame, layer: str, table: str, key: str | None = None
+    ) -> tuple[DataFrame, int]:
+        _, rows = self.stage(df, layer, table, key)
+        self.promote(layer, table)
+        return self.read(layer, table), rows
+
     def read(self, layer: str, table: str) -> DataFrame:
         return self.spark.table(f"{layer}.{table}")
 

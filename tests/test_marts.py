@@ -3,6 +3,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
+from holdfast.functions.numbers import amount_mean
 from holdfast.operators import marts, quality
 from tests.helpers import as_dict
 
@@ -145,3 +146,16 @@ def test_named_checks(spark):
         "q": 2,
     }
     assert quality.null_count(customers, "customer_state", "n").first()["n"] == 1
+
+
+def test_a_key_without_values_does_not_start_anywhere(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", None)], "key string, n int")
+    row = quality.check(df, quality.starts_at("n", "key")).first()
+    assert (row["observed"], row["passed"]) == (1.0, False)
+
+
+def test_mean_of_amounts_is_rounded_once(spark):
+    rows = [("x", 0.004999999999), ("x", 0.005000000001), ("y", -0.015), ("y", -0.015), ("z", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(amount_mean(F.col("v")).alias("m")).collect()}
+    assert got == {"x": D("0.01"), "y": D("-0.02"), "z": None}

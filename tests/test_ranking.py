@@ -48,7 +48,7 @@ def test_tile_starts(count, n):
 def test_global_ntile_against_brute_force(spark, scores, n, way):
     rows = [(i, None if s is None else float(s)) for i, s in enumerate(scores)]
     df = spark.createDataFrame(rows, "key int, score double")
-    got = as_dict(global_ntile(df, [("score", way), ("key", "asc")], n, "tile"), "key", "tile")
+    got = as_dict(global_ntile(df, [("score", way)], "key", n, "tile"), "key", "tile")
     nulls = [r for r in rows if r[1] is None]
     valued = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1] if way == "asc" else -r[1], r[0]))
     ordered = nulls + valued if way == "desc" else valued + nulls
@@ -60,7 +60,7 @@ def test_global_ntile_equals_the_built_in_on_tied_text_keys(spark):
         F.concat(F.lit("k"), F.col("id")).alias("key"),
         F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise((F.col("id") % 17).cast("double")).alias("score"),
     )
-    mine = global_ntile(df, [("score", "desc"), ("key", "asc")], 7, "tile")
+    mine = global_ntile(df, [("score", "desc")], "key", 7, "tile")
     df.createOrReplaceTempView("scored_keys")
     theirs = df.sparkSession.sql(
         "SELECT key, ntile(7) OVER (ORDER BY score DESC, key) AS tile FROM scored_keys"
@@ -70,7 +70,7 @@ def test_global_ntile_equals_the_built_in_on_tied_text_keys(spark):
 
 def test_global_ntile_on_nothing(spark):
     df = spark.createDataFrame([], "key int, score double")
-    assert global_ntile(df, [("score", "desc"), ("key", "asc")], 3, "tile").collect() == []
+    assert global_ntile(df, [("score", "desc")], "key", 3, "tile").collect() == []
 
 
 @FEW
@@ -172,7 +172,33 @@ def test_boundary_literals_keep_date_and_text_types(spark):
         "date'2020-01-01' + CAST(id AS INT) AS d, decode(unhex(hex(id)), 'UTF-8') AS s, id FROM range(40)"
     )
     for column in ("t", "d", "s"):
-        tiles = global_ntile(df, [(column, "desc"), ("id", "asc")], 4, "tile")
+        tiles = global_ntile(df, [(column, "desc")], "id", 4, "tile")
         counts = {r["tile"]: r["count"] for r in tiles.groupBy("tile").count().collect()}
         assert counts == {1: 10, 2: 10, 3: 10, 4: 10}
     assert not math.isnan(ranking.exact_median(df, "id"))
+
+
+def test_a_key_that_repeats_at_a_cut_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1)] * 10, "score int, key int")
+    with pytest.raises(ValueError, match="tell the rows apart"):
+        global_ntile(df, [("score", "asc")], "key", 3, "tile")
+    keyed = spark.createDataFrame([(1, k) for k in range(10)], "score int, key int")
+    tiles = global_ntile(keyed, [("score", "asc")], "key", 3, "tile").groupBy("tile").count().collect()
+    assert {r["tile"]: r["count"] for r in tiles} == {1: 4, 2: 3, 3: 3}
+
+
+def test_nan_has_no_bin_and_no_say_in_the_edges(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("nan"),), (None,)], "v double")
+    got = {str(r["v"]): r["bin"] for r in quantile_bins(df, "v", 3, "bin").collect()}
+    assert got == {"1.0": 0, "2.0": 1, "3.0": 2, "nan": None, "None": None}
+
+
+def test_zoned_times_are_cut_at_the_same_instant(spark):
+    df = spark.sql("SELECT timestamp'2020-03-29 00:00:00' + make_dt_interval(0, id) AS t, id FROM range(40)")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Pacific/Auckland")
+    try:
+        tiles = global_ntile(df, [("t", "asc")], "id", 4, "tile")
+        assert {r["tile"]: r["count"] for r in tiles.groupBy("tile").count().collect()} == dict.fromkeys((1, 2, 3, 4), 10)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

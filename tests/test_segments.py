@@ -151,3 +151,15 @@ def test_playbook_has_one_entry_per_name(spark):
     names = [r["segment_name"] for r in actions.collect()]
     assert names == [labels.CHAMPIONS, labels.AT_RISK, labels.LOYAL_LOW, labels.NEW, labels.OCCASIONAL]
     assert actions.columns == ["segment_name", "objective", "recommended_actions"]
+
+
+def test_the_fit_does_not_depend_on_the_input_partitions(spark):
+    rows = [(str(k), float(k % 17), float(k * k % 23)) for k in range(600)]
+    df = spark.createDataFrame(rows, "customer_unique_id string, a double, b double")
+    centres = [
+        sorted(c.tolist() for c in segments.fit_kmeans(df.repartition(n), ["a", "b"], 4).stages[-1].clusterCenters())
+        for n in (1, 4, 16)
+    ]
+    for other in centres[1:]:
+        for mine, theirs in zip(centres[0], other, strict=True):
+            assert mine == pytest.approx(theirs, abs=1e-9)

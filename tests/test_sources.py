@@ -36,10 +36,29 @@ def test_review_text_with_quotes_and_line_breaks(spark, tmp_path):
 
 
 def test_byte_order_mark_and_header_names(spark, tmp_path):
-    path = write(tmp_path / "t.csv", "﻿some_name,other\nbebes,baby\n")
+    head = "\ufeffproduct_category_name,product_category_name_english\n"
+    path = write(tmp_path / "t.csv", head + "bebes,baby\n")
     assert [tuple(r) for r in read_csv(spark, "category_translation", path).collect()] == [("bebes", "baby")]
 
 
+def test_columns_go_by_header_name(spark, tmp_path):
+    swapped = "product_category_name_english,product_category_name\nbaby,bebes\n"
+    path = write(tmp_path / "s.csv", swapped)
+    assert [tuple(r) for r in read_csv(spark, "category_translation", path).collect()] == [("bebes", "baby")]
+    for head in ("product_category_name", "product_category_name,other", swapped.split()[0] + ",extra"):
+        with pytest.raises(ValueError, match="header"):
+            read_csv(spark, "category_translation", write(tmp_path / "w.csv", head + "\nx,y,z\n"))
+
+
+def test_files_of_a_folder_share_one_header(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    write(folder / "a.csv", "product_category_name,product_category_name_english\nbebes,baby\n")
+    write(folder / "b.csv", "product_category_name_english,product_category_name\nbaby,bebes\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, "category_translation", str(folder)).collect()
+
+
 def test_types_are_fixed_and_misfits_fail(spark, tmp_path):
     head = ",".join(f.name for f in schema_of("order_items").fields) + "\n"
     path = write(tmp_path / "i.csv", head + "o1,1,p1,s1,2018-01-01 00:00:00,10.10,1.5\n")
@@ -55,7 +74,7 @@ def test_read_raw_finds_files_by_pattern(spark, tmp_path):
         head = ",".join(f.name for f in schema_of(table).fields) + "\n"
         write(tmp_path / f"shop_{table}_dump.csv", head)
     raw = read_raw(spark, str(tmp_path), "shop_{table}_dump.csv")
-    assert sorted(raw) == sorted(set(RAW) - {"category_translation"})
+    assert sorted(raw) == sorted(RAW)
     assert all(df.count() == 0 and df.schema == schema_of(t) for t, df in raw.items())
 
 
@@ -66,6 +85,15 @@ def test_replace_is_full_and_counted(spark, tmp_path):
     assert (rows, stored.count()) == (3, 3)
 
 
+def test_a_failed_write_leaves_the_table(spark, tmp_path):
+    store = PathStore(spark, str(tmp_path))
+    store.replace(spark.range(10), "raw", "t")
+    with pytest.raises(Exception, match="(?i)divi"):
+        store.replace(spark.range(5).selectExpr("1 div (id - 3) AS id"), "raw", "t")
+    assert store.read("raw", "t").count() == 10 and store.has("raw", "t") and not store.has("raw", "u")
+    assert sorted(p.name for p in (tmp_path / "raw").iterdir()) in (["t"], ["t", "t__next"])
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
@@ -123,6 +151,11 @@ def raw(spark):
         "order_reviews": table(
             "order_reviews", text(reviews), ["review_id", "order_id", "review_score"]
         ),
+        "category_translation": table(
+            "category_translation",
+            [(f"cat{i}", f"english{i}") for i in range(5)],
+            [f.name for f in schema_of("category_translation").fields],
+        ),
     }
 
 
@@ -144,6 +177,14 @@ def test_refresh_builds_every_table(spark, raw, tmp_path):
     assert counts["customer_orders_enriched"] == counts["customer_orders"]
     assert counts["segment_actions"] == 5
     assert counts["segment_profile"] == 5
+    assert counts["orders_calendar"] == counts["customer_orders"]
+    assert counts["products_translated"] == raw["products"].count()
+    assert counts["executive_overview"] == 1 and counts["order_value_by_segment"] <= 5
+    assert {
+        "retention_curve", "cohort_heatmap", "segment_retention_curve", "risk_distribution",
+        "churn_by_segment", "value_at_risk_matrix", "risk_concentration",
+    } <= set(counts)
+    assert all(store.has("analytics", t) and not store.has("analytics", f"{t}__next") for t in counts)
     report = verify(store).collect()
     assert report and all(r["passed"] for r in report), report
     scores = store.read("analytics", "customer_churn_scores")
@@ -200,6 +241,27 @@ def test_command_line(spark, raw, tmp_path, capsys):
     assert main(["verify", warehouse]) == 0
 
 
+def test_tied_bands_leave_the_analytics_layer(spark, raw, tmp_path):
+    """One price for everybody: value bins tie, the refresh fails before it replaces anything."""
+    store = PathStore(spark, str(tmp_path))
+    flat = raw["order_items"].selectExpr(
+        *[f"CAST(1 AS decimal(12,2)) AS {c}" if c == "price" else c for c in raw["order_items"].columns]
+    )
+    one_each = flat.where("order_item_id = 1 AND order_id LIKE '%-0'")
+    load_raw({**raw, "order_items": one_each}, store)
+    store.replace(spark.range(7), "analytics", "customer_orders")
+    with pytest.raises(ValueError, match="not unique"):
+        refresh(store, as_of="2019-06-01")
+    assert store.read("analytics", "customer_orders").count() == 7
+
+
+def test_command_line_asks_for_one_place(capsys):
+    for argv in (["verify"], ["verify", "somewhere", "--catalog"]):
+        with pytest.raises(SystemExit):
+            main(argv)
+    capsys.readouterr()
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, raw):
     store = CatalogStore(spark, buckets=4)
     left, rows = store.replace(
