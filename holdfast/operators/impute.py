@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.functions.numbers import lenient_double
-from holdfast.operators.ranking import exact_median
+from holdfast.operators.ranking import exact_medians
 
 # Tasks of an iterative fit, unless the caller names another number.
 FIT_PARTITIONS = 16
@@ -33,10 +33,10 @@ def as_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def fill_medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """NULLs replaced by the column's exact median.
 
-    One pass counts the gaps; only columns that have some cost a sort.  A column
-    without any value stays NULL.
+    One pass counts the gaps; the medians of the columns that have some are read together.
+    A column without any value stays NULL.
     """
     gaps = df.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in cols]).first()
-    medians = {name: exact_median(df, name) for name in cols if gaps[name]}
+    medians = exact_medians(df, [name for name in cols if gaps[name]])
     known = {name: value for name, value in medians.items() if value is not None}
     return df.na.fill(known) if known else df

@@ -2,18 +2,26 @@
 
 ``ntile`` or ``percentile`` over a whole table puts every row into one task.
 What these operators need are only a few rows of the sorted table (the first row
-of each tile, the rows next to a quantile), so the ordering columns alone are
-sorted with Spark's range partitioning, rows are counted per partition, and the
-wanted ranks are read from the partitions they fall into.  The result is a plain
-projection that compares each row with those few literal rows: no second
-shuffle, no window, no join.
+of each tile, the rows next to a quantile).
+
+Quantiles of numbers are found by sketches that narrow each point to a short range of
+values and one exact count around and inside these ranges (``quantiles``).
+
+Tiles follow any columns and a unique key: the ordering columns alone are sorted with
+Spark's range partitioning, rows are counted per partition, and the wanted ranks are
+read from the partitions they fall into (``rows_at_ranks``).
+
+The result is a plain projection that compares each row with those few literal rows:
+no second shuffle, no window, no join.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Sequence
 from datetime import date, datetime
 from functools import reduce
+from itertools import accumulate
 from operator import add, and_, or_
 
 from pyspark import StorageLevel
@@ -21,6 +29,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
+# Points of a value sketch, its accuracy, and the rows a range may have to be read in full.
+GRID, SKETCH, FEW_VALUES = 512, 10_000, 20_000
 
 
 def sort_columns(order: Order) -> list[Column]:
@@ -150,34 +160,135 @@ def _number(col: str) -> Column:
     return F.nullif(F.col(col).cast("double"), F.lit(float("nan")))
 
 
-def quantile_edges(df: DataFrame, col: str, points: Sequence[tuple[int, int]]) -> list[float] | None:
-    """Exact quantiles at the fractions ``(numerator, denominator)``.
+def _next_to(point: tuple[int, int], count: int) -> tuple[int, int]:
+    """The two ranks next to a point; the same one twice if it falls on a rank."""
+    num, den = point
+    low, rest = divmod(num * (count - 1), den)
+    return low, low + bool(rest)
+
+
+def _narrowed(
+    df: DataFrame, wanted: dict[str, list[tuple[int, int]]]
+) -> tuple[dict[str, int], dict[str, list[tuple[float, float]]]]:
+    """Value count per column, and per column ranges of values that hold the wanted ranks.
+
+    Each step is one aggregation for all columns and ranges: exact counts and a sketch of
+    the values inside, which cuts every range to a few thousandths.  It ends when a
+    range has at most ``FEW_VALUES`` rows or a single value.
+    """
+    whole = (float("-inf"), float("inf"))
+    found = {(name, point): whole for name, points in wanted.items() for point in points}
+    counts: dict[str, int] = {}
+    pending = set(found)
+    while pending:
+        spans = sorted({(name, found[name, point]) for name, point in pending})
+        grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+        measures = []
+        for i, (name, (low, high)) in enumerate(spans):
+            value = _number(name)
+            inside = F.when(value.between(F.lit(low), F.lit(high)), value)
+            measures += [
+                F.count(F.when(value < F.lit(low), value)).alias(f"before_{i}"),
+                F.count(inside).alias(f"count_{i}"),
+                F.percentile_approx(inside, grid, SKETCH).alias(f"grid_{i}"),
+            ]
+        row = df.agg(*measures).first()
+        at = {span: (row[f"before_{i}"], row[f"count_{i}"], row[f"grid_{i}"]) for i, span in enumerate(spans)}
+        for name, point in list(pending):
+            before, count, values = at[name, found[name, point]]
+            counts.setdefault(name, count)
+            if not count:
+                pending.discard((name, point))
+                continue
+            low, high = _next_to(point, counts[name])
+            margin = 2 + -(-2 * GRID // count)
+            first = max(0, (low - before) * GRID // count - margin)
+            last = min(GRID, -(-(high + 1 - before) * GRID // count) + margin)
+            narrowed = (values[first], values[last])
+            rows = (last - first) * count // GRID
+            if rows <= FEW_VALUES or narrowed[0] == narrowed[1] or narrowed == found[name, point]:
+                pending.discard((name, point))
+            found[name, point] = narrowed
+    ranges: dict[str, list[tuple[float, float]]] = {name: [] for name in wanted}
+    for name, _ in found:
+        if counts[name] and not ranges[name]:
+            for low, high in sorted(found[name, p] for p in wanted[name]):
+                if ranges[name] and low <= ranges[name][-1][1]:
+                    ranges[name][-1] = (ranges[name][-1][0], max(high, ranges[name][-1][1]))
+                else:
+                    ranges[name].append((low, high))
+    return counts, ranges
+
+
+def quantiles(
+    df: DataFrame, wanted: dict[str, list[tuple[int, int]]]
+) -> dict[str, list[float] | None]:
+    """Exact quantiles of several columns at the fractions ``(numerator, denominator)``.
 
     Linear interpolation between the two rows next to each point; positions are
     whole-number arithmetic, so a point that falls on a row is that row's value.
-    NULL and NaN are no values.  None if there is no value.
+    NULL and NaN are no values; None for a column without any.
+
+    Sketches narrow each point to a short range of values, then one aggregation counts
+    the rows between the ranges and the distinct values inside them: no sort, no
+    cached copy, and a value held by a third of the table is one row of the counts.
     """
-    values = df.select(_number(col).alias("_v")).where(F.col("_v").isNotNull())
+    counts, ranges = _narrowed(df, wanted)
+    names = [name for name in wanted if counts[name]]
+    if not names:
+        return dict.fromkeys(wanted)
+    value, place = F.col("_v"), F.lit(None).cast("int")
+    for i, name in enumerate(names):
+        steps = [
+            (value >= F.lit(low)).cast("int") + (value > F.lit(high)).cast("int")
+            for low, high in ranges[name]
+        ]
+        place = F.when(F.col("_c") == i, reduce(add, steps)).otherwise(place)
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), _number(n).alias("_v")) for i, n in enumerate(names)])
+    counted = (
+        df.select(F.inline(cells))
+        .where(value.isNotNull())
+        .withColumn("_place", place)
+        .groupBy("_c", "_place", F.when(F.col("_place") % 2 == 1, value).alias("_v"))
+        .count()
+        .collect()
+    )
+    out: dict[str, list[float] | None] = dict.fromkeys(wanted)
+    for i, name in enumerate(names):
+        # ranges stand at odd places, what lies between them at even ones
+        own = sorted(
+            (r["_place"], float("-inf") if r["_v"] is None else r["_v"], r["_v"], r["count"])
+            for r in counted
+            if r["_c"] == i
+        )
+        upto = list(accumulate(r[3] for r in own))
+
+        def at(rank: int, own=own, upto=upto) -> float:
+            return own[bisect_right(upto, rank)][2]
+
+        edges = []
+        for num, den in wanted[name]:
+            low, high = _next_to((num, den), counts[name])
+            rest = num * (counts[name] - 1) % den
+            below = at(low)
+            edges.append(below + (at(high) - below) * (rest / den) if rest else below)
+        out[name] = edges
+    return out
+
+
+def quantile_edges(df: DataFrame, col: str, points: Sequence[tuple[int, int]]) -> list[float] | None:
+    """Exact quantiles of one column (see ``quantiles``)."""
+    return quantiles(df, {col: list(points)})[col]
 
-    def neighbours(n: int) -> list[int]:
-        lows = [num * (n - 1) // den for num, den in points]
-        return lows + [min(low + 1, n - 1) for low in lows]
 
-    count, rows = rows_at_ranks(values, [("_v", "asc")], neighbours)
-    if count == 0:
-        return None
-    edges = []
-    for num, den in points:
-        low, rest = divmod(num * (count - 1), den)
-        below = rows[low]["_v"]
-        above = rows[min(low + 1, count - 1)]["_v"]
-        edges.append(below + (above - below) * (rest / den) if rest else below)
-    return edges
+def exact_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of several columns, read together."""
+    found = quantiles(df, {name: [(1, 2)] for name in cols}) if cols else {}
+    return {name: edges[0] if edges else None for name, edges in found.items()}
 
 
 def exact_median(df: DataFrame, col: str) -> float | None:
-    edges = quantile_edges(df, col, [(1, 2)])
-    return edges[0] if edges else None
+    return exact_medians(df, [col])[col]
 
 
 def quantile_bins(

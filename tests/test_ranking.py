@@ -202,3 +202,19 @@ def test_zoned_times_are_cut_at_the_same_instant(spark):
         assert {r["tile"]: r["count"] for r in tiles.groupBy("tile").count().collect()} == dict.fromkeys((1, 2, 3, 4), 10)
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_ranges_are_narrowed_more_than_once(spark, monkeypatch):
+    """With a coarse sketch and a low limit every step has to narrow again."""
+    monkeypatch.setattr(ranking, "GRID", 16)
+    monkeypatch.setattr(ranking, "FEW_VALUES", 10)
+    values = [float((k * 7919) % 5003) for k in range(5003)] + [1234.0] * 3000
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    points = [(0, 10), (1, 10), (1, 3), (1, 2), (9, 10), (10, 10)]
+    edges = quantile_edges(df, "v", points)
+    assert edges == pytest.approx(list(np.quantile(values, [a / b for a, b in points])))
+
+
+def test_medians_of_several_columns_at_once(spark):
+    df = spark.createDataFrame([(1, 5.0, None), (2, None, None), (9, 1.0, None)], "a int, b double, c double")
+    assert ranking.exact_medians(df, ["a", "b", "c"]) == {"a": 2.0, "b": 3.0, "c": None}
