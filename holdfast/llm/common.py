@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 WORD_BITS = 64
 # Fixed size of the slot filter: 2**22 bits are 65,536 rows of one long, whatever the data.
 FILTER_WORDS = 1 << 16
+BATCH_BYTES = 4 << 20
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -30,6 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/holdfast-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch, on both sides of the pipe
+    to Python; by default only rows are limited well, and texts may be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = spark.conf.get(name).removesuffix("b")
+    if not limit.isdigit() or int(limit) > most:
+        spark.conf.set(name, str(most))
+
+
 def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes the frame to a shared folder and reads it back: later jobs start from the
     files, so a lost executor costs no earlier stage again."""

@@ -12,10 +12,13 @@ when their sets' Jaccard similarity is 0.8 or more; components of links are the
    and b, every subset with as many shingles as a link between them needs.  Classes that
    share such a subset link without a further check, so a star of edges joins each group.
 4. Heavy classes are found in inverted lists of the shingles in their prefixes, rarest
-   shingle first; two linked classes share a prefix shingle.  Lists are scanned in rounds:
-   each list checks its members against one anchor, and lists whose members are all in
-   one component are done; no list emits all its pairs.  What is left when few
-   cross-component pairs remain is checked in full, so no link between components is lost.
+   shingle first; two linked classes share a prefix shingle, and of lists with the same
+   members one is kept.  A list is scanned with parity bitmaps, whose differing bits are
+   a lower bound of the shingles that differ, so no link is missed; it hands on a forest
+   at first and ``PAIRS_PER_MEMBER`` pairs a member later, never all pairs.  They are
+   checked on the whole sets; lists are scanned again, without the pairs that failed and
+   across components only, until nothing is left to check.  Lists of more than
+   ``BLOCK`` members are scanned block against block, each in a task of its own.
 5. The boundary between light and heavy minimises the estimated cost of both sides, from
    the counts of small sizes and the mean length of the lists.
 
@@ -29,7 +32,8 @@ are repeated in the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from functools import partial
+from itertools import combinations, pairwise
 from math import comb
 
 import numpy as np
@@ -37,15 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import slot_filter, stored, with_slot_flag
+from holdfast.llm.common import bounded_batches, slot_filter, stored, with_slot_flag
 from holdfast.llm.words import WHITE, Powers, RunHash, find_words, mix, separators, slices, word_hashes
 
 SHINGLE = 5
 SLICE_BYTES = 1 << 18
-FLUSH_SHINGLES, DEAL_SHINGLES = 1_500_000, 2_000_000
+FLUSH_SHINGLES, DEAL_SHINGLES = 600_000, 2_000_000
 SHORT_BYTES = 5  # of a shingle's hash that travel; the deal is taken from the others
 MOST_LIGHT = 16  # largest size for which subsets may be enumerated
-ROUNDS, LINEAR = 12, 8
+BLOCK, BITMAP_WORDS, PAIRS_PER_MEMBER = 4096, 32, 8
 
 
 def needed(a: int, b: int) -> int:
@@ -88,7 +92,10 @@ def _signatures(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, short): set size, 128-bit signature of the set, its first half."""
+    """(doc_id, n, node, check): set size and the two halves of the set's signature.
+
+    Classes are told apart by both; ``node`` alone names a class in the steps between.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks, powers = separators(WHITE), Powers()
@@ -100,17 +107,17 @@ def signatures(docs: DataFrame) -> DataFrame:
                     [
                         batch.column("doc_id"),
                         pa.array(np.diff(bounds).astype(np.int64)),
-                        pa.array([m.tobytes() for m in marks], pa.binary()),
-                        pa.array(marks[:, 0].view(np.int64)),
+                        pa.array(np.ascontiguousarray(marks[:, 0]).view(np.int64)),
+                        pa.array(np.ascontiguousarray(marks[:, 1]).view(np.int64)),
                     ],
-                    names=["doc_id", "n", "node", "short"],
+                    names=["doc_id", "n", "node", "check"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, node binary, short bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, node bigint, check bigint")
 
 
 def repeated_counts(docs: DataFrame, deals: int) -> DataFrame:
-    """(short, repeats): rows whose sums are at least the shingles of a class that occur
+    """(node, repeats): rows whose sums are at least the shingles of a class that occur
     in another class (copies of a class may add to it)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +155,11 @@ def repeated_counts(docs: DataFrame, deals: int) -> DataFrame:
         names = np.concatenate([found, *(p[2] for p in parts)])
         counts = np.concatenate([count, *(p[3].astype(np.int64) for p in parts)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.view(np.int64)), pa.array(counts.astype(np.int64))], names=["short", "repeats"]
+            [pa.array(names.view(np.int64)), pa.array(counts.astype(np.int64))], names=["node", "repeats"]
         )
 
     blocks = docs.mapInArrow(cut, "deal int, block binary")
-    return blocks.repartitionById(deals, F.col("deal")).mapInArrow(meet, "short bigint, repeats bigint")
+    return blocks.repartitionById(deals, F.col("deal")).mapInArrow(meet, "node bigint, repeats bigint")
 
 
 def _flush(held: list, deals: int, turn: int) -> pa.RecordBatch:
@@ -229,8 +236,14 @@ def _unpack(block: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return wide.view(np.uint64).ravel(), np.repeat(who, counts), names, local
 
 
+def _bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles that fall on each bit."""
+    bits = np.bincount((mix(shingles) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS)
+    return np.packbits((bits & 1).astype(bool)).tobytes()
+
+
 def class_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the surviving classes, from their first documents' texts."""
+    """(node, n, shingles, bitmap) of the surviving classes, from their first documents' texts."""
     flags = stored(slot_filter(survivors, ["first_id"]))
     probed = with_slot_flag(docs, flags, ["doc_id"], "is_first").where("is_first")
 
@@ -242,13 +255,14 @@ def class_sets(docs: DataFrame, survivors: DataFrame) -> DataFrame:
                 marks = _signatures(shingles, bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([m.tobytes() for m in marks], pa.binary()),
+                        pa.array(np.ascontiguousarray(marks[:, 0]).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(shingles.view(np.int64))),
+                        pa.array([_bitmap(shingles[a:b]) for a, b in pairwise(bounds)], pa.binary()),
                     ],
-                    names=["node", "shingles"],
+                    names=["node", "shingles", "bitmap"],
                 )
 
-    found = probed.select("text").mapInArrow(run, "node binary, shingles array<bigint>")
+    found = probed.select("text").mapInArrow(run, "node bigint, shingles array<bigint>, bitmap binary")
     return found.join(survivors.select("node", "n"), "node").dropDuplicates(["node"])
 
 
@@ -270,7 +284,7 @@ def light_edges(sets: DataFrame, boundary: int) -> DataFrame:
                 [
                     pa.array(np.array([r[0] for r in rows], np.uint64).view(np.int64)),
                     *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2)),
-                    pa.array([r[3] for r in rows], pa.binary()),
+                    pa.array([r[3] for r in rows], pa.int64()),
                     pa.array([r[4] for r in rows], pa.int32()),
                 ],
                 names=["subset", "small", "large", "node", "n"],
@@ -278,7 +292,7 @@ def light_edges(sets: DataFrame, boundary: int) -> DataFrame:
 
     key = ["subset", "small", "large"]
     light = sets.where(F.col("n") < boundary).select("node", "shingles")
-    rows = stored(light.mapInArrow(subsets, "subset bigint, small int, large int, node binary, n int"))
+    rows = stored(light.mapInArrow(subsets, "subset bigint, small int, large int, node bigint, n int"))
     groups = (
         rows.groupBy(*key)
         .agg(
@@ -366,68 +380,140 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("s_a", "s_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def _candidate(n: str, m: str, boundary: int) -> str:
-    return f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and greatest({n}, {m}) >= {boundary}"
+def scanned_lists(sets: DataFrame, lists: DataFrame, boundary: int) -> DataFrame:
+    """(shingle, lo, hi, node, n, bitmap): the members of each list to scan, by pair of blocks."""
+    lists = lists.where(F.col("n") >= -(-4 * boundary // 5))
+    members = lists.groupBy("shingle").agg(
+        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
+        F.count(F.lit(1)).alias("m"),
+        F.max("n").alias("largest"),
+    )
+    kept = (
+        members.where(f"m > 1 and largest >= {boundary}")
+        .groupBy("members", "m")
+        .agg(F.min("shingle").alias("shingle"))
+        .select("shingle", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    )
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct(F.least(x, mine).alias("lo"), F.greatest(x, mine).alias("hi")),
+    )
+    rows = lists.join(kept, "shingle").join(sets.select("node", "bitmap"), "node")
+    return rows.select("shingle", F.explode(meets).alias("at"), "node", "n", "bitmap").select(
+        "shingle", "at.lo", "at.hi", "node", "n", "bitmap"
+    )
+
+
+def forest(
+    nodes: np.ndarray,
+    sizes: np.ndarray,
+    bitmaps: np.ndarray,
+    comps: np.ndarray,
+    failed: list,
+    boundary: int,
+    most: int = 1,
+) -> list[tuple[int, int]]:
+    """Pairs of one list that may link across components.
+
+    With ``most`` 1, a forest that joins all that may link; with more, circles too, until
+    there are ``most`` pairs for each member.
+    """
+    place = {int(v): k for k, v in enumerate(nodes)}
+    _, group = np.unique(comps, return_inverse=True)
+    group = group.astype(np.int64)
+    out = []
+    for i in range(len(nodes) - 1):
+        js = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+        js = js[(5 * small >= 4 * large) & (large >= boundary)]
+        both = sizes[js] + sizes[i]
+        differ = np.bitwise_count(bitmaps[js] ^ bitmaps[i]).sum(axis=1, dtype=np.int64)
+        js = js[differ <= both - 2 * (-(-4 * both // 9))]
+        known = {place.get(v) for v in failed[i] or ()}
+        for j in js.tolist():
+            if j not in known and group[j] != group[i] and nodes[i] != nodes[j]:
+                out.append((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
+                if most == 1:
+                    group[group == group[j]] = group[i]
+                elif len(out) >= most * len(nodes):
+                    return out
+    return out
 
 
 def heavy_edges(sets: DataFrame, lists: DataFrame, edges: DataFrame, boundary: int) -> DataFrame:
-    """Adds the edges that lists of heavy classes give; edges inside a component may be left out."""
-    lists = stored(lists.where(F.col("n") >= -(-4 * boundary // 5)))
-    tested = None
-    for turn in range(ROUNDS + 1):
-        labels = components(edges)
-        rows = stored(
-            lists.join(labels, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        )
-        parts = rows.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"))
-        open_lists = stored(
-            parts.groupBy("shingle")
-            .agg(F.sum("m").alias("rows"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cross"))
-            .where("cross > 0")
-        )
-        left = open_lists.agg(F.sum("cross").alias("cross"), F.sum("rows").alias("rows")).first()
-        if not left["rows"]:
-            return edges
-        rows = rows.join(open_lists.select("shingle"), "shingle")
-        last = left["cross"] <= LINEAR * left["rows"] or turn == ROUNDS
-        if last:
-            other = rows.select("shingle", F.col("node").alias("node_2"), F.col("n").alias("m"), F.col("comp").alias("comp_2"))
-            pairs = rows.join(other, "shingle").where("node < node_2")
+    """Adds the edges that the lists give, until no list has a pair left to check."""
+    members = stored(scanned_lists(sets, lists, boundary))
+    key = ["shingle", "lo", "hi"]
+    failed = None
+
+    def scan(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(k).to_pylist() for k in key), strict=True))
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in pairwise(cuts):
+                if held and names[a] != last:
+                    yield _edges(held, boundary, most)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = names[a]
+        if held:
+            yield _edges(held, boundary, most)
+
+    while True:
+        rows = members.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        if failed is None:
+            rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
         else:
-            anchors = rows.groupBy("shingle").agg(
-                F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "comp")).alias("anchor")
-            )
-            pairs = rows.join(anchors, "shingle").select(
-                "node", "n", "comp",
-                F.col("anchor.node").alias("node_2"), F.col("anchor.n").alias("m"), F.col("anchor.comp").alias("comp_2"),
-            )
-        pairs = (
-            pairs.where(f"comp <> comp_2 and {_candidate('n', 'm', boundary)}")
-            .select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"))
+            both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            of_node = both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("failed"))
+            rows = rows.join(of_node, "node", "left")
+        # a forest first; what is left then mostly fails, so it is checked several at a time
+        most = 1 if failed is None else PAIRS_PER_MEMBER
+        pairs = stored(
+            rows.select(*key, "node", "n", "bitmap", "comp", "failed")
+            .repartition(*key)
+            .sortWithinPartitions(*key, "node")
+            .mapInArrow(partial(scan, most=most), "a bigint, b bigint")
             .distinct()
         )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        tested = pairs if tested is None else stored(tested.unionByName(pairs))
-        edges = stored(edges.unionByName(_verified(pairs, sets)))
-        if last:
+        if pairs.isEmpty():
             return edges
-    return edges
+        good = stored(_verified(pairs, sets))
+        bad = pairs.join(good, ["a", "b"], "left_anti")
+        failed = stored(bad if failed is None else failed.unionByName(bad))
+        edges = stored(edges.unionByName(good))
+
+
+def _edges(held: list[pa.RecordBatch], boundary: int, most: int) -> pa.RecordBatch:
+    rows = pa.Table.from_batches(held)
+    column = lambda name: rows.column(name).to_numpy()
+    bitmaps = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+    found = forest(
+        column("node"), column("n"), bitmaps, column("comp"), rows.column("failed").to_pylist(), boundary, most
+    )
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+    )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of the table."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = stored(signatures(texts))
     classes = stored(
-        named.where("n > 0").groupBy("node", "short", "n").agg(F.min("doc_id").alias("first_id"))
+        named.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("first_id"))
     )
     total = named.agg(F.sum("n")).first()[0] or 0
     spark = docs.sparkSession
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_SHINGLES))
-    counts = repeated_counts(texts, deals).groupBy("short").agg(F.sum("repeats").alias("repeats"))
-    survivors = stored(classes.join(counts, "short").where("5 * repeats >= 4 * n").select("node", "n", "first_id"))
+    counts = repeated_counts(texts, deals).groupBy("node").agg(F.sum("repeats").alias("repeats"))
+    survivors = stored(classes.join(counts, "node").where("5 * repeats >= 4 * n").select("node", "n", "first_id"))
     sets = stored(class_sets(texts, survivors))
     lists = stored(prefix_lists(sets))
     boundary = choose_boundary(sets, lists)

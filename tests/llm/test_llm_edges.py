@@ -149,6 +149,24 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert bag(found) == bag(brute.near(rows))
 
 
+def test_long_lists_are_scanned_block_against_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda sets, lists: 1)
+    rows = [(k, edited(BASE, (11 * k) % 120)) for k in range(30)]
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert bag(found) == bag(brute.near(rows))
+
+
+def test_a_forest_has_no_circles_and_skips_what_failed():
+    sets = [np.arange(100, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64), np.arange(4, 104, dtype=np.uint64)]
+    bitmaps = np.frombuffer(b"".join(jaccard._bitmap(s) for s in sets), np.uint64).reshape(3, -1)
+    nodes, sizes = np.array([7, 8, 9]), np.array([100, 100, 100])
+    assert len(jaccard.forest(nodes, sizes, bitmaps, nodes, [None] * 3, 1)) == 2
+    assert jaccard.forest(nodes, sizes, bitmaps, nodes, [[8, 9], [7, 9], [7, 8]], 1) == []
+    assert jaccard.forest(nodes, sizes, bitmaps, np.array([1, 1, 1]), [None] * 3, 1) == []
+    assert jaccard.forest(nodes, sizes, bitmaps, nodes, [None] * 3, 101) == []
+
+
 def test_substring_dedup(docs, none):
     found = substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()
     assert bag(found) == bag(brute.passages(ROWS))
