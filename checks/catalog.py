@@ -122,7 +122,8 @@ def view_scan(spark, sf):
 def layer_table(spark, sf):
     """Accounts per person from a managed, bucketed table of a layer that is created for it."""
     store = CatalogStore(spark, buckets=4)
-    stored, _ = store.replace(T.customers(spark, sf), "raw", "layer_accounts", PERSON)
+    name = f"layer_accounts_{uuid4().hex}"  # folders of earlier sessions may still be there
+    stored, _ = store.replace(T.customers(spark, sf), "raw", name, PERSON)
     return stored.groupBy(PERSON).agg(F.count(F.lit(1)).alias("accounts"))
 
 
