@@ -1,7 +1,7 @@
 """Operators for training-data corpora; nothing outside this folder imports them.
 
-Functions of this package that run inside tasks are shipped by value, so executors
-need PySpark, numpy and pyarrow but not this package.
+Functions of this package that run inside tasks are shipped by value, and broadcasts hold
+plain data, so executors need PySpark, numpy and pyarrow but not this package.
 """
 
 import sys

@@ -238,13 +238,14 @@ def fit(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
 def score(stats: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row."""
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    shared = stats.sparkSession.sparkContext.broadcast(vars(model))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(**shared.value)
         for frame in frames:
             if len(frame):
                 yield pd.DataFrame(
-                    {"doc_id": frame["doc_id"].astype("Int64"), "score": shared.value.score(_matrix(frame["stats"]))}
+                    {"doc_id": frame["doc_id"].astype("Int64"), "score": model.score(_matrix(frame["stats"]))}
                 )
 
     return stats.mapInPandas(run, "doc_id bigint, score double")

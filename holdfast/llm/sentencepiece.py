@@ -298,13 +298,14 @@ def encode(
     """The rows with ``ids``, and with ``round_trip`` if ``verify`` (the ids decode to the
     text; null counts as empty).  A name that is taken already gets a trailing underscore."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load_vocabulary(model_path))
+    shared = spark.sparkContext.broadcast(vars(load_vocabulary(model_path)))
     names = [fresh(docs, "ids"), *([fresh(docs, "round_trip")] if verify else [])]
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kinds = f"`{names[0]}` array<int>" + (f", `{names[1]}` boolean" if verify else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = Encoder(shared.value), _decoder(shared.value)
+        vocabulary = Vocabulary(**shared.value)
+        encoder, table = Encoder(vocabulary), _decoder(vocabulary)
         for whole in batches:
             for batch in slices(whole, text_col, SLICE_BYTES):
                 texts = [t or "" for t in batch.column(text_col).to_pylist()]
@@ -320,12 +321,12 @@ def encode(
 
 def decode(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL) -> DataFrame:
     """The rows with ``decoded``, the text of their ids."""
-    shared = rows.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
+    shared = rows.sparkSession.sparkContext.broadcast(vars(load_vocabulary(model_path)))
     name = fresh(rows, "decoded")
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _decoder(shared.value)
+        table = _decoder(Vocabulary(**shared.value))
         for batch in batches:
             lists = [x or [] for x in batch.column(ids_col).to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
