@@ -117,8 +117,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def repeated_counts(docs: DataFrame, deals: int) -> DataFrame:
-    """(node, repeats): rows whose sums are at least the shingles of a class that occur
-    in another class (copies of a class may add to it)."""
+    """(node, repeats): at least the shingles of a class that occur in another class
+    (copies of a class may add to it), for the classes that have any.
+
+    The counts of each deal are packed again, dealt by class, and added up there.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         breaks, powers = separators(WHITE), Powers()
@@ -152,14 +155,43 @@ def repeated_counts(docs: DataFrame, deals: int) -> DataFrame:
         again[:-1] |= same
         again &= owner != 0
         found, count = np.unique(owner[again], return_counts=True)
-        names = np.concatenate([found, *(p[2] for p in parts)])
-        counts = np.concatenate([count, *(p[3].astype(np.int64) for p in parts)])
+        names, counts = _added([(found, count), *((p[2], p[3]) for p in parts)])
+        if not len(names):
+            return
+        deal = (names % np.uint64(deals)).astype(np.int64)
+        order = np.argsort(deal, kind="stable")
+        to, heads = np.unique(deal[order], return_index=True)
+        ends = np.append(heads[1:], len(order))
+        blocks = [
+            names[order[a:b]].tobytes() + counts[order[a:b]].astype(np.uint32).tobytes()
+            for a, b in zip(heads.tolist(), ends.tolist(), strict=True)
+        ]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names.view(np.int64)), pa.array(counts.astype(np.int64))], names=["node", "repeats"]
+            [pa.array(to.astype(np.int32)), pa.array(blocks, pa.binary())], names=["deal", "block"]
         )
 
-    blocks = docs.mapInArrow(cut, "deal int, block binary")
-    return blocks.repartitionById(deals, F.col("deal")).mapInArrow(meet, "node bigint, repeats bigint")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                n = len(block) // 12
+                parts.append((np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.uint32, n, 8 * n)))
+        if parts:
+            names, counts = _added(parts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names.view(np.int64)), pa.array(counts)], names=["node", "repeats"]
+            )
+
+    packed = "deal int, block binary"
+    met = docs.mapInArrow(cut, packed).repartitionById(deals, F.col("deal")).mapInArrow(meet, packed)
+    return met.repartitionById(deals, F.col("deal")).mapInArrow(add, "node bigint, repeats bigint")
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct names and the sums of their counts."""
+    names, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([p[1] for p in parts]), len(names))
+    return names, counts.astype(np.int64)
 
 
 def _flush(held: list, deals: int, turn: int) -> pa.RecordBatch:
@@ -512,7 +544,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = named.agg(F.sum("n")).first()[0] or 0
     spark = docs.sparkSession
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_SHINGLES))
-    counts = repeated_counts(texts, deals).groupBy("node").agg(F.sum("repeats").alias("repeats"))
+    counts = repeated_counts(texts, deals)
     survivors = stored(classes.join(counts, "node").where("5 * repeats >= 4 * n").select("node", "n", "first_id"))
     sets = stored(class_sets(texts, survivors))
     lists = stored(prefix_lists(sets))
