@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from holdfast.llm.common import fresh
 from holdfast.llm.words import find_words, separators, slices, span_hash
 
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 16_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8_000
 MOST_FEATURES, PREFIXES = 20_000, (4, 5, 6)
 # z-value of the log odds ratio from which a feature is kept.
 LEAST_Z = 3.0
@@ -120,12 +120,12 @@ def fit(sample: DataFrame, steps: int = 400, rate: float = 0.1, decay: float = 1
     rows = sample.mapInArrow(extract, "label int, n bigint, owner binary, feature binary").toArrow()
     label = rows.column("label").to_numpy().astype(np.int64)
     n = rows.column("n").to_numpy()
-    owners = [np.frombuffer(x, np.int32) for x in rows.column("owner").to_pylist()]
-    base = np.concatenate([[0], np.cumsum(n)])
-    owner = np.concatenate([np.zeros(0, np.int64), *(o + b for o, b in zip(owners, base))]).astype(np.int64)
-    feature = np.concatenate(
-        [np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in rows.column("feature").to_pylist())]
+    base = np.repeat(
+        np.concatenate([[0], np.cumsum(n)])[:-1], pc.binary_length(rows.column("owner")).to_numpy() // 4
     )
+    owner = np.frombuffer(_joined(rows, "owner"), np.int32) + base
+    feature = np.frombuffer(_joined(rows, "feature"), np.uint64)
+    del rows
     bag = np.repeat(np.arange(len(n)), n)
     known = _select(bag[owner], feature, label)
     at = np.searchsorted(known, feature)
@@ -135,6 +135,10 @@ def fit(sample: DataFrame, steps: int = 400, rate: float = 0.1, decay: float = 1
     return _descend(known, owner, at, bag, label, len(n), steps, rate, decay)
 
 
+def _joined(rows: pa.Table, name: str) -> bytes:
+    return b"".join(x.as_buffer() for chunk in rows.column(name).chunks for x in chunk)
+
+
 def _select(bag: np.ndarray, feature: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Features whose documents are toxic more often than chance allows."""
     picks = _distinct(bag, feature)
@@ -191,13 +195,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """The rows with ``score`` and ``offending`` (sentences at 0.5 or more: code point
     offset of the first word, the sentence's score).  A name that is taken already gets
     a trailing underscore."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     names = [fresh(docs, "score"), fresh(docs, "offending")]
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kinds = f"`{names[0]}` double, `{names[1]}` array<struct<start:bigint,score:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model(**shared.value)
         item = pa.list_(pa.struct([("start", pa.int64()), ("score", pa.float64())]))
         for whole in batches:
             for batch in slices(whole, text_col):
