@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from holdfast.llm.common import slot_filter, stored, with_slot_flag
 
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 RUN = 8
 OPEN, MAIN, OUT = 0, 1, 2
 
