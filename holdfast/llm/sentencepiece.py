@@ -22,6 +22,7 @@ white space included; equal texts have equal pieces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -39,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE_BYTES = 8 << 20
 # A task keeps the pieces of the words it has met, up to this many.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 500_000
 
 
 @dataclass
@@ -106,7 +107,7 @@ class Encoder:
         self.blank()
 
     def blank(self) -> None:
-        self.words, self.flat, self.bounds = {}, [], [0]
+        self.words, self.flat, self.bounds = {}, array("i"), array("q", [0])
 
     def spine(self, piece: int, right: bool) -> list[int]:
         """The pieces along one edge of the merge tree, in the order they are built."""
