@@ -14,6 +14,10 @@ text there; on other pages all blocks that are not excluded are open.
 Hosts are cut into shards of about ``SHARD_BYTES`` by a hash of the page id once they are
 larger than that, so no task holds more than one shard; host sizes are counted with
 partial sums, and only pages of large hosts meet their number of shards in a join.
+Suffixes are sorted per shard, but repeats are settled for the whole host: the runs of
+all shards are dealt by a 64-bit hash of host and words, their pages counted, and those on
+two or more pages sent back to the shards that have them.  The size of a host or shard
+does not change a text.
 
 Defined results: null and empty pages give the empty text; text outside all tags is open;
 unclosed tags end with their parent; pages without a host are one host together; repeated
@@ -22,6 +26,7 @@ rows of one page id are one page when repeats are counted.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -32,8 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import slot_filter, stored, with_slot_flag
+from holdfast.llm.words import RunHash, mix, span_hash, utf8
 
 SHARD_BYTES = 1 << 20
+FLUSH_RUNS, DEAL_BYTES = 600_000, 16 << 20
 RUN = 8
 OPEN, MAIN, OUT = 0, 1, 2
 
@@ -151,16 +158,17 @@ def page_blocks(page: str) -> list[tuple[int, list[str]]]:
     return blocks
 
 
-def repeated_words(tokens: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Marks the tokens in runs of ``run`` tokens that stand in two or more pages.
+def run_pages(tokens: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each token, the number of distinct pages that have the run of ``run`` tokens
+    that starts there; 0 where a run would cross a page border.
 
     Sorts all suffixes by their first ``run`` tokens, doubling the sorted length until it
-    is reached; a run does not cross a page border.
+    is reached.
     """
     n = len(tokens)
-    covered = np.zeros(n, bool)
+    counts = np.zeros(n, np.int64)
     if n < run:
-        return covered
+        return counts
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     done = 1
     while done < run:
@@ -172,28 +180,70 @@ def repeated_words(tokens: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.
     starts = np.flatnonzero(pages[: n - run + 1] == pages[run - 1 :])
     order = starts[np.lexsort((pages[starts], rank[starts]))]
     if not len(order):
-        return covered
+        return counts
     new = np.ones(len(order), bool)
     new[1:] = rank[order][1:] != rank[order][:-1]
-    heads = np.flatnonzero(new)
-    ends = np.append(heads[1:], len(order)) - 1
-    several = pages[order[heads]] != pages[order[ends]]
-    begins = order[np.repeat(several, ends - heads + 1)]
-    steps = np.zeros(n + 1, np.int64)
+    other = new.copy()
+    other[1:] |= pages[order][1:] != pages[order][:-1]
+    group = np.cumsum(new) - 1
+    counts[order] = np.bincount(group, other).astype(np.int64)[group]
+    return counts
+
+
+def cover(chosen: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Marks the tokens of the runs that start where ``chosen`` is true."""
+    steps = np.zeros(len(chosen) + run + 1, np.int64)
+    begins = np.flatnonzero(chosen)
     np.add.at(steps, begins, 1)
     np.add.at(steps, begins + run, -1)
-    return np.cumsum(steps[:-1]) > 0
+    return np.cumsum(steps)[: len(chosen)] > 0
+
+
+def repeated_words(tokens: np.ndarray, pages: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Marks the tokens in runs of ``run`` tokens that stand in two or more pages."""
+    return cover(run_pages(tokens, pages, run) >= 2, run)
+
+
+def _window_keys(words: list[str], owner: np.ndarray, salts: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of ``run`` words with one owner, and their hashes with the owner's salt."""
+    start = np.flatnonzero(owner[: max(0, len(owner) - run + 1)] == owner[run - 1 :])
+    if not len(start):
+        return start, np.zeros(0, np.uint64)
+    data, bounds = utf8(pa.array(words, pa.large_string()))
+    runs = RunHash(span_hash(data).of(bounds[:-1], bounds[1:]))
+    return start, mix(runs.of(start, start + run) ^ salts[owner[start]])
+
 
+def _salt(host: str) -> np.uint64:
+    return np.uint64(int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest(), "little"))
 
-def shard_texts(pages: list[str], page_ids: list, run: int = RUN) -> list[str]:
-    """Main texts of the pages of one shard."""
+
+def shard_texts(
+    pages: list[str],
+    page_ids: list,
+    run: int = RUN,
+    host: str = "",
+    known: tuple[np.ndarray, np.ndarray] | None = None,
+) -> list[str]:
+    """Main texts of the pages of one shard.
+
+    ``known`` has the sorted keys of runs that other shards of the host have too, and
+    the pages of the host that have each.
+    """
     parsed = [page_blocks(p) for p in pages]
     ids: dict[str, int] = {}
     numbers = {p: k for k, p in enumerate(dict.fromkeys(page_ids))}
-    tokens = [ids.setdefault(w, len(ids)) for blocks in parsed for _, words in blocks for w in words]
-    sizes = [sum(len(words) for _, words in blocks) for blocks in parsed]
-    owner = np.repeat([numbers[p] for p in page_ids], sizes) if pages else np.zeros(0, int)
-    covered = repeated_words(np.array(tokens, np.int64), owner, run)
+    words = [w for blocks in parsed for _, found in blocks for w in found]
+    tokens = [ids.setdefault(w, len(ids)) for w in words]
+    sizes = [sum(len(found) for _, found in blocks) for blocks in parsed]
+    row = np.repeat(np.arange(len(pages)), sizes)
+    owner = np.array([numbers[p] for p in page_ids], np.int64)[row] if pages else np.zeros(0, np.int64)
+    counts = run_pages(np.array(tokens, np.int64), owner, run)
+    if known is not None and len(known[0]):
+        start, key = _window_keys(words, owner, np.full(len(numbers), _salt(host)), run)
+        at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+        counts[start] = np.maximum(counts[start], np.where(known[0][at] == key, known[1][at], 0))
+    covered = cover(counts >= 2, run)
     out, at = [], 0
     for blocks in parsed:
         has_main = any(verdict == MAIN for verdict, _ in blocks)
@@ -211,8 +261,9 @@ def shard_texts(pages: list[str], page_ids: list, run: int = RUN) -> list[str]:
     return out
 
 
-def _dealt(pages: DataFrame, shard_bytes: int) -> DataFrame:
-    """(page_id, url, html, host, shard)."""
+def _dealt(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(page_id, url, html, host, shard) of small and of large hosts, the (host, page_id)
+    of large hosts that have several rows, and the html bytes of large hosts."""
     host = F.lower(
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
     )
@@ -220,18 +271,163 @@ def _dealt(pages: DataFrame, shard_bytes: int) -> DataFrame:
     sizes = rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"))
     large = stored(
         sizes.where(F.col("bytes") > shard_bytes).select(
-            "host", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards")
+            "host", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards"), "bytes"
         )
     )
-    probed = with_slot_flag(rows, stored(slot_filter(large, ["host"])), ["host"], "is_large")
-    small = probed.where("not is_large").withColumn("shard", F.lit(0))
+    total = large.agg(F.sum("bytes")).first()[0] or 0
+    probed = with_slot_flag(rows, stored(slot_filter(large, ["host"])), ["host"], "may_be_large")
+    met = probed.where("may_be_large").join(large.drop("bytes"), "host", "left")
+    small = (
+        probed.where("not may_be_large")
+        .unionByName(met.where("shards is null").drop("shards"))
+        .withColumn("shard", F.lit(0))
+        .drop("may_be_large")
+    )
     split = (
-        probed.where("is_large")
-        .join(large, "host", "left")
-        .withColumn("shard", F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int"))
-        .drop("shards")
+        met.where("shards is not null")
+        .withColumn("shard", F.pmod(F.xxhash64("page_id"), "shards").cast("int"))
+        .drop("shards", "may_be_large")
+    )
+    again = split.groupBy("host", "page_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return small, split, again.select("host", "page_id"), total
+
+
+def known_runs(split: DataFrame, again: DataFrame, total: int, run: int) -> DataFrame:
+    """(host, shard, keys, counts): of the runs of each shard, those that two or more pages
+    of the host have, and how many.
+
+    Each batch of pages sends a key once for each shard, with its number of pages there;
+    blocks of keys are dealt by key and added up, and only what repeats is sent back.
+    """
+    spark = split.sparkSession
+    deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_BYTES))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        places: dict[tuple[str, int], int] = {}
+        last, page, size = None, 0, 0
+        for batch in batches:
+            parsed: list[list[str]] = []
+            salts, numbers, groups = [], [], []
+
+            def keep() -> int:
+                owner = np.repeat(np.arange(len(parsed)), [len(x) for x in parsed])
+                start, key = _window_keys(
+                    [w for x in parsed for w in x], owner, np.array(salts, np.uint64), run
+                )
+                row = owner[start]
+                held.append((key, np.array(numbers, np.int64)[row], np.array(groups, np.int64)[row]))
+                return len(key)
+
+            for row in batch.to_pylist():
+                if (row["host"], row["page_id"]) != last:
+                    if sum(map(len, parsed)) + size >= FLUSH_RUNS:
+                        if parsed:
+                            keep()
+                        yield _run_blocks(held, places, deals)
+                        held, places, size = [], {}, 0
+                        parsed, salts, numbers, groups = [], [], [], []
+                    last, page = (row["host"], row["page_id"]), page + 1
+                parsed.append([w for _, words in page_blocks(row["html"]) for w in words])
+                salts.append(_salt(row["host"]))
+                numbers.append(page)
+                groups.append(places.setdefault((row["host"], row["shard"]), len(places)))
+            if parsed:
+                size += keep()
+        if held:
+            yield _run_blocks(held, places, deals)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, groups, counts = [], [], []
+        places: dict[tuple[str, int], int] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                names = [
+                    places.setdefault(x, len(places)) for x in zip(row["hosts"], row["shards"], strict=True)
+                ]
+                key, group, count = _unpacked(row["block"])
+                keys.append(key)
+                groups.append(np.array(names, np.int32)[group])
+                counts.append(count)
+        if not keys:
+            return
+        key, group, count = np.concatenate(keys), np.concatenate(groups), np.concatenate(counts)
+        del keys, groups, counts
+        order = np.lexsort((group, key))
+        key, group, count = key[order], group[order], count[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        of_key = np.cumsum(new) - 1
+        pages = np.bincount(of_key, count).astype(np.int64)[of_key]
+        other = new.copy()
+        other[1:] |= group[1:] != group[:-1]
+        kept = np.flatnonzero(other & (pages >= 2))
+        kept = kept[np.argsort(group[kept], kind="stable")]
+        names = list(places)
+        found, heads = np.unique(group[kept], return_index=True)
+        for g, part in zip(found.tolist(), np.split(kept, heads[1:]), strict=False):
+            host, shard = names[g]
+            packed = _packed(key[part], np.zeros(0, np.uint16), pages[part])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([host]), pa.array([shard], pa.int32()), pa.array([packed], pa.binary())],
+                names=["host", "shard", "block"],
+            )
+
+    once, more = split, None
+    if not again.isEmpty():
+        again = stored(again)
+        probed = with_slot_flag(split, stored(slot_filter(again, ["host", "page_id"])), ["host", "page_id"], "is_again")
+        once = probed.where("not is_again").drop("is_again")
+        more = probed.where("is_again").drop("is_again").repartition("host", "page_id")
+        more = more.sortWithinPartitions("host", "page_id")
+    columns = ["page_id", "html", "host", "shard"]
+    packed = "deal int, hosts array<string>, shards array<int>, block binary"
+    blocks = once.select(*columns).mapInArrow(cut, packed)
+    if more is not None:
+        blocks = blocks.unionByName(more.select(*columns).mapInArrow(cut, packed))
+    return blocks.repartitionById(deals, F.col("deal")).mapInArrow(meet, "host string, shard int, block binary")
+
+
+def _run_blocks(held: list, places: dict[tuple[str, int], int], deals: int) -> pa.RecordBatch:
+    """One block for each deal: distinct keys of each shard and their pages."""
+    key, page, group = (np.concatenate([h[k] for h in held]) for k in range(3))
+    order = np.lexsort((page, group, key))
+    key, page, group = key[order], page[order], group[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
+    other = new.copy()
+    other[1:] |= page[1:] != page[:-1]
+    count = np.bincount(np.cumsum(new) - 1, other).astype(np.int64) if len(key) else np.zeros(0, np.int64)
+    key, group = key[new], group[new]
+    deal = (key % np.uint64(deals)).astype(np.int64)
+    order = np.argsort(deal, kind="stable")
+    found, heads = np.unique(deal[order], return_index=True)
+    names = list(places)
+    rows: list[tuple] = []
+    for d, part in zip(found.tolist(), np.split(order, heads[1:]), strict=False):
+        used, at = np.unique(group[part], return_inverse=True)
+        mine = [names[g] for g in used.tolist()]
+        rows.append((d, [m[0] for m in mine], [m[1] for m in mine], _packed(key[part], at, count[part])))
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["deal", "hosts", "shards", "block"]
     )
-    return small.unionByName(split).drop("is_large")
+
+
+def _packed(key: np.ndarray, group: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending keys by byte places, groups and counts, compressed."""
+    planes = np.ascontiguousarray(key.view(np.uint8).reshape(-1, 8).T).tobytes()
+    body = b"".join((planes, count.astype(np.uint32).tobytes(), group.astype(np.uint32).tobytes()))
+    head = np.array([len(key), len(body)], np.uint32).tobytes()
+    return head + pa.Codec("zstd", compression_level=1).compress(body, asbytes=True)
+
+
+def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, size = np.frombuffer(block, np.uint32, 2).tolist()
+    body = pa.Codec("zstd").decompress(block[8:], decompressed_size=size, asbytes=True)
+    key = np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
+    return key, np.frombuffer(body, np.uint32, -1, 12 * n), np.frombuffer(body, np.uint32, n, 8 * n)
 
 
 def extract_text(pages: DataFrame, run: int = RUN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -242,23 +438,36 @@ def extract_text(pages: DataFrame, run: int = RUN, shard_bytes: int = SHARD_BYTE
         for batch in batches:
             for row in batch.to_pylist():
                 if held and (held[0]["host"], held[0]["shard"]) != (row["host"], row["shard"]):
-                    yield _texts(held, run)
+                    yield from _texts(held, run)
                     held = []
                 held.append(row)
         if held:
-            yield _texts(held, run)
+            yield from _texts(held, run)
 
+    small, split, again, total = _dealt(pages, shard_bytes)
+    rows = small.withColumn("block", F.lit(None).cast("binary"))
+    if total:
+        rows = rows.unionByName(split.withColumn("block", F.lit(None).cast("binary")))
+        rows = rows.unionByName(known_runs(split, again, total, run), allowMissingColumns=True)
     return (
-        _dealt(pages, shard_bytes)
-        .repartition("host", "shard")
+        rows.repartition("host", "shard")
         .sortWithinPartitions("host", "shard")
         .mapInArrow(run_shards, "page_id bigint, url string, text string, n_chars bigint")
     )
 
 
-def _texts(rows: list[dict], run: int) -> pa.RecordBatch:
-    texts = shard_texts([r["html"] for r in rows], [r["page_id"] for r in rows], run)
-    return pa.RecordBatch.from_arrays(
+def _texts(rows: list[dict], run: int) -> Iterator[pa.RecordBatch]:
+    blocks = [_unpacked(r["block"]) for r in rows if r["block"] is not None]
+    rows = [r for r in rows if r["block"] is None]
+    known = None
+    if blocks:
+        keys, counts = np.concatenate([b[0] for b in blocks]), np.concatenate([b[2] for b in blocks])
+        order = np.argsort(keys)
+        known = keys[order], counts[order].astype(np.int64)
+    if not rows:
+        return
+    texts = shard_texts([r["html"] for r in rows], [r["page_id"] for r in rows], run, rows[0]["host"], known)
+    yield pa.RecordBatch.from_arrays(
         [
             pa.array([r["page_id"] for r in rows], pa.int64()),
             pa.array([r["url"] for r in rows], pa.string()),

@@ -434,6 +434,24 @@ def test_html_repeats_of_a_host(spark):
     assert html.extract_text(frame.limit(0)).count() == 0
 
 
+def test_html_repeats_do_not_depend_on_shards(spark):
+    """Runs on few pages of a host go whether or not the pages share a shard."""
+    own = lambda n, seed: " ".join(f"s{seed}n{k}" for k in range(n))
+    pairs = [own(12, 500 + k) for k in range(20)]
+    rows = [(k, "http://h.example/p", f"<p>{own(15, k)}</p><p>{pairs[k % 20]}</p>") for k in range(40)]
+    rows += [(k, "http://h.example/p", f"<p>{own(15, k)}</p>") for k in range(40, 80)]
+    # several rows of one page are one page, in whatever batch they are
+    rows += [(80, "http://h.example/p", f"<p>{own(15, 80)}</p>")] * 3
+    rows += [(80, "http://h.example/p", f"<p>{own(15, 81)}</p>")]
+    rows += [(k, "http://other.example/", f"<p>{pairs[0]}</p>") for k in (90,)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = sorted((k, own(15, k)) for k in [*range(80), 80, 80, 80])
+    want = sorted([*want, (80, own(15, 81)), (90, pairs[0])])
+    for shard_bytes in (html.SHARD_BYTES, 700):
+        found = html.extract_text(frame, shard_bytes=shard_bytes).collect()
+        assert sorted((r["page_id"], r["text"]) for r in found) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_repeated_words_equal_brute_force(pages):
