@@ -5,15 +5,18 @@ an article or main element, inside a part that is never main text (menus, header
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), or neither.
 The word streams of a host's pages are concatenated and their suffixes sorted by their
 first ``RUN`` words (prefix doubling); runs that stand in two or more distinct pages
-cover what the host repeats.  Of the blocks that markup leaves open, covered words go
-and unique runs stay.  Markup decides where it speaks: an article that a host serves at
-two addresses is repeated, and still is the main text of both; a menu drawn up for one
-page is unique, and still is a menu.  A page with an article or main element has its main
-text there; on other pages all blocks that are not excluded are open.
+cover what the host repeats.  A page with an article or main element has its main text
+there; on other pages all blocks that are not excluded are open.  Of open blocks, covered
+words go and unique runs stay.  Inside an article or main element, words go whose runs
+stand on half of the host's distinct pages or more, and on ``LEAST_PAGES`` at least: those
+are notices and calls that the host puts into every article.  An article that a host serves
+at several addresses is repeated, and still is the main text of each: a page stays whole
+if the share ``MIRRORED`` of its main text or more would go.  What markup excludes stays
+excluded: a menu drawn up for one page is unique, and still is a menu.
 
 Hosts are cut into shards of about ``SHARD_BYTES`` by a hash of the page id once they are
-larger than that, so no task holds more than one shard; host sizes are counted with
-partial sums, and only pages of large hosts meet their number of shards in a join.
+larger than that, so no task holds more than one shard; sizes are counted with partial
+sums by slots of hosts, and pages travel compressed.
 Suffixes are sorted per shard, but repeats are settled for the whole host: the runs of
 all shards are dealt by a 64-bit hash of host and words, their pages counted, and those on
 two or more pages sent back to the shards that have them.  The size of a host or shard
@@ -40,8 +43,11 @@ from holdfast.llm.common import slot_filter, stored, with_slot_flag
 from holdfast.llm.words import RunHash, mix, span_hash, utf8
 
 SHARD_BYTES = 1 << 20
-FLUSH_RUNS, DEAL_BYTES = 600_000, 16 << 20
+SLOTS, FLUSH_RUNS, DEAL_BYTES = 1 << 16, 600_000, 16 << 20
 RUN = 8
+# Inside main text, a run is a notice of the host from so many of its pages, and from half
+# of them; a page whose main text has this share of such words or more is a mirror.
+LEAST_PAGES, MIRRORED = 4, 0.8
 OPEN, MAIN, OUT = 0, 1, 2
 
 # Fixed values of HTML.
@@ -224,11 +230,13 @@ def shard_texts(
     run: int = RUN,
     host: str = "",
     known: tuple[np.ndarray, np.ndarray] | None = None,
+    host_pages: int | None = None,
 ) -> list[str]:
     """Main texts of the pages of one shard.
 
     ``known`` has the sorted keys of runs that other shards of the host have too, and
-    the pages of the host that have each.
+    the pages of the host that have each; ``host_pages`` is the number of distinct pages
+    of the host, if it has other shards.
     """
     parsed = [page_blocks(p) for p in pages]
     ids: dict[str, int] = {}
@@ -243,16 +251,18 @@ def shard_texts(
         start, key = _window_keys(words, owner, np.full(len(numbers), _salt(host)), run)
         at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
         counts[start] = np.maximum(counts[start], np.where(known[0][at] == key, known[1][at], 0))
-    covered = cover(counts >= 2, run)
+    repeated = cover(counts >= 2, run)
+    often = cover(counts >= max(LEAST_PAGES, -(-(host_pages or len(numbers)) // 2)), run)
     out, at = [], 0
     for blocks in parsed:
-        has_main = any(verdict == MAIN for verdict, _ in blocks)
+        ends = at + np.cumsum([len(words) for _, words in blocks], dtype=np.int64)
+        mains = [often[e - len(words) : e] for e, (v, words) in zip(ends, blocks, strict=True) if v == MAIN]
+        share = np.concatenate(mains).mean() if mains else 0.0
+        wanted, covered = (MAIN, often if share < MIRRORED else None) if mains else (OPEN, repeated)
         lines = []
         for verdict, words in blocks:
-            if verdict == MAIN:
-                lines.append(" ".join(words))
-            elif verdict == OPEN and not has_main:
-                marks = covered[at : at + len(words)].tolist()
+            if verdict == wanted:
+                marks = covered[at : at + len(words)].tolist() if covered is not None else [False] * len(words)
                 kept = [w for w, gone in zip(words, marks, strict=True) if not gone]
                 if kept:
                     lines.append(" ".join(kept))
@@ -261,35 +271,32 @@ def shard_texts(
     return out
 
 
-def _dealt(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """(page_id, url, html, host, shard) of small and of large hosts, the (host, page_id)
-    of large hosts that have several rows, and the html bytes of large hosts."""
+def _dealt(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """(page_id, url, html, host, shard, is_split) of all rows; (host, shard, page_id, rows)
+    of split hosts; and the html bytes of these.
+
+    Shards are given by slots, of which there are at most ``SLOTS``, so their table can be
+    broadcast; a host that shares its slot with a large one is split with it.
+    """
     host = F.lower(
         F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
     )
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"))
-    large = stored(
-        sizes.where(F.col("bytes") > shard_bytes).select(
-            "host", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards"), "bytes"
-        )
-    )
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("host"), F.lit(SLOTS)).cast("int"))
+    sizes = rows.groupBy("slot").agg(F.sum(F.octet_length("html")).alias("bytes"))
+    large = stored(sizes.where(F.col("bytes") > shard_bytes))
     total = large.agg(F.sum("bytes")).first()[0] or 0
-    probed = with_slot_flag(rows, stored(slot_filter(large, ["host"])), ["host"], "may_be_large")
-    met = probed.where("may_be_large").join(large.drop("bytes"), "host", "left")
-    small = (
-        probed.where("not may_be_large")
-        .unionByName(met.where("shards is null").drop("shards"))
-        .withColumn("shard", F.lit(0))
-        .drop("may_be_large")
+    shards = large.select("slot", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards"))
+    dealt = rows.join(F.broadcast(shards), "slot", "left").select(
+        "page_id",
+        "url",
+        "html",
+        "host",
+        F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
+        F.col("shards").isNotNull().alias("is_split"),
     )
-    split = (
-        met.where("shards is not null")
-        .withColumn("shard", F.pmod(F.xxhash64("page_id"), "shards").cast("int"))
-        .drop("shards", "may_be_large")
-    )
-    again = split.groupBy("host", "page_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return small, split, again.select("host", "page_id"), total
+    rows_of = dealt.where("is_split").groupBy("host", "shard", "page_id").agg(F.count(F.lit(1)).alias("rows"))
+    return dealt, rows_of, total
 
 
 def known_runs(split: DataFrame, again: DataFrame, total: int, run: int) -> DataFrame:
@@ -375,7 +382,6 @@ def known_runs(split: DataFrame, again: DataFrame, total: int, run: int) -> Data
 
     once, more = split, None
     if not again.isEmpty():
-        again = stored(again)
         probed = with_slot_flag(split, stored(slot_filter(again, ["host", "page_id"])), ["host", "page_id"], "is_again")
         once = probed.where("not is_again").drop("is_again")
         more = probed.where("is_again").drop("is_again").repartition("host", "page_id")
@@ -444,11 +450,23 @@ def extract_text(pages: DataFrame, run: int = RUN, shard_bytes: int = SHARD_BYTE
         if held:
             yield from _texts(held, run)
 
-    small, split, again, total = _dealt(pages, shard_bytes)
-    rows = small.withColumn("block", F.lit(None).cast("binary"))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
+        for batch in batches:
+            texts = [x.encode() for x in batch.column("html").to_pylist()]
+            column = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("html"), "html", column)
+
+    dealt, rows_of, total = _dealt(pages, shard_bytes)
+    packed = "page_id bigint, url string, html binary, host string, shard int"
+    rows = dealt.drop("is_split").withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(pack, packed)
+    rows = rows.withColumns({"block": F.lit(None).cast("binary"), "host_pages": F.lit(None).cast("long")})
     if total:
-        rows = rows.unionByName(split.withColumn("block", F.lit(None).cast("binary")))
-        rows = rows.unionByName(known_runs(split, again, total, run), allowMissingColumns=True)
+        rows_of = stored(rows_of)
+        known = known_runs(dealt.where("is_split"), rows_of.where("rows > 1").select("host", "page_id"), total, run)
+        of_host = rows_of.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+        of_shard = rows_of.select("host", "shard").distinct().join(of_host, "host")
+        rows = rows.unionByName(known, allowMissingColumns=True).unionByName(of_shard, allowMissingColumns=True)
     return (
         rows.repartition("host", "shard")
         .sortWithinPartitions("host", "shard")
@@ -458,7 +476,8 @@ def extract_text(pages: DataFrame, run: int = RUN, shard_bytes: int = SHARD_BYTE
 
 def _texts(rows: list[dict], run: int) -> Iterator[pa.RecordBatch]:
     blocks = [_unpacked(r["block"]) for r in rows if r["block"] is not None]
-    rows = [r for r in rows if r["block"] is None]
+    host_pages = max((r["host_pages"] for r in rows if r["host_pages"] is not None), default=None)
+    rows = [r for r in rows if r["html"] is not None]
     known = None
     if blocks:
         keys, counts = np.concatenate([b[0] for b in blocks]), np.concatenate([b[2] for b in blocks])
@@ -466,7 +485,11 @@ def _texts(rows: list[dict], run: int) -> Iterator[pa.RecordBatch]:
         known = keys[order], counts[order].astype(np.int64)
     if not rows:
         return
-    texts = shard_texts([r["html"] for r in rows], [r["page_id"] for r in rows], run, rows[0]["host"], known)
+    codec = pa.Codec("zstd")
+    pages = [
+        codec.decompress(r["html"][8:], int.from_bytes(r["html"][:8], "little"), asbytes=True).decode() for r in rows
+    ]
+    texts = shard_texts(pages, [r["page_id"] for r in rows], run, rows[0]["host"], known, host_pages)
     yield pa.RecordBatch.from_arrays(
         [
             pa.array([r["page_id"] for r in rows], pa.int64()),

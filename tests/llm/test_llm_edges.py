@@ -452,6 +452,28 @@ def test_html_repeats_do_not_depend_on_shards(spark):
         assert sorted((r["page_id"], r["text"]) for r in found) == want
 
 
+def test_html_notices_inside_articles(spark):
+    """What half of a host's pages have inside the article goes; mirrors and quotes stay."""
+    own = lambda n, seed: " ".join(f"s{seed}n{k}" for k in range(n))
+    call, quote = own(12, "call"), own(12, "quote")
+    rows, want = [], {}
+    for k in range(12):
+        extra = f"<p>{quote}</p>" if k in (2, 3, 4) else ""
+        rows.append((k, "http://h.example/a", f"<article><p>{own(30, k)}</p>{extra}<p>{call}</p></article>"))
+        want[k] = own(30, k) + (f"\n{quote}" if extra else "")
+    for k in range(20, 26):
+        last = f" edited{k}" if k % 2 else ""
+        rows.append((k, "http://mirror.example/", f"<main><p>{own(40, 20)}{last}</p></main>"))
+        want[k] = own(40, 20) + last
+    for k in range(30, 32):
+        rows.append((k, "http://two.example/", f"<article><p>{own(30, k)}</p><p>{call}</p></article>"))
+        want[k] = f"{own(30, k)}\n{call}"
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for shard_bytes in (html.SHARD_BYTES, 500):
+        found = html.extract_text(frame, shard_bytes=shard_bytes).collect()
+        assert {r["page_id"]: r["text"] for r in found} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_repeated_words_equal_brute_force(pages):
