@@ -5,10 +5,14 @@ weights of its features), a document that of a noisy-or: one minus the product o
 sentences' complements.  Only documents are labelled; the gradient of the noisy-or
 hands the label on to the sentences that explain it, and the sentence scores then say
 where the offence is.  Features are lower-cased words and their first 4, 5 and 6 bytes,
-so inflected forms share what they have in common.
-
-Fitting uses a bounded sample of labelled rows (``SAMPLE_ROWS`` per class, each up to
-``SAMPLE_CHARS`` characters), which is what reaches the driver; features that speak for
+so inflected forms share what they have in common.  In a score, sentences under ``WEAK``
+(those without any known feature are) give ``MOST_WEAK`` together at most, so there is one
+bounded leak per document, and length alone does not make a text toxic.
+
+Fitting uses a bounded sample of labelled rows (per class ``SAMPLE_ROWS`` and, in total,
+``SAMPLE_CHARS`` characters, by a hash of the id), which is what reaches the driver.  Texts
+of any length take part; of a clean one the first ``LONGEST`` characters, while a toxic one
+over that is left out, for its offence may stand behind the cut.  Features that speak for
 the positive class are kept, ``MOST_FEATURES`` at most, and that bounded table goes to
 the tasks.  Scoring covers every row and whole texts in one pass without a shuffle.
 
@@ -25,18 +29,20 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.llm.common import fresh
 from holdfast.llm.words import find_words, separators, slices, span_hash
 
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8_000
+SAMPLE_ROWS, SAMPLE_CHARS, LONGEST = 2500, 10_000_000, 2_500_000
 MOST_FEATURES, PREFIXES = 20_000, (4, 5, 6)
 # z-value of the log odds ratio from which a feature is kept.
 LEAST_Z = 3.0
 # Upper bound of a sentence's probability without any known feature (the leak).
 LEAK = 5e-5
+# Probability from which sentences add up without bound, and what all below give at most.
+WEAK, MOST_WEAK = 0.01, 0.05
 THRESHOLD, OFFENDING = 0.7, 0.5
 LETTERS = tuple(set(range(0x80)) - set(range(0x41, 0x5B)) - set(range(0x61, 0x7B)))
 STOPS = tuple(b".!?\n")
@@ -82,7 +88,8 @@ def _distinct(owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, chars: int
 ) -> DataFrame:
-    """(label, text) of at most ``rows`` documents per class, those first by a hash of the id."""
+    """(label, text) of at most ``rows`` documents and ``chars`` characters per class, those
+    first by a hash of the id."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     picks = [
         known.where(F.col("label") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
@@ -90,7 +97,13 @@ def labelled_sample(
     ]
     chosen = F.broadcast(picks[0].unionByName(picks[1]))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.where(F.length("text").between(1, chars)).join(chosen, "id").select("label", "text")
+    most = min(LONGEST, chars)
+    fits = (F.length("text") >= 1) & ((F.length("text") <= most) | (F.col("label") == 0))
+    sizes = texts.join(chosen, "id").where(fits).select("id", "label", F.least(F.length("text"), F.lit(most)).alias("n"))
+    sizes = sizes.groupBy("id", "label").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    within = sizes.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= chars).select("id", "label")
+    return texts.join(F.broadcast(within), "id").where(fits).select("label", F.substring("text", 1, most).alias("text"))
 
 
 def fit(sample: DataFrame, steps: int = 400, rate: float = 0.1, decay: float = 1e-3) -> Model:
@@ -175,7 +188,7 @@ def _descend(known, owner, at, bag, label, n_bags, steps, rate, decay) -> Model:
 
 
 def _sentence_scores(model: Model, column: pa.Array):
-    """Row and probability of each sentence, sentence starts in the slice's bytes."""
+    """Row and log odds of each sentence, sentence starts in the slice's bytes."""
     owner, feature, row, start = _features(column)
     z = np.full(len(row), model.bias)
     if len(model.features) and len(feature):
@@ -191,6 +204,14 @@ def _sentence_scores(model: Model, column: pa.Array):
     return row, z, start
 
 
+def _log_rest(row: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+    """Of each row, the logarithm of the probability that no sentence is toxic."""
+    rest = -np.logaddexp(0, z)
+    weak = z < np.log(WEAK / (1 - WEAK))
+    quiet = np.bincount(row, np.where(weak, rest, 0), n)
+    return np.bincount(row, np.where(weak, 0, rest), n) + np.maximum(quiet, np.log1p(-MOST_WEAK))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with ``score`` and ``offending`` (sentences at 0.5 or more: code point
     offset of the first word, the sentence's score).  A name that is taken already gets
@@ -207,7 +228,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for batch in slices(whole, text_col):
                 column = batch.column(text_col)
                 row, z, start = _sentence_scores(model, column)
-                rest = np.bincount(row, -np.logaddexp(0, z), batch.num_rows)
+                rest = _log_rest(row, z, batch.num_rows)
                 loud = np.flatnonzero(z >= np.log(OFFENDING / (1 - OFFENDING)))
                 found: list[list] = [[] for _ in range(batch.num_rows)]
                 if len(loud):

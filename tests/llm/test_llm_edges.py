@@ -232,6 +232,35 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, model).count() == 0
 
 
+def test_toxicity_of_long_clean_texts(spark):
+    """Neither plain nor weakly positive sentences make a text toxic by their number."""
+    weak = [f"weak{'abcdefghijklmnop'[k]}" for k in range(16)]
+    _, found, _, _ = toxicity._features(pa.array([" ".join([*weak, "vile"])]))
+    features, weights = found[:17], np.array([1.5] * 16 + [12.0])
+    order = np.argsort(features)
+    bias = float(np.log(toxicity.LEAK / (1 - toxicity.LEAK)))
+    model = toxicity.Model(features[order], weights[order], bias)
+    dice = random.Random(5)
+    plain = [f"line{k} is fine" for k in range(50_000)]
+    weakly = [f"line{k} {dice.choice(weak)} {dice.choice(weak)}" for k in range(50_000)]
+    rows = [(1, "\n".join(plain)), (2, "\n".join(weakly)), (3, "\n".join([*weakly, "so vile!", *plain]))]
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert score[1] < 0.1 and score[2] < 0.1 and score[3] >= 0.7
+
+
+def test_toxicity_sample_has_long_texts(spark):
+    rows = [(k, "word " * (4000 if k % 10 == 0 else 20)) for k in range(40)]
+    texts = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(99, 1)], "doc_id long, toxic int")
+    found = toxicity.labelled_sample(
+        texts, labels, "doc_id", "text", "toxic", toxicity.SAMPLE_ROWS, toxicity.SAMPLE_CHARS
+    ).collect()
+    assert sorted((r["label"], r["text"]) for r in found) == sorted((k % 2, t) for k, t in rows)
+    few = toxicity.labelled_sample(texts, labels, "doc_id", "text", "toxic", 2500, 50_000).collect()
+    for y in (0, 1):
+        assert 0 < sum(len(r["text"]) for r in few if r["label"] == y) <= 50_000
+
+
 def test_quality(spark, docs, none):
     rows = [(k, sentence(60, k) if k % 2 else (sentence(6, k) + "!! ").upper() * 10) for k in range(100, 400)]
     labels = [(k, k % 2) for k, _ in rows] + [(2, None)]
