@@ -21,6 +21,9 @@ when their sets' Jaccard similarity is 0.8 or more; components of links are the
    ``BLOCK`` members are scanned block against block, each in a task of its own.
 5. The boundary between light and heavy minimises the estimated cost of both sides, from
    the counts of small sizes and the mean length of the lists.
+6. Where links are asked for, the classes of each component meet again, block against
+   block, and each pair's shared shingles are counted; a document's links are the copies
+   of its own class and of the classes that link to it.
 
 Defined results: null, empty and white texts have no set, link with nothing and are their
 own component; texts of one to four words have one shingle, all their words; equal sets
@@ -50,6 +53,7 @@ FLUSH_SHINGLES, DEAL_SHINGLES = 600_000, 2_000_000
 SHORT_BYTES = 5  # of a shingle's hash that travel; the deal is taken from the others
 MOST_LIGHT = 16  # largest size for which subsets may be enumerated
 BLOCK, BITMAP_WORDS, PAIRS_PER_MEMBER = 4096, 32, 8
+LINK_BLOCK, LINK_SHINGLES = 1024, 500_000  # classes and shingles of a block when links are counted
 
 
 def needed(a: int, b: int) -> int:
@@ -533,13 +537,109 @@ def _edges(held: list[pa.RecordBatch], boundary: int, most: int) -> pa.RecordBat
     )
 
 
+def class_links(sets: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, n_links): documents in the other classes that each class links to.
+
+    All links of a class lie inside its component, so the classes of a component meet once,
+    those of large components block against block, and the shared shingles of every pair
+    are counted.  Only sums per class leave a task.  ``sizes`` has (node, copies).
+    """
+    members = stored(
+        sets.select("node", "n", "shingles").join(labels, "node").join(sizes, "node")
+    )
+    blocks = members.groupBy("comp").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / LINK_BLOCK), F.ceil(F.sum("n") / LINK_SHINGLES)).cast("int").alias("blocks")
+    )
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct(F.least(x, mine).alias("lo"), F.greatest(x, mine).alias("hi")),
+    )
+    key = ["comp", "lo", "hi"]
+    rows = members.join(blocks, "comp").withColumn("mine", mine).select(
+        "comp", F.explode(meets).alias("at"), "mine", "node", "n", "copies", "shingles"
+    ).select("comp", "at.lo", "at.hi", "mine", "node", "n", "copies", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = list(zip(*(batch.column(k).to_pylist() for k in key), strict=True))
+            cuts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for a, b in pairwise(cuts):
+                if held and names[a] != last:
+                    yield _links(held, last)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = names[a]
+        if held:
+            yield _links(held, last)
+
+    found = (
+        rows.repartition(*key)
+        .sortWithinPartitions(*key)
+        .mapInArrow(run, "node bigint, n_links bigint")
+    )
+    return found.groupBy("node").agg(F.sum("n_links").alias("n_links"))
+
+
+def _links(held: list[pa.RecordBatch], at: tuple) -> pa.RecordBatch:
+    """Links between two blocks, or inside one: linked documents per class."""
+    rows = pa.Table.from_batches(held).combine_chunks()
+    column = lambda name: rows.column(name).to_numpy()
+    nodes, n, copies, mine = column("node"), column("n"), column("copies"), column("mine")
+    sets = rows.column("shingles").combine_chunks()
+    if isinstance(sets, pa.ChunkedArray):
+        sets = pa.concat_arrays(sets.chunks)
+    total = linked(sets.flatten().to_numpy().view(np.uint64), n, copies, mine if at[1] != at[2] else None)
+    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(total)], names=["node", "n_links"])
+
+
+def linked(shingles: np.ndarray, n: np.ndarray, copies: np.ndarray, sides: np.ndarray | None = None) -> np.ndarray:
+    """Of each set (distinct shingles, end to end, n of each), the copies of the sets that it
+    links to; with ``sides``, of sets of the other side only."""
+    owner = np.repeat(np.arange(len(n)), n)
+    values, of = np.unique(shingles, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    posting = owner[order]
+    heads = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(values)))])
+    ends = np.concatenate([[0], np.cumsum(n)])
+    total = np.zeros(len(n), np.int64)
+    for i in range(len(n)):
+        mine = of[ends[i] : ends[i + 1]]
+        sizes = heads[mine + 1] - heads[mine]
+        shift = np.cumsum(sizes) - sizes
+        places = np.arange(sizes.sum()) + np.repeat(heads[mine] - shift, sizes)
+        shared = np.bincount(posting[places], minlength=len(n))
+        links = 9 * shared >= 4 * (n + n[i])
+        links[i] = False
+        if sides is not None:
+            links &= sides != sides[i]
+        total[i] = copies[links].sum()
+    return total
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), one row per row of the table: also the
+    other rows whose sets have a Jaccard similarity of 0.8 or more with the row's set."""
+    return _found(docs, id_col, text_col, links=True)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of the table."""
+    return _found(docs, id_col, text_col, links=False)
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, links: bool) -> DataFrame:
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     named = stored(signatures(texts))
     classes = stored(
-        named.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("first_id"))
+        named.where("n > 0")
+        .groupBy("node", "check", "n")
+        .agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     )
     total = named.agg(F.sum("n")).first()[0] or 0
     spark = docs.sparkSession
@@ -558,9 +658,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         linked.select("node", "comp").join(smallest, "comp").select("node", "component_id"), "node", "left"
     ).select("node", F.coalesce("component_id", "first_id").alias("class_component"))
     alone = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    rest = (
-        named.where("n > 0")
-        .join(stored(of_class), "node", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.col("class_component").alias("component_id"))
-    )
+    names = ["doc_id", F.col("n").alias("n_shingles"), F.col("class_component").alias("component_id")]
+    if links:
+        found = class_links(sets, labels, classes.select("node", "copies"))
+        of_class = of_class.join(classes.select("node", "copies"), "node").join(found, "node", "left").select(
+            "node", "class_component", (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links")
+        )
+        alone, names = alone.withColumn("n_links", F.lit(0).cast("long")), [*names, "n_links"]
+    rest = named.where("n > 0").join(stored(of_class), "node", "left").select(*names)
     return rest.unionByName(alone)

@@ -11,7 +11,7 @@ from holdfast.llm.chat import conversation_digests, format_chat
 from holdfast.llm.decontaminate import contaminated, find_contamination
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.html import extract_text
-from holdfast.llm.jaccard import near_duplicates
+from holdfast.llm.jaccard import link_counts, near_duplicates
 from holdfast.llm.sentencepiece import encode, with_count
 from holdfast.llm.substring_dedup import substring_dedup
 from holdfast.llm import quality, toxicity
@@ -43,6 +43,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(_table(spark, sf, "documents"))
 
 
+def op3_link_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return link_counts(_table(spark, sf, "documents"))
+
+
 def op4_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extract_text(_table(spark, sf, "pages"))
 
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op3_link_counts": op3_link_counts,
     "op4_html_extraction": op4_html_extraction,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,

@@ -157,6 +157,23 @@ def test_long_lists_are_scanned_block_against_block(spark, monkeypatch):
     assert bag(found) == bag(brute.near(rows))
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_link_counts_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    rows = [*ROWS, *((100 + k, edited(LONG[:900], k % 60, (7 * k) % 110)) for k in range(40))]
+    rows += [(200 + k, " ".join(f"c{j}" for j in range(k, k + 40))) for k in range(30)]
+    rows += [(300 + k, " ".join("abcdefghij"[: 5 + k % 6])) for k in range(12)]
+    sets = [brute.shingles(t) for _, t in rows]
+
+    def links(i: int) -> int:
+        one = sets[i]
+        return sum(100 * len(one & s) >= 80 * len(one | s) for j, s in enumerate(sets) if j != i and one and s)
+
+    want = [(*found, links(i)) for i, found in enumerate(brute.near(rows))]
+    found = jaccard.link_counts(spark.createDataFrame(rows, DOCS)).collect()
+    assert bag(found) == bag(want) and max(r["n_links"] for r in found) > 4
+
+
 def test_a_forest_has_no_circles_and_skips_what_failed():
     sets = [np.arange(100, dtype=np.uint64), np.arange(2, 102, dtype=np.uint64), np.arange(4, 104, dtype=np.uint64)]
     bitmaps = np.frombuffer(b"".join(jaccard._bitmap(s) for s in sets), np.uint64).reshape(3, -1)
