@@ -48,11 +48,11 @@ RUN = 8
 # Inside main text, a run is a notice of the host from so many of its pages, and from half
 # of them; a page whose main text has this share of such words or more is a mirror.
 LEAST_PAGES, MIRRORED = 4, 0.8
-OPEN, MAIN, OUT = 0, 1, 2
+OPEN, MAIN, OUT, OUT_BY_WORD = 0, 1, 2, 3
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea title svg math object".split())
+RAW = frozenset("script style template iframe textarea title svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu "
@@ -70,6 +70,9 @@ OUT_WORDS = frozenset(
     "pagination pager widget widgets toolbar skip".split()
 )
 HEADER_WORDS = frozenset({"header", "topbar"})
+# Tokens of a class or id that speak of something else than the element itself.
+MODIFIERS = frozenset("has no not with without is open opened closed enabled disabled".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
@@ -83,35 +86,40 @@ def _verdict(tag: str, attributes: str, inside_main: bool) -> int:
     """What an element says about the text inside it."""
     if tag in OUT_TAGS or (tag == "header" and not inside_main):
         return OUT
+    main = tag in ("article", "main")
     if attributes and tag not in ("html", "body"):
+        words: set[str] = set()
         for name, value in ATTRIBUTE.findall(attributes):
-            value = value.strip("\"'").lower()
-            if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 return OUT
-            if name.lower() == "role":
+            if name == "role":
                 if value in OUT_ROLES:
                     return OUT
-                if value in ("main", "article"):
-                    return MAIN
-                continue
-            words = set(NAME.findall(value))
-            if words & OUT_WORDS or (not inside_main and words & HEADER_WORDS):
-                return OUT
-    return MAIN if tag in ("article", "main") else OPEN
+                main |= value in ("main", "article")
+            elif name == "class" or (name == "id" and tag not in HEADINGS):
+                for token in value.split():
+                    parts = set(NAME.findall(token))
+                    if not parts & MODIFIERS:
+                        words |= parts
+        # reader comments are articles too, inside the article that they are about
+        if (not main or inside_main) and (words & OUT_WORDS or (not inside_main and words & HEADER_WORDS)):
+            return OUT_BY_WORD
+    return MAIN if main else OPEN
 
 
 def page_blocks(page: str) -> list[tuple[int, list[str]]]:
     """The page's blocks in order: their verdict and their words."""
     blocks: list[tuple[int, list[str]]] = []
     stack: list[tuple[str, int]] = []
-    depth = [0, 0, 0]
+    depth = [0, 0, 0, 0]
     parts: list[str] = []
 
     def flush() -> None:
         words = html.unescape("".join(parts)).split()
         parts.clear()
         if words:
-            blocks.append((OUT if depth[OUT] else MAIN if depth[MAIN] else OPEN, words))
+            blocks.append((OUT if depth[OUT] or depth[OUT_BY_WORD] else MAIN if depth[MAIN] else OPEN, words))
 
     def close(to: int) -> None:
         while len(stack) > to:
@@ -157,6 +165,11 @@ def page_blocks(page: str) -> list[tuple[int, list[str]]]:
                     break
                 if name in BLOCK:
                     break
+        if tag == "main" and depth[OUT_BY_WORD]:
+            # the wrapper of a main element is not what its class words say
+            stack[:] = [(name, OPEN if said == OUT_BY_WORD else said) for name, said in stack]
+            depth[OPEN] += depth[OUT_BY_WORD]
+            depth[OUT_BY_WORD] = 0
         verdict = _verdict(tag, found[3], depth[MAIN] > 0)
         stack.append((tag, verdict))
         depth[verdict] += 1

@@ -463,6 +463,21 @@ def test_html_structure():
     ]
 
 
+def test_html_class_words_spare_main_text():
+    pages = [
+        '<main class="has-sidebar"><p>one two</p></main>',
+        '<div class="content no-comments"><p>one two</p></div>',
+        '<article class="post comment-open"><p>one two</p></article>',
+        '<article class="notice"><p>one two</p><article class="comment">reader</article></article>',
+        '<article><h2 id="how-to-share-files">one</h2><p>two</p></article>',
+        "<article><p>one <math><mi>two</mi></math></p></article>",
+        '<div class="widget-page"><div>menu</div><main>one two</main></div><div class="related">more</div>',
+        "<article><noscript>one</noscript> <object>two</object></article>",
+    ]
+    texts = [" ".join(html.shard_texts([p], [1])[0].split()) for p in pages]
+    assert texts == ["one two"] * len(pages)
+
+
 def test_html_repeats_of_a_host(spark):
     """Without an article, what the host repeats goes and unique runs stay."""
     bar = "welcome to our site please read all of the rules first"
