@@ -109,3 +109,136 @@ SELECT conv_id, count(*) AS n_turns,
            + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 11)::BIGINT AS formatted_chars
 FROM clean GROUP BY conv_id
 """
+
+# The bits of the reversed CRC-32 polynomial, as a number.
+_CRC = 0xEDB88320
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+           lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, {_CRC}) ELSE c // 2 END, b)) AS step
+),
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+                                        lambda ch: ascii(ch)::BIGINT),
+               lambda c, b: xor(c // 256, step[1 + xor(c % 256, b)]), 4294967295), 4294967295) % 20 AS fault
+  FROM conversations, crc
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM keyed
+),
+placed AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS ini,
+         row_number() OVER talk AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS said,
+         left(lag(role) OVER talk, 1) AS ini_before,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM damaged
+  WINDOW talk AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+),
+judged AS (
+  SELECT *, body = '' AS blank, body <> '' AND said > 1 AS dup,
+         body <> '' AND said = 1 AND right(body, 1) NOT IN ('.', '!', '?') AS cut
+  FROM placed
+),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+         count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (i > 1 AND ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id
+),
+path AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS state, {{'c': 0::BIGINT, 'a': '', 'o': ''}} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, i, state, min(best) AS best
+  FROM (
+    SELECT conv_id, i, e.state AS state,
+           {{'c': best.c + e.cost, 'a': best.a || e.letters, 'o': best.o || e.more}} AS best
+    FROM (
+      SELECT p.conv_id, r.i, p.best, unnest(list_filter([
+        {{'ok': true, 'state': p.state, 'cost': 4::BIGINT, 'letters': 'D', 'more': ''}},
+        {{'ok': NOT (r.blank OR r.dup), 'state': 2,
+          'cost': (CASE WHEN r.cut THEN 3 ELSE 0 END + CASE WHEN p.state = 2 THEN 3 ELSE 0 END
+                   + CASE WHEN r.ini = 'u' THEN 0 ELSE 3 END)::BIGINT,
+          'letters': CASE WHEN p.state = 2 THEN 'I' ELSE '' END || CASE WHEN r.ini = 'u' THEN 'K' ELSE 'R' END,
+          'more': CASE p.state WHEN 2 THEN chr(10) || 'assistant:' || chr(10) WHEN 0 THEN '' ELSE chr(10) END
+                  || CASE WHEN r.ini = 'u' THEN r.role ELSE 'user' END || ':' || r.text}},
+        {{'ok': NOT (r.blank OR r.dup), 'state': 3,
+          'cost': (CASE WHEN r.cut THEN 3 ELSE 0 END + CASE WHEN p.state = 2 THEN 0 ELSE 3 END
+                   + CASE WHEN r.ini = 'a' THEN 0 ELSE 3 END)::BIGINT,
+          'letters': CASE WHEN p.state = 2 THEN '' ELSE 'I' END || CASE WHEN r.ini = 'a' THEN 'K' ELSE 'R' END,
+          'more': CASE p.state WHEN 2 THEN chr(10) WHEN 0 THEN 'user:' || chr(10)
+                       ELSE chr(10) || 'user:' || chr(10) END
+                  || CASE WHEN r.ini = 'a' THEN r.role ELSE 'assistant' END || ':' || r.text}},
+        {{'ok': NOT (r.blank OR r.dup) AND p.state = 0 AND r.ini = 's', 'state': 1,
+          'cost': CASE WHEN r.cut THEN 3 ELSE 0 END::BIGINT, 'letters': 'K', 'more': r.role || ':' || r.text}}
+      ], lambda x: x.ok)) AS e
+      FROM path p JOIN judged r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1
+    )
+  )
+  GROUP BY conv_id, i, state
+),
+done AS (
+  SELECT p.conv_id, min({{
+    'c': best.c + CASE state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END,
+    'a': best.a || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'o': best.o || CASE state WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:'
+                              WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}}) AS best
+  FROM path p JOIN counts n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.i
+  GROUP BY p.conv_id
+)
+SELECT t.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank,
+       coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated,
+       coalesce(n.illegal, 0) AS illegal, coalesce(d.best.c, 0) AS cost, coalesce(d.best.a, '') AS audit,
+       sha256(coalesce(d.best.o, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) t
+LEFT JOIN counts n ON n.conv_id IS NOT DISTINCT FROM t.conv_id
+LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+_PIECES = "regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')"
+
+SQL["op11_collocations"] = f"""
+WITH piece AS (SELECT coalesce(lang, 'und') AS lang, unnest({_PIECES}) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+cut AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS pos FROM split WHERE len(w) > 0),
+gram AS (
+  SELECT lang, k, array_to_string(w[pos:pos + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest([1, 2, 3, 4]) AS k FROM cut) WHERE pos + k - 1 <= len(w)
+),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM f WHERE f >= 30),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE k > 1),
+inner_part AS (
+  SELECT lang, a, array_to_string(w[s:s + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS s
+        FROM (SELECT *, unnest(range(2, k)) AS m FROM cand))
+),
+longest AS (SELECT lang, phrase, max(a) AS a FROM inner_part GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM cand c LEFT JOIN longest x USING (lang, phrase) WHERE x.a IS NULL OR 100 * x.a < 80 * c.a
+),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS p, array_to_string(w[c + 1:], ' ') AS q
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM kept)
+),
+scored AS (
+  SELECT t.lang, t.phrase, t.a,
+         min({{'score': (2000000::HUGEINT * t.a // (x.f + y.f))::BIGINT, 'c': t.c, 'l': x.f, 'r': y.f}}) AS best
+  FROM cuts t JOIN often x ON x.lang = t.lang AND x.phrase = t.p JOIN often y ON y.lang = t.lang AND y.phrase = t.q
+  GROUP BY t.lang, t.phrase, t.a
+),
+placed AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank,
+         phrase, a, best.l AS l, best.r AS r, best.score AS score
+  FROM scored
+)
+SELECT p.lang, p.rank, p.phrase, p.a, p.l, p.r, t.n, p.score
+FROM placed p JOIN total t USING (lang) WHERE p.rank <= 2000
+"""

@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm.chat import conversation_digests, format_chat
+from holdfast.llm.collocations import mine_phrases
 from holdfast.llm.decontaminate import contaminated, find_contamination
 from holdfast.llm.exact_dedup import exact_dedup
 from holdfast.llm.html import extract_text
 from holdfast.llm.jaccard import link_counts, near_duplicates
+from holdfast.llm.repair import repair_conversations
 from holdfast.llm.sentencepiece import encode, with_count
+from holdfast.llm.simhash import simhash_near_duplicates
 from holdfast.llm.substring_dedup import substring_dedup
 from holdfast.llm import quality, toxicity
 from holdfast.llm.common import stored
@@ -105,6 +108,18 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return repair_conversations(_table(spark, sf, "conversations"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_near_duplicates(_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_sentencepiece": op2_sentencepiece,
@@ -117,4 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_warc": op10_warc,
+    "op11_collocations": op11_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_simhash_dedup": op13_simhash_dedup,
 }
