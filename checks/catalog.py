@@ -290,7 +290,8 @@ def segment_retention_curve(spark, sf):
 
 @query
 def cohort_heatmap(spark, sf):
-    return cohorts.cohort_heatmap(_retention(spark, sf))
+    """The heatmap's cells, one row per cohort and month, unobserved ones included."""
+    return cohorts.heatmap_cells(cohorts.cohort_heatmap(_retention(spark, sf)))
 
 
 @query
@@ -445,7 +446,7 @@ def segment_kpis_ranked(spark, sf):
 def choose_k(spark, sf):
     scaled = segments.standardize(segments.prepare_rfm_features(_rfm(spark, sf)))
     scores = segments.choose_k(scaled, [f"{name}_z" for name in segments.FEATURES])
-    return spark.createDataFrame(scores, "k int, silhouette double")
+    return spark.createDataFrame([(k, round(s, 6)) for k, s in scores], "k int, silhouette double")
 
 
 @query
@@ -456,7 +457,9 @@ def kmeans_segments(spark, sf):
 
 @query
 def kmeans_profile(spark, sf):
-    return segments.segment_customers(_rfm(spark, sf))[1]
+    profile = segments.segment_customers(_rfm(spark, sf))[1]
+    rounded = {name: F.round(name, 6) for name in segments.METRICS}
+    return profile.withColumns(rounded | {"share": F.round("share", 9)})
 
 
 @query

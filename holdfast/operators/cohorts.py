@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.dates import month_start, months_between_starts
-from holdfast.functions.numbers import rate
+from holdfast.functions.numbers import RATE, rate
 from holdfast.operators.facts import PERSON, WHEN
 
 
@@ -96,6 +96,19 @@ def cohort_heatmap(retention: DataFrame, months: Sequence[int] | None = None) ->
     )
 
 
+def heatmap_cells(heatmap: DataFrame) -> DataFrame:
+    """The heatmap as one row per cohort and month index, unobserved cells (NULL) included."""
+    months = [name for name in heatmap.columns if name != "cohort_month"]
+    if not months:
+        return heatmap.select("cohort_month", F.lit(0).alias("month_index"), F.lit(None).cast(RATE).alias("retention_rate")).limit(0)
+    cells = heatmap.unpivot("cohort_month", months, "month", "retention_rate")
+    return cells.select(
+        "cohort_month",
+        F.substring_index("month", "_", -1).cast("int").alias("month_index"),
+        "retention_rate",
+    )
+
+
 def cohort_baseline(retention: DataFrame) -> DataFrame:
     """Smallest month index per cohort; 0 everywhere in a sound table."""
     return retention.groupBy("cohort_month").agg(F.min("month_index").alias("min_month_index"))

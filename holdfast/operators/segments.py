@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from holdfast.functions import labels
 from holdfast.functions.dates import whole_days
 from holdfast.functions.numbers import MEAN, cents, from_cents, mean_of
+from holdfast.operators import clustering
 from holdfast.operators.facts import PERSON, WHEN
 from holdfast.operators.impute import FIT_PARTITIONS, as_numbers, fill_medians, laid_out
 
@@ -96,19 +96,10 @@ def choose_k(
     ks: Iterable[int] = range(2, 11),
     seed: int = SEED,
     key: str = PERSON,
-    partitions: int = FIT_PARTITIONS,
+    steps: int = clustering.STEPS,
 ) -> list[tuple[int, float]]:
-    """Silhouette per cluster count, from cluster centres rather than all pairs of rows."""
-    points = laid_out(df.select(key, *features), key, partitions).persist()
-    try:
-        scores = []
-        for k in ks:
-            labelled = _clustering(features, k, seed).fit(points).transform(points)
-            evaluator = ClusteringEvaluator(featuresCol="_features", predictionCol="segment")
-            scores.append((k, evaluator.evaluate(labelled)))
-        return scores
-    finally:
-        points.unpersist()
+    """Silhouette per cluster count, all counts in the same passes over the rows."""
+    return sorted(clustering.fit(df, features, ks, seed, key, steps, scores=True)[1].items())
 
 
 def profile_segments(df: DataFrame, label: str = "segment") -> DataFrame:
@@ -153,10 +144,17 @@ def assign_segments(labelled: DataFrame, named_profile: DataFrame, label: str =
 def segment_customers(
     rfm: DataFrame, k: int = CLUSTERS, seed: int = SEED
 ) -> tuple[DataFrame, DataFrame]:
-    """Segments per person and the named segment profile."""
-    scaled = standardize(prepare_rfm_features(rfm))
-    model = fit_kmeans(scaled, [f"{name}_z" for name in FEATURES], k, seed)
-    labelled = label_segments(model, scaled)
+    """Segments per person and the named segment profile.
+
+    The metrics are kept while gaps, scales and the fit read them over and over.
+    """
+    people = rfm.select(PERSON, *METRICS).persist()
+    try:
+        scaled = standardize(prepare_rfm_features(people))
+        centres, _ = clustering.fit(scaled, [f"{name}_z" for name in FEATURES], [k], seed, PERSON)
+    finally:
+        people.unpersist()
+    labelled = clustering.nearest(scaled, centres[k])
     profile = name_segments(profile_segments(labelled))
     return assign_segments(labelled, profile), profile
 
