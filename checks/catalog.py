@@ -20,6 +20,7 @@ from holdfast.operators import (
     cohorts,
     facts,
     impute,
+    logistic,
     marts,
     quality,
     ranking,
@@ -458,8 +459,7 @@ def kmeans_segments(spark, sf):
 @query
 def kmeans_profile(spark, sf):
     profile = segments.segment_customers(_rfm(spark, sf))[1]
-    rounded = {name: F.round(name, 6) for name in segments.METRICS}
-    return profile.withColumns(rounded | {"share": F.round("share", 9)})
+    return profile.withColumns({name: F.round(name, 9) for name in (*segments.METRICS, "share")})
 
 
 @query
@@ -601,14 +601,25 @@ def churn_scores(spark, sf):
 def churn_model_scores(spark, sf):
     """Scores of the fitted model for every person."""
     scored, _, _ = churn.score_churn(_trainable(spark, sf))
-    return scored.select(PERSON, "churned", "churn_risk")
+    return scored.select(PERSON, "churned", F.round("churn_risk", 6).alias("churn_risk"))
 
 
 @query
 def churn_model_report(spark, sf):
-    """Hold-out report of the fitted model, with its AUC."""
-    _, auc, report = churn.score_churn(_trainable(spark, sf))
-    return report.withColumn("roc_auc", F.lit(auc))
+    """Hold-out report of the fitted model, its AUC, and the AUC without recent activity."""
+    _, auc, report, auc_without = churn.evaluate_churn(_trainable(spark, sf))
+    rounded = {c: F.round(c, 9) for c in ("precision", "recall", "f1_score")}
+    aucs = {"roc_auc": F.lit(round(auc, 9)), "roc_auc_without_recent": F.lit(round(auc_without, 9))}
+    return report.withColumns(rounded | aucs)
+
+
+@query
+def churn_calibration(spark, sf):
+    """Weighted churn and modelled churn per segment of the training rows."""
+    train, _ = churn.stratified_split(_trainable(spark, sf))
+    scored = churn.score_newton(churn.fit_churn_newton(train), churn.balanced_weights(train))
+    sums = logistic.calibration(scored, "segment_name", "churned", "_weight", "churn_risk")
+    return sums.withColumns({c: F.round(c, 5) for c in ("expected", "modelled")})
 
 
 @query

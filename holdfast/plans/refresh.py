@@ -87,8 +87,9 @@ def refresh(
     frame = churn.label_churn(churn.impute_training(churn.training_frame(people, labelled, recent)))
     trainable = keep("churn_training", frame)
     keep("churn_class_balance", churn.class_balance(trainable), None)
-    scored, auc, report = churn.score_churn(trainable)
-    keep("churn_model_report", report.withColumn("roc_auc", F.lit(auc)), None)
+    scored, auc, report, auc_without = churn.evaluate_churn(trainable)
+    aucs = {"roc_auc": F.lit(auc), "roc_auc_without_recent": F.lit(auc_without)}
+    keep("churn_model_report", report.withColumns(aucs), None)
     risky = keep("churn_risk", churn.value_at_risk(scored))
     deciled = churn.risk_decile(risky, duplicates=duplicates)
     banded = churn.priority_band(deciled, duplicates=duplicates)

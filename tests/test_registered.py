@@ -10,14 +10,6 @@ from checks.compare import connect, differences
 from checks.oracles import SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {
-    "choose_k",
-    "kmeans_segments",
-    "kmeans_profile",
-    "churn_model_scores",
-    "churn_model_report",
-}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
 
@@ -26,9 +18,8 @@ def con():
     return connect(SF)
 
 
-def test_every_query_has_sql_unless_it_is_a_model():
-    assert set(QUERIES) - set(SQL) == ROWS_ONLY
-    assert not set(SQL) - set(QUERIES)
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_every_query_is_registered():
