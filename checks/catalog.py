@@ -31,6 +31,7 @@ from holdfast.operators import (
 from holdfast.operators.facts import PERSON
 from holdfast.session import scratch_root
 from holdfast.sources.csv import read_csv
+from holdfast.sources.snapshots import SnapshotStore
 from holdfast.sources.store import CatalogStore, PathStore, register_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +113,28 @@ def replace_table(spark, sf):
     )
 
 
+@query
+def snapshot_tables(spark, sf):
+    """What a reader sees of two tables after a refresh that stopped between them."""
+    store = SnapshotStore(spark, f"{scratch_root(spark)}/snapshots-{uuid4()}")
+    items, orders = T.order_items(spark, sf), _delivered(spark, sf)
+    tables = {"items": items.select("order_id", "price"), "orders": orders.select("order_id")}
+    for name, df in tables.items():
+        store.stage(df, "analytics", name)
+    store.publish("analytics", tables)
+    pinned = store.snapshot("analytics")
+    store.stage(tables["items"].limit(0), "analytics", "items")  # never published
+    store.replace(tables["orders"].limit(0), "analytics", "orders")
+    sums = pinned.read("items").agg(F.sum("price").cast("decimal(28,2)").alias("price_total"))
+    counts = [
+        F.lit(at.read(name).count()).alias(f"{moment}_{name}")
+        for moment, at in (("pinned", pinned), ("newest", store.snapshot("analytics")))
+        for name in tables
+    ]
+    return sums.select("price_total", *[c.cast("long").alias(n) for c, n in zip(
+        counts, ("pinned_items", "pinned_orders", "newest_items", "newest_orders"), strict=True)])
+
+
 @query
 def view_scan(spark, sf):
     """Delivered orders through a session view."""
@@ -459,7 +482,10 @@ def kmeans_segments(spark, sf):
 @query
 def kmeans_profile(spark, sf):
     profile = segments.segment_customers(_rfm(spark, sf))[1]
-    return profile.withColumns({name: F.round(name, 9) for name in (*segments.METRICS, "share")})
+    # to six places; means of few rows often end in a 5 at the seventh, which goes up
+    return profile.withColumns(
+        {name: F.floor(F.col(name) * 1e6 + 0.501) / 1e6 for name in (*segments.METRICS, "share")}
+    )
 
 
 @query

@@ -20,7 +20,7 @@ from pyspark.sql import SparkSession
 from holdfast.operators import segments
 from holdfast.plans.refresh import load_raw, refresh, verify
 from holdfast.sources.csv import read_raw
-from holdfast.sources.store import CatalogStore, PathStore
+from holdfast.sources.snapshots import CatalogSnapshotStore, SnapshotStore
 
 REPORTS = (
     "churn_class_balance",
@@ -57,7 +57,7 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 def main(argv: list[str]) -> int:
     args = arguments(argv)
     spark = SparkSession.builder.appName("holdfast").getOrCreate()
-    store = CatalogStore(spark, args.buckets) if args.catalog else PathStore(spark, args.warehouse)
+    store = CatalogSnapshotStore(spark, args.buckets) if args.catalog else SnapshotStore(spark, args.warehouse)
     if args.command == "load":
         counts = load_raw(read_raw(spark, args.raw, args.pattern), store)
     elif args.command == "refresh":

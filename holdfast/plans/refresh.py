@@ -3,8 +3,9 @@
 Each step is written beside the current table and read back before the next one uses
 it, so later steps start from stored columns instead of a long lineage, several
 readers share one computation, and a lost executor costs at most one step.  The
-tables are replaced together at the end: a step that fails, say on tied risk bands,
-leaves the analytics layer as it was.
+tables are published at the end: a step that fails, say on tied risk bands, leaves the
+analytics layer as it was.  With the stores of ``sources.snapshots`` they are published in
+one step, and the raw layer is read as of one moment.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from holdfast.operators.facts import PERSON
 
 def load_raw(raw: Mapping[str, DataFrame], store) -> dict[str, int]:
     """Replace the raw layer; returns the rows loaded per table."""
-    return {table: store.replace(df, "raw", table)[1] for table, df in raw.items()}
+    counts = {table: store.stage(df, "raw", table)[1] for table, df in raw.items()}
+    store.publish("raw", counts)
+    return counts
 
 
 def refresh(
@@ -43,8 +46,9 @@ def refresh(
         stored, counts[table] = store.stage(df, "analytics", table, key)
         return stored
 
+    source = store.snapshot("raw")
     raw = {
-        name: store.read("raw", name)
+        name: source.read(name)
         for name in ("customers", "orders", "order_items", "order_payments", "products", "order_reviews")
     }
     delivered = facts.delivered_orders(raw["orders"], delivered_status)
@@ -66,8 +70,8 @@ def refresh(
     retention = keep("cohort_retention", cohorts.cohort_retention(cohort), None)
     keep("retention_curve", cohorts.retention_curve(retention), None)
     keep("cohort_heatmap", cohorts.cohort_heatmap(retention), None)
-    if store.has("raw", "category_translation"):
-        lookup = store.read("raw", "category_translation")
+    if source.has("category_translation"):
+        lookup = source.read("category_translation")
         keep("products_translated", facts.translate_category(raw["products"], lookup), None)
 
     assigned, profile = segments.segment_customers(people, clusters, seed)
@@ -103,8 +107,7 @@ def refresh(
     keep("risk_concentration", marts.risk_concentration(scores), None)
     keep("marketing_target_list", marts.marketing_target_list(scores, people))
     keep("dim_customer", marts.dim_customer(master, labelled, scores))
-    for table in counts:
-        store.promote("analytics", table)
+    store.publish("analytics", counts)
     return counts
 
 
@@ -125,8 +128,9 @@ def verify(store) -> DataFrame:
         "cohort_retention": [quality.starts_at("month_index", "cohort_month")],
         "dim_date": [quality.row_count("rows"), quality.unique("date")],
     }
+    current = store.snapshot("analytics")
     reports = [
-        quality.check(store.read("analytics", table), *rules).select(
+        quality.check(current.read(table), *rules).select(
             F.lit(table).alias("table_name"), "*"
         )
         for table, rules in plans.items()

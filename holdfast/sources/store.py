@@ -2,12 +2,13 @@
 
 ``PathStore`` keeps Parquet under ``root/layer/table`` and needs no catalog;
 ``CatalogStore`` keeps managed tables ``layer.table`` and can bucket them by a
-key, so that later joins and groupings on that key start without a shuffle.
+key, so that later joins and groupings on that key start without a shuffle.  Both replace
+table by table; the stores of ``snapshots`` replace all tables of a refresh at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,19 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 NEXT = "__next"
 
 
+class Live:
+    """A layer as it is at the moment of each read."""
+
+    def __init__(self, store: PathStore | CatalogStore, layer: str) -> None:
+        self.store, self.layer = store, layer
+
+    def has(self, table: str) -> bool:
+        return self.store.has(self.layer, table)
+
+    def read(self, table: str) -> DataFrame:
+        return self.store.read(self.layer, table)
+
+
 class PathStore:
     """Parquet directories under one root shared by the cluster.
 
@@ -74,6 +88,14 @@ class PathStore:
             raise OSError(f"{table} could not be replaced")
         files.delete(old, True)
 
+    def snapshot(self, layer: str) -> Live:
+        return Live(self, layer)
+
+    def publish(self, layer: str, tables: Iterable[str]) -> None:
+        """Staged tables take their places one after the other."""
+        for table in tables:
+            self.promote(layer, table)
+
     def replace(
         self, df: DataFrame, layer: str, table: str, key: str | None = None
     ) -> tuple[DataFrame, int]:
@@ -107,8 +129,27 @@ class CatalogStore:
         return stored, stored.count()
 
     def promote(self, layer: str, table: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {layer}.{table}")
-        self.spark.sql(f"ALTER TABLE {layer}.{table}{NEXT} RENAME TO {layer}.{table}")
+        """The staged table takes the name; the one before is dropped once that is done."""
+        name, old = f"{layer}.{table}", f"{layer}.{table}__old"
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+        replaced = self.has(layer, table)
+        if replaced:
+            self.spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+        try:
+            self.spark.sql(f"ALTER TABLE {name}{NEXT} RENAME TO {name}")
+        except Exception:
+            if replaced:
+                self.spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+            raise
+        self.spark.sql(f"DROP TABLE IF EXISTS {old}")
+
+    def snapshot(self, layer: str) -> Live:
+        return Live(self, layer)
+
+    def publish(self, layer: str, tables: Iterable[str]) -> None:
+        """Staged tables take their names one after the other."""
+        for table in tables:
+            self.promote(layer, table)
 
     def replace(
         self, df: DataFrame, layer: str, table: str, key: str | None = None
