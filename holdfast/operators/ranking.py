@@ -7,9 +7,9 @@ of each tile, the rows next to a quantile).
 Quantiles of numbers are found by sketches that narrow each point to a short range of
 values and one exact count around and inside these ranges (``quantiles``).
 
-Tiles follow any columns and a unique key: the ordering columns alone are sorted with
-Spark's range partitioning, rows are counted per partition, and the wanted ranks are
-read from the partitions they fall into (``rows_at_ranks``).
+Tiles follow any columns and a unique key: histograms of one column after the other narrow
+each cut to a few rows (``selection.rows_at``).  ``rows_at_ranks`` does the same for orders
+without a key by Spark's range sort.
 
 The result is a plain projection that compares each row with those few literal rows:
 no second shuffle, no window, no join.
@@ -22,12 +22,14 @@ from collections.abc import Callable, Iterable, Sequence
 from datetime import date, datetime
 from functools import reduce
 from itertools import accumulate
-from operator import add, and_, or_
+from operator import add, or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from holdfast.operators.selection import comparable, rows_at
+
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 # Points of a value sketch, its accuracy, and the rows a range may have to be read in full.
 GRID, SKETCH, FEW_VALUES = 512, 10_000, 20_000
@@ -107,7 +109,7 @@ def _literal(value: object, kind: str | None) -> Column:
     return F.lit(value)
 
 
-def not_before(order: Order, mark: Row, types: dict[str, str] | None = None) -> Column:
+def not_before(order: Order, mark: Row | dict, types: dict[str, str] | None = None) -> Column:
     """True for rows that stand at or after ``mark`` in the order."""
     result = F.lit(True)
     for name, way in reversed(order):
@@ -137,23 +139,21 @@ def global_ntile(df: DataFrame, order: Order, key: str, tiles: int, out: str) ->
     """Tile number 1..n over the whole table; rows with equal order go by ``key``.
 
     The key has to tell all rows apart.  Where it does not, a tile could not be cut at its
-    exact size, so a key that occurs twice at a cut is an error.
+    exact size, so a key that occurs twice at a cut is an error.  The rows at the cuts are
+    found by histograms (``selection``), without a sort.
     """
-    full = [*[(name, way) for name, way in order if name != key], (key, "asc")]
     types = dict(df.dtypes)
-    _, marks = rows_at_ranks(df, full, lambda n: tile_starts(n, tiles), total_order=True)
-    if marks:
-        same = [
-            reduce(and_, [F.col(name).eqNullSafe(_literal(mark[name], types[name])) for name, _ in full])
-            for mark in marks.values()
-        ]
-        most = df.agg(F.greatest(*[F.count_if(s) for s in same], F.lit(0), F.lit(0))).first()[0]
-        if most > 1:
-            raise ValueError(f"{key} does not tell the rows apart")
-    tile = reduce(
-        add, [not_before(full, marks[rank], types).cast("int") for rank in sorted(marks)], F.lit(1)
+    full = [*[(name, way) for name, way in order if name != key], (key, "asc")]
+    plain = [(f"_order_{i}", way) for i, (_, way) in enumerate(full)]
+    keys = {f"_order_{i}": comparable(F.col(name), types[name]) for i, (name, _) in enumerate(full)}
+    _, found, again = rows_at(
+        df.select(*[col.alias(name) for name, col in keys.items()]), plain, lambda n: tile_starts(n, tiles)
     )
-    return df.withColumn(out, tile)
+    if again:
+        raise ValueError(f"{key} does not tell the rows apart")
+    marks = [dict(zip(keys, found[rank], strict=True)) for rank in sorted(found)]
+    tile = reduce(add, [not_before(plain, mark).cast("int") for mark in marks], F.lit(1))
+    return df.withColumns(keys).withColumn(out, tile).drop(*keys)
 
 
 def _number(col: str) -> Column:
