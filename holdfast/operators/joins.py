@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+# Keys under this share of the rows are left to the runtime's own skew handling, so that a sketch
+# has a fixed size however many partitions there are.
+MOST_SHARES = 2048
+TRACKED_PER_SHARE, LEAST_TRACKED = 16, 128
+SKETCH_GROUPS = 64
+REMEMBERED = 64
+_FOUND: OrderedDict[tuple, tuple[list[tuple], bool]] = OrderedDict()
 
 
 def hot_keys(df: DataFrame, key: str, partitions: int) -> DataFrame:
@@ -20,6 +31,47 @@ def hot_keys(df: DataFrame, key: str, partitions: int) -> DataFrame:
     return counted.select(key, shares.alias("_shares")).where(F.col("_shares") > 1)
 
 
+def heavy_keys(df: DataFrame, key: str, partitions: int) -> tuple[list[tuple], bool]:
+    """(key, shares) of the hot keys as in ``hot_keys``, and whether rows without a key pile up.
+
+    Tasks send frequent-item sketches of a fixed size instead of a count per key.  A sketch
+    of 16 items a share is off by less than a quarter of a share, so every key with more
+    than a share of the rows is among the items with three quarters of one; only those are
+    counted exactly, in a second scan that is left out if there are none.  The answer is a
+    short list of literals, so both sides of a join deal alike; it is remembered per plan and key.
+    """
+    spark = df.sparkSession
+    name = (id(spark), df.semanticHash(), key, partitions)
+    if name in _FOUND:
+        _FOUND.move_to_end(name)
+        return _FOUND[name]
+    parts = min(partitions, MOST_SHARES)
+    tracked = max(LEAST_TRACKED, TRACKED_PER_SHARE * parts)
+    keys = df.select(F.col(key).alias("_key"))
+    # one row without a key, so that there is a sketch even of an empty table
+    keys = keys.unionAll(spark.range(1).select(F.lit(None).cast(keys.schema["_key"].dataType).alias("_key")))
+    sketches = keys.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_group")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("_key").alias("known"),
+        F.expr(f"approx_top_k_accumulate(_key, {tracked}) FILTER (WHERE _key IS NOT NULL)").alias("sketch"),
+    )
+    row = sketches.agg(
+        (F.sum("n") - 1).alias("n"),
+        F.sum("known").alias("known"),
+        F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {tracked}), {2 * parts})").alias("items"),
+    ).first()
+    often = [i["item"] for i in row["items"] or () if i["item"] is not None and 4 * parts * i["count"] >= 3 * row["known"]]
+    hot: list[tuple] = []
+    if often:
+        counted = df.where(F.col(key).isin(often)).groupBy(key).count().collect()
+        average = row["known"] / partitions
+        hot = sorted((r[0], -int(-r["count"] // average)) for r in counted if r["count"] > max(average, row["known"] / parts))
+    _FOUND[name] = hot, parts * (row["n"] - row["known"]) > row["n"]
+    while len(_FOUND) > REMEMBERED:
+        _FOUND.popitem(last=False)
+    return _FOUND[name]
+
+
 def skew_join(
     facts: DataFrame,
     other: DataFrame,
@@ -37,13 +89,18 @@ def skew_join(
     or ``left``; rows without a key are dealt out as well, so a left join does not
     pile them up.
 
-    Hot keys are found by counting ``key`` in ``facts``, or in ``counted_on`` where
-    that is cheaper to read: a table with at least as many rows of each key.
+    Hot keys are looked for first, with sketches of ``key`` in ``facts``, or in
+    ``counted_on`` where that is cheaper to read: a table with at least as many rows of
+    each key.  Without any this is a plain join.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type: {how}")
     partitions = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(facts if counted_on is None else counted_on, key, partitions))
+    found, keyless = heavy_keys(facts if counted_on is None else counted_on, key, partitions)
+    if not found and not (keyless and how == "left"):
+        return facts.join(other, key, how)
+    schema = StructType([facts.schema[key], StructField("_shares", IntegerType())])
+    hot = F.broadcast(facts.sparkSession.createDataFrame(found, schema))
     apart = ", ".join(f"`{name}`" for name in spread or facts.columns)
     dealt = facts.join(hot, key, "left").selectExpr(
         *[f"`{name}`" for name in facts.columns],

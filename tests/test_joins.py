@@ -3,7 +3,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.operators.joins import hot_keys, skew_join
+from holdfast.operators import joins
+from holdfast.operators.joins import heavy_keys, hot_keys, skew_join
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,34 @@ def test_empty_sides_and_bad_type(skewed, names):
     assert skew_join(skewed, names.where("false"), "key", "left").count() == 3000
     with pytest.raises(ValueError):
         skew_join(skewed, names, "key", "full")
+
+
+def test_sketches_find_the_same_hot_keys(spark, skewed, monkeypatch):
+    for n in (3, 8, 50, 200):
+        exact = sorted((r["key"], r["_shares"]) for r in hot_keys(skewed, "key", n).collect())
+        assert heavy_keys(skewed, "key", n)[0] == exact
+    text = skewed.select(F.concat(F.lit("k"), "key").alias("key"), "row")
+    assert [k for k, _ in heavy_keys(text, "key", 50)[0]] == ["k7"]
+    assert heavy_keys(skewed.where("false"), "key", 8) == ([], False)
+    assert heavy_keys(skewed.where("key is null"), "key", 8) == ([], True)
+    # as many keys as a sketch holds, many times over, and a few just over a share
+    many = spark.range(60_000).select(F.when(F.col("id") % 6 == 0, F.col("id") % 4).otherwise(F.col("id") + 10).alias("key"))
+    exact = sorted((r["key"], r["_shares"]) for r in hot_keys(many, "key", 14).collect())
+    assert exact and heavy_keys(many, "key", 14)[0] == exact
+    monkeypatch.setattr(joins, "MOST_SHARES", 2)
+    assert heavy_keys(skewed, "key", 49)[0] == []  # a third is under a half
+
+
+def test_no_grouping_by_key_and_a_plain_join_without_hot_keys(spark, skewed, names):
+    even = skewed.where("key > 1000")
+    plan = skew_join(even, names, "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_share" not in plan and "Aggregate" not in plan
+    plan = skew_join(skewed, names, "key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_share" in plan and "Aggregate" not in plan
+
+
+def test_answers_are_remembered(spark, skewed):
+    heavy_keys(skewed, "key", 77)
+    size = len(joins._FOUND)
+    heavy_keys(skewed, "key", 77)
+    assert len(joins._FOUND) == size <= joins.REMEMBERED
