@@ -101,6 +101,27 @@ def csv_scan(spark, sf):
     return read_csv(spark, "customers", path)
 
 
+@query
+def csv_free_text(spark, sf):
+    """Reviews with quotes, commas and line breaks in their text, read back record by record."""
+    path = f"{scratch_root(spark)}/reviews-csv-{uuid4()}"
+    line = T.table(spark, sf, "lineitem")
+    message = F.concat(
+        F.lit('part "'), F.col("l_partkey").cast("string"), F.lit('",\n"'), "l_returnflag", F.lit("\n\n"), "l_linestatus"
+    )
+    none = F.lit(None).cast("string")
+    line.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("review_id"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        (F.col("l_linenumber") % 5 + 1).cast("int").alias("review_score"),
+        none.alias("review_comment_title"),
+        message.alias("review_comment_message"),
+        none.alias("review_creation_date"),
+        none.alias("review_answer_timestamp"),
+    ).write.option("header", True).option("escape", '"').option("quoteAll", True).option("nullValue", "").csv(path)
+    return read_csv(spark, "order_reviews", path).select("review_id", "order_id", "review_score", "review_comment_message")
+
+
 @query
 def replace_table(spark, sf):
     """A table replaced twice holds the second content, with the rows counted on the way."""

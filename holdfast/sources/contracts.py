@@ -41,7 +41,7 @@ RAW = {
     "category_translation": "product_category_name string, product_category_name_english string",
 }
 
-# Tables whose free text may hold quoted line breaks, which keep a file from being split.
+# Tables whose free text may hold quoted line breaks.
 FREE_TEXT = {"order_reviews"}
 
 
