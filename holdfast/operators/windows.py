@@ -5,18 +5,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdfast.functions.dates import days_before
 from holdfast.functions.numbers import cents, from_cents, ratio_or_zero
 from holdfast.operators.facts import PERSON, WHEN
-from holdfast.operators.joins import skew_join
+from holdfast.operators.joins import heavy_keys, skew_join
 from holdfast.operators.rfm import dataset_end
 
 WINDOWS = (30, 90, 180)
 
 
+def _with_own_last(orders: DataFrame, counted_on: DataFrame) -> DataFrame:
+    """Orders with the moment ``_last`` of their person's last one; orders of nobody go.
+
+    Where no person is hot, one window over the persons does it: one scan, and the totals that
+    follow need no other shuffle.  Otherwise orders shrink to one row per person and
+    moment, and the last moments are joined to these with hot persons dealt out.
+    """
+    orders = orders.where(F.col(PERSON).isNotNull())
+    partitions = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not heavy_keys(counted_on, PERSON, partitions)[0]:
+        return orders.withColumn("_last", F.max(WHEN).over(Window.partitionBy(PERSON)))
+    moments = orders.groupBy(PERSON, WHEN).agg(F.sum("_cents").alias("_cents"), F.sum("_n").alias("_n"))
+    own_last = moments.groupBy(PERSON).agg(F.max(WHEN).alias("_last"))
+    return skew_join(moments, own_last, PERSON, spread=[WHEN], counted_on=counted_on)
+
+
 def time_features(
     customer_orders: DataFrame,
     windows: Sequence[int] = WINDOWS,
@@ -36,13 +52,12 @@ def time_features(
     if anchor not in ("dataset_end", "customer_last"):
         raise ValueError(f"unknown anchor: {anchor}")
     windows = sorted(windows)
-    orders = customer_orders.select(PERSON, "order_id", WHEN, cents(F.col(value)).alias("_cents"))
+    orders = customer_orders.select(PERSON, WHEN, cents(F.col(value)).alias("_cents"), F.lit(1).alias("_n"))
     if anchor == "dataset_end":
         end = dataset_end(customer_orders, WHEN, end_ts)
         recent = ratio_window or windows[-1]
     else:
-        own_last = orders.groupBy(PERSON).agg(F.max(WHEN).alias("_last"))
-        orders = skew_join(orders, own_last, PERSON, spread=["order_id"])
+        orders = _with_own_last(orders, customer_orders)
         end = F.col("_last")
         recent = ratio_window or windows[0]
     if recent not in windows:
@@ -58,10 +73,10 @@ def time_features(
             for days, inside in within.items()
         ],
         *[
-            F.count(F.when(inside, F.lit(1))).alias(f"orders_{days}d")
+            F.sum(F.when(inside, F.col("_n")).otherwise(F.lit(0))).cast("long").alias(f"orders_{days}d")
             for days, inside in within.items()
         ],
-        F.count(F.lit(1)).alias("lifetime_orders"),
+        F.sum("_n").cast("long").alias("lifetime_orders"),
         from_cents(F.sum("_cents"), spent).alias("lifetime_spend"),
     )
     spend, orders_in = F.col(f"spend_{recent}d"), F.col(f"orders_{recent}d")

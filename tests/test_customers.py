@@ -300,3 +300,17 @@ def test_dataset_end_type(spark):
     orders = order_fact(spark, ORDERS)
     row = orders.select(rfm.dataset_end(orders).alias("e")).first()
     assert row["e"] == when("2018-06-01 12:00:00")
+
+
+def test_own_last_window_and_dealt_join_agree(spark, monkeypatch):
+    """One person holds two thirds of the orders; some orders are nobody's."""
+    rows = [(f"p{k % 3 and 1}" if k % 3 else f"q{k}", f"o{k}", f"2018-{1 + k % 6:02d}-{1 + k % 28:02d}", k % 7) for k in range(90)]
+    orders = order_fact(spark, rows + [(None, "x", "2018-01-01", 5)])
+    dealt = windows.time_features(orders, anchor="customer_last")
+    names = sorted(c for c in dealt.columns if c != "customer_unique_id")
+    assert "_share" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(windows, "heavy_keys", lambda *_: ([], False))
+    plain = windows.time_features(orders, anchor="customer_last")
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert as_dict(dealt, "customer_unique_id", *names) == as_dict(plain, "customer_unique_id", *names)
+    assert None not in as_dict(plain, "customer_unique_id", *names)
