@@ -15,7 +15,8 @@ of its word ids, and its key a hash of that path.
 3. A prefix partition is named by all words but the last and four bits of the last, so the
    phrases after one hot prefix are in 16.  Its runs are merged as they arrive; what a task holds
    are the distinct phrases of one partition.  Phrases under ``least`` are dropped there.
-4. Cuts, covering phrases and ranks are joins and windows over the frequent phrases.
+4. Cuts, covering phrases and ranks are joins and windows over the frequent phrases; a language
+   is ranked in ``SHARES`` shares first, so its last task reads at most that many lists.
 
 Defined results: a null language is ``und``, a null text empty; rows count whatever their id,
 repeated rows repeatedly; equal scores are ordered by a, then by phrase in UTF-8 byte order; a
@@ -45,6 +46,7 @@ BLANKS = (0x09, 0x20)
 PIECE_END = re.compile(rb"[.,;:!?\x0A-\x0D]")
 PIECE_BYTES = 1 << 20
 BURST, BUDGET = 1 << 18, 1 << 22
+SHARES = 64  # of a language's phrases, ranked on their own first
 SLACK = 4096  # pending phrases of a small container
 DIGIT_BITS = 4
 PARTS_PER_TASK = 8
@@ -440,9 +442,13 @@ def ranked(phrases: DataFrame, counts: DataFrame, words: DataFrame, totals: Data
         )
         .select("key", "a", "ids", "lang", "best.score", "best.l", "best.r")
     )
-    # ranks with ties first, so that only phrases that may be listed are spelled out
+    # ranks with ties first, so that only phrases that may be listed are spelled out; within
+    # shares of a language before the whole, so that no task reads all of a language
     order = [F.desc("score"), F.desc("a")]
-    near = stored(best.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(f"place <= {top}"))
+    shares = Window.partitionBy("lang", F.pmod("key", F.lit(SHARES))).orderBy(*order)
+    near = best.withColumn("place", F.rank().over(shares)).where(f"place <= {top}")
+    near = near.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order)))
+    near = stored(near.where(f"place <= {top}"))
     spelled = (
         near.select("key", F.posexplode("ids").alias("at", "id"))
         .join(words.select(F.col("key").alias("id"), "word"), "id")
