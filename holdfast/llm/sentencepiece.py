@@ -39,8 +39,9 @@ from holdfast.llm.words import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SLICE_BYTES = 8 << 20
-# A task keeps the pieces of the words it has met, up to this many.
-KEPT_WORDS = 500_000
+# A worker process keeps the pieces of words it has met, and the pairs of pieces it has judged,
+# up to so many.
+KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
 
 
 @dataclass
@@ -194,6 +195,8 @@ class Encoder:
         """Solves the words that are not known yet."""
         if len(self.words) > KEPT_WORDS:
             self.blank()
+        if len(self.apart) > KEPT_PAIRS:
+            self.apart.clear()
         new = words - self.words.keys()
         cut = {w: [MARK + w] if self.plain.fullmatch(w) else self.pieces_of(w) for w in new}
         strings = sorted({s for parts in cut.values() for s in parts if isinstance(s, str)})
@@ -299,14 +302,18 @@ def encode(
     """The rows with ``ids``, and with ``round_trip`` if ``verify`` (the ids decode to the
     text; null counts as empty).  A name that is taken already gets a trailing underscore."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(vars(load_vocabulary(model_path)))
+    shared = spark.sparkContext.broadcast({"vocabulary": vars(load_vocabulary(model_path))})
     names = [fresh(docs, "ids"), *([fresh(docs, "round_trip")] if verify else [])]
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     kinds = f"`{names[0]}` array<int>" + (f", `{names[1]}` boolean" if verify else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(**shared.value)
-        encoder, table = Encoder(vocabulary), _decoder(vocabulary)
+        # a broadcast's value stays with its worker process, and so does what later tasks can use
+        held = shared.value
+        if "worker" not in held:
+            vocabulary = Vocabulary(**held["vocabulary"])
+            held["worker"] = Encoder(vocabulary), _decoder(vocabulary)
+        encoder, table = held["worker"]
         for whole in batches:
             for batch in slices(whole, text_col, SLICE_BYTES):
                 texts = [t or "" for t in batch.column(text_col).to_pylist()]
