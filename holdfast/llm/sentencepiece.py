@@ -38,10 +38,10 @@ from holdfast.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 # A worker process keeps the pieces of words it has met, and the pairs of pieces it has judged,
 # up to so many.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 200_000, 300_000
 
 
 @dataclass
@@ -193,8 +193,6 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Solves the words that are not known yet."""
-        if len(self.words) > KEPT_WORDS:
-            self.blank()
         if len(self.apart) > KEPT_PAIRS:
             self.apart.clear()
         new = words - self.words.keys()
@@ -238,8 +236,22 @@ class Encoder:
         sizes = bounds[at + 1] - bounds[at]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         take = np.repeat(bounds[at] - ends[:-1], sizes) + np.arange(ends[-1])
+        if len(self.words) > KEPT_WORDS:
+            self._forget(flat, bounds, np.bincount(at, minlength=len(bounds) - 1) > 1)
         return flat[take], ends[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
 
+    def _forget(self, flat: np.ndarray, bounds: np.ndarray, keep: np.ndarray) -> None:
+        """Keeps only the words at the places to keep: those that came twice just now."""
+        held = {word: place for word, place in self.words.items() if keep[place]}
+        at = np.fromiter(held.values(), np.int64, len(held))
+        sizes = bounds[at + 1] - bounds[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.repeat(bounds[at] - ends[:-1], sizes) + np.arange(ends[-1])
+        self.blank()
+        self.words = dict(zip(held, range(len(held)), strict=True))
+        self.flat.frombytes(flat[take].tobytes())
+        self.bounds = array("q", ends.tolist())
+
     def _with_runs(self, words: list[str]) -> list[int]:
         """Places of the words of a text that has runs of spaces."""
         places, gap = [], 0
