@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
@@ -97,12 +98,17 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by both pieces in one number
         self.spines: dict[tuple[int, bool], list[int]] = {}
         known = "".join(re.escape(p) for p in vocabulary.ids if len(p) == 1 and p != MARK)
         self.runs = re.compile(f"[{known}]+|[^{known}]", re.DOTALL)
         self.plain = re.compile(f"[{known}]*", re.DOTALL)
-        self.reachable = {p: i for p, i in vocabulary.ids.items() if vocabulary.parts[i] != (-1, -1)}
+        self.sizes = [len(p) for p in vocabulary.pieces]
+        self.endings = ahocorasick.Automaton()
+        for piece, i in vocabulary.ids.items():
+            if vocabulary.parts[i] != (-1, -1):
+                self.endings.add_word(piece, i)
+        self.endings.make_automaton()
         self.words: dict[str, int] = {}  # word to its place in the arrays below
         self.blank()
 
@@ -121,12 +127,6 @@ class Encoder:
             self.spines[piece, right] = found
         return found
 
-    def stay_apart(self, a: int, b: int) -> bool:
-        found = self.apart.get((a, b))
-        if found is None:
-            found = self.apart[a, b] = self._stay_apart(a, b)
-        return found
-
     def _stay_apart(self, a: int, b: int) -> bool:
         v, left, right = self.v, self.spine(a, True), self.spine(b, False)
         i = j = 0
@@ -146,8 +146,8 @@ class Encoder:
 
     def solve(self, strings: list[str]) -> Iterator[list[int]]:
         """Piece ids of sorted strings of known characters."""
-        get, longest, apart, stay = self.reachable.get, self.v.longest, self.apart, self.stay_apart
-        pieces = self.v.pieces
+        longest, apart, stay, sizes = self.v.longest, self.apart, self._stay_apart, self.sizes
+        n, ending = len(self.v.pieces), self.endings.iter
         before, state = "", [-1]  # state[i]: last piece of the path that spells the first i characters
         for text in strings:
             shared = 0
@@ -156,25 +156,30 @@ class Encoder:
                     break
                 shared += 1
             del state[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                for begin in range(max(0, end - longest), end):
-                    piece = get(text[begin:end])
-                    if piece is None:
+            # all pieces that end after the shared prefix, at each end the longest first
+            known = shared
+            for at, piece in ending(text, max(0, shared + 1 - longest)):
+                if at < known:
+                    continue  # this end is settled
+                if at > known:
+                    break
+                last = state[at + 1 - sizes[piece]]
+                if last >= 0:
+                    pair = last * n + piece
+                    fine = apart.get(pair)
+                    if fine is None:
+                        fine = apart[pair] = stay(last, piece)
+                    if not fine:
                         continue
-                    last = state[begin]
-                    if last < 0:
-                        break
-                    fine = apart.get((last, piece))
-                    if stay(last, piece) if fine is None else fine:
-                        break
-                else:
-                    raise AssertionError(f"no path spells {text[:end]!r}")
                 state.append(piece)
+                known += 1
+            if known < len(text):
+                raise AssertionError(f"no path spells {text[: known + 1]!r}")
             before = text
             out, at = [], len(text)
             while at:
                 out.append(state[at])
-                at -= len(pieces[state[at]])
+                at -= sizes[state[at]]
             yield out[::-1]
 
     def spaces(self, n: int) -> list[int]:
