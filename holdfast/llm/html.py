@@ -16,15 +16,21 @@ excluded: a menu drawn up for one page is unique, and still is a menu.
 
 Hosts are cut into shards of about ``SHARD_BYTES`` by a hash of the page id once they are
 larger than that, so no task holds more than one shard; sizes are counted with partial
-sums by slots of hosts, and pages travel compressed.
-Suffixes are sorted per shard, but repeats are settled for the whole host: the runs of
-all shards are dealt by a 64-bit hash of host and words, their pages counted, and those on
-two or more pages sent back to the shards that have them.  The size of a host or shard
-does not change a text.
+sums by slots of hosts, and pages travel once, as compressed words without markup.
+Suffixes are sorted per shard, but repeats are settled for the whole host.  A run on half
+of a host's pages is on half of the pages of some shard, so each shard names only such
+runs, and the other shards count just these.  Runs on two pages matter for pages without
+main text; where a host has such pages, the 64-bit keys of the runs of all its shards are
+dealt by key, their pages counted, and those on two or more pages sent back.  The size of
+a host or shard does not change a text.
 
 Defined results: null and empty pages give the empty text; text outside all tags is open;
 unclosed tags end with their parent; pages without a host are one host together; repeated
-rows of one page id are one page when repeats are counted.
+rows of one page id are one page when repeats are counted, and share a shard; a
+comment or raw element without an end reaches to the end of the page; a tag without an end
+is text; an empty table gives an empty result; of columns that the table has besides
+``page_id``, ``url`` and ``html`` none is read.  Parsing is linear in the page, whatever
+its markup; a page is held whole by its task.
 """
 
 from __future__ import annotations
@@ -33,13 +39,14 @@ import hashlib
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import slot_filter, stored, with_slot_flag
+from holdfast.llm.common import stored
 from holdfast.llm.words import RunHash, mix, span_hash, utf8
 
 SHARD_BYTES = 1 << 20
@@ -49,6 +56,7 @@ RUN = 8
 # of them; a page whose main text has this share of such words or more is a mirror.
 LEAST_PAGES, MIRRORED = 4, 0.8
 OPEN, MAIN, OUT, OUT_BY_WORD = 0, 1, 2, 3
+PAGE_BREAK = "\x1d"  # white space, so no word holds it
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,11 +81,11 @@ HEADER_WORDS = frozenset({"header", "topbar"})
 # Tokens of a class or id that speak of something else than the element itself.
 MODIFIERS = frozenset("has no not with without is open opened closed enabled disabled".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.DOTALL,
-)
+MARKUP = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+DECLARATION = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?]))")
+ATTRIBUTES = re.compile(r"(?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+")
+QUOTE_OR_END = re.compile(r"['\">]")
+LONG_NUMBER = re.compile(r"&#0*+[0-9]{8,}+;?")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 NAME = re.compile(r"[a-z0-9]+")
 
@@ -108,70 +116,170 @@ def _verdict(tag: str, attributes: str, inside_main: bool) -> int:
     return MAIN if main else OPEN
 
 
+class _TagEnds:
+    """Finds where a tag ends, in time linear in the page over all its tags.
+
+    A scan that runs into the end of the page marks the quotes that it opened on its way;
+    a later scan that opens one of them would go the same way, so it stops there.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.dead: set[int] = set()
+        self.unpaired: set[str] = set()
+
+    def find(self, at: int) -> tuple[int, int]:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or -1 and
+        a place up to which no other tag can end either."""
+        page = self.page
+        if not self.dead:
+            end = ATTRIBUTES.match(page, at).end()
+            if end < len(page) and page[end] == ">":
+                return end, 0
+        opened: list[int] = []
+        here = at
+        while True:
+            found = QUOTE_OR_END.search(page, here)
+            if found is None:
+                break
+            here = found.start()
+            mark = page[here]
+            if mark == ">":
+                return here, 0
+            opened.append(here)
+            if here in self.dead or mark in self.unpaired:
+                break
+            here = page.find(mark, here + 1) + 1
+            if not here:
+                self.unpaired.add(mark)
+                break
+        self.dead.update(opened)
+        if not opened:
+            return -1, len(page)
+        # the name of another tag may begin before the quote and hold it
+        last = opened[0]
+        while last > at and not (page[last - 1].isspace() or page[last - 1] == "/"):
+            last -= 1
+        return -1, last
+
+
+def _unescaped(text: str) -> str:
+    """The text with character references decoded; numbers beyond Unicode are U+FFFD."""
+    if "&" not in text:
+        return text
+    return html.unescape(LONG_NUMBER.sub(_number, text) if "&#" in text else text)
+
+
+def _number(found: re.Match) -> str:
+    digits = found[0].strip("&#;").lstrip("0")
+    return f"&#{digits};" if len(digits) < 8 else "\ufffd"
+
+
 def page_blocks(page: str) -> list[tuple[int, list[str]]]:
     """The page's blocks in order: their verdict and their words."""
     blocks: list[tuple[int, list[str]]] = []
     stack: list[tuple[str, int]] = []
+    open_names: dict[str, int] = {}
+    block_places: list[int] = []  # places in the stack of block elements
+    word_places: list[int] = []  # and of elements that their class words exclude
     depth = [0, 0, 0, 0]
     parts: list[str] = []
+    ends = _TagEnds(page)
+    last_end, last_cdata = page.rfind(">"), page.rfind("]]>")
 
     def flush() -> None:
-        words = html.unescape("".join(parts)).split()
+        words = _unescaped("".join(parts)).split()
         parts.clear()
         if words:
             blocks.append((OUT if depth[OUT] or depth[OUT_BY_WORD] else MAIN if depth[MAIN] else OPEN, words))
 
     def close(to: int) -> None:
         while len(stack) > to:
-            depth[stack.pop()[1]] -= 1
-
-    at = 0
+            name, verdict = stack.pop()
+            depth[verdict] -= 1
+            open_names[name] -= 1
+        while block_places and block_places[-1] >= to:
+            block_places.pop()
+        while word_places and word_places[-1] >= to:
+            word_places.pop()
+
+    at = begin = 0  # text from ``begin`` on is not taken yet
+    barren = 0  # no tag that starts before has an end
     while True:
-        found = MARKUP.search(page, at)
+        if at < barren:
+            found = DECLARATION.search(page, at, barren + 8)
+            if found is None or found.start() >= barren:
+                at = barren
+                continue
+        else:
+            found = MARKUP.search(page, at)
         if found is None:
-            parts.append(page[at:])
+            parts.append(page[begin:])
             break
-        parts.append(page[at : found.start()])
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
-            if found[0].startswith("<![CDATA["):
-                parts.append(html.escape(found[0][9:-3], quote=False))
+        start, at = found.span()
+        if found[1]:
+            end = page.find("-->", at)
+            parts.append(page[begin:start])
+            begin = at = end + 3 if end >= 0 else len(page)
+            continue
+        if found[2] and at <= last_cdata:
+            end = page.find("]]>", at)
+            parts.append(page[begin:start])
+            parts.append(html.escape(page[at:end], quote=False))
+            begin = at = end + 3
             continue
+        if found[2] or found[3]:
+            if at <= last_end:
+                parts.append(page[begin:start])
+                begin = at = page.find(">", at) + 1
+            continue
+        tag = found[5].lower()
+        end, least = ends.find(at)
+        if end < 0:
+            barren, at = max(at, least), start + 1
+            continue
+        parts.append(page[begin:start])
+        attributes = page[at:end]
+        begin = at = end + 1
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             flush()
-        if found[1]:
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place][0] == tag:
-                    close(place)
-                    break
+        if found[4]:
+            if open_names.get(tag):
+                place = len(stack) - 1
+                while stack[place][0] != tag:
+                    place -= 1
+                close(place)
             continue
-        if tag in RAW and not found[3].endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page)
+        if tag in RAW and not attributes.endswith("/"):
+            closer = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(page, at)
+            end = page.find(">", closer.end()) if closer else -1
+            begin = at = end + 1 if end >= 0 else len(page)
             continue
         if tag in VOID or tag in RAW:
             continue
         if tag == "body":
             close(0)
-        elif tag in ENDS_PARAGRAPH:
-            for place in range(len(stack) - 1, -1, -1):
-                name = stack[place][0]
-                if name == "p" or (name == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option")):
-                    close(place)
-                    break
-                if name in BLOCK:
-                    break
-        if tag == "main" and depth[OUT_BY_WORD]:
+        elif tag in ENDS_PARAGRAPH and block_places:
+            name = stack[block_places[-1]][0]
+            if name == "p" or (name == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
+                close(block_places[-1])
+        if tag == "main" and word_places:
             # the wrapper of a main element is not what its class words say
-            stack[:] = [(name, OPEN if said == OUT_BY_WORD else said) for name, said in stack]
-            depth[OPEN] += depth[OUT_BY_WORD]
+            for place in word_places:
+                stack[place] = (stack[place][0], OPEN)
+            depth[OPEN] += len(word_places)
             depth[OUT_BY_WORD] = 0
-        verdict = _verdict(tag, found[3], depth[MAIN] > 0)
+            word_places.clear()
+        verdict = _verdict(tag, attributes, depth[MAIN] > 0)
+        if tag in BLOCK:
+            block_places.append(len(stack))
+        if verdict == OUT_BY_WORD:
+            word_places.append(len(stack))
         stack.append((tag, verdict))
+        open_names[tag] = open_names.get(tag, 0) + 1
         depth[verdict] += 1
     flush()
     return blocks
@@ -237,56 +345,90 @@ def _salt(host: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(host.encode(), digest_size=8).digest(), "little"))
 
 
-def shard_texts(
-    pages: list[str],
-    page_ids: list,
-    run: int = RUN,
-    host: str = "",
-    known: tuple[np.ndarray, np.ndarray] | None = None,
-    host_pages: int | None = None,
-) -> list[str]:
-    """Main texts of the pages of one shard.
+Blocks = list[tuple[int, list[str]]]
 
-    ``known`` has the sorted keys of runs that other shards of the host have too, and
-    the pages of the host that have each; ``host_pages`` is the number of distinct pages
-    of the host, if it has other shards.
-    """
-    parsed = [page_blocks(p) for p in pages]
-    ids: dict[str, int] = {}
-    numbers = {p: k for k, p in enumerate(dict.fromkeys(page_ids))}
-    words = [w for blocks in parsed for _, found in blocks for w in found]
-    tokens = [ids.setdefault(w, len(ids)) for w in words]
-    sizes = [sum(len(found) for _, found in blocks) for blocks in parsed]
-    row = np.repeat(np.arange(len(pages)), sizes)
-    owner = np.array([numbers[p] for p in page_ids], np.int64)[row] if pages else np.zeros(0, np.int64)
-    counts = run_pages(np.array(tokens, np.int64), owner, run)
-    if known is not None and len(known[0]):
-        start, key = _window_keys(words, owner, np.full(len(numbers), _salt(host)), run)
-        at = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
-        counts[start] = np.maximum(counts[start], np.where(known[0][at] == key, known[1][at], 0))
-    repeated = cover(counts >= 2, run)
-    often = cover(counts >= max(LEAST_PAGES, -(-(host_pages or len(numbers)) // 2)), run)
-    out, at = [], 0
-    for blocks in parsed:
-        ends = at + np.cumsum([len(words) for _, words in blocks], dtype=np.int64)
-        mains = [often[e - len(words) : e] for e, (v, words) in zip(ends, blocks, strict=True) if v == MAIN]
-        share = np.concatenate(mains).mean() if mains else 0.0
-        wanted, covered = (MAIN, often if share < MIRRORED else None) if mains else (OPEN, repeated)
-        lines = []
-        for verdict, words in blocks:
-            if verdict == wanted:
-                marks = covered[at : at + len(words)].tolist() if covered is not None else [False] * len(words)
-                kept = [w for w, gone in zip(words, marks, strict=True) if not gone]
-                if kept:
-                    lines.append(" ".join(kept))
-            at += len(words)
-        out.append("\n".join(lines))
-    return out
-
-
-def _dealt(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame, int]:
-    """(page_id, url, html, host, shard, is_split) of all rows; (host, shard, page_id, rows)
-    of split hosts; and the html bytes of these.
+
+@dataclass
+class Shard:
+    """The word streams of some pages end to end."""
+
+    parsed: list[Blocks]
+    words: list[str]
+    owner: np.ndarray  # the page of each word; rows of one page id are one page
+    pages: int
+
+    @staticmethod
+    def of(parsed: list[Blocks], page_ids: list) -> Shard:
+        numbers = {p: k for k, p in enumerate(dict.fromkeys(page_ids))}
+        sizes = [sum(len(found) for _, found in blocks) for blocks in parsed]
+        owner = np.repeat(np.array([numbers[p] for p in page_ids], np.int64), sizes)
+        return Shard(parsed, [w for blocks in parsed for _, found in blocks for w in found], owner, len(numbers))
+
+    def run_pages(self, run: int) -> np.ndarray:
+        ids: dict[str, int] = {}
+        return run_pages(np.array([ids.setdefault(w, len(ids)) for w in self.words], np.int64), self.owner, run)
+
+    def keys(self, host: str, run: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the runs inside pages, and their keys."""
+        return _window_keys(self.words, self.owner, np.full(self.pages, _salt(host)), run)
+
+    def has_open(self) -> bool:
+        """Whether a page without main text has open blocks."""
+        said = [{v for v, _ in blocks} for blocks in self.parsed]
+        return any(OPEN in x and MAIN not in x for x in said)
+
+    def texts(self, repeated: np.ndarray, often: np.ndarray) -> list[str]:
+        """Main texts, given the words of runs on two pages and of the host's notices."""
+        out, at = [], 0
+        for blocks in self.parsed:
+            ends = at + np.cumsum([len(words) for _, words in blocks], dtype=np.int64)
+            mains = [often[e - len(words) : e] for e, (v, words) in zip(ends, blocks, strict=True) if v == MAIN]
+            share = np.concatenate(mains).mean() if mains else 0.0
+            wanted, covered = (MAIN, often if share < MIRRORED else None) if mains else (OPEN, repeated)
+            lines = []
+            for verdict, words in blocks:
+                if verdict == wanted:
+                    marks = covered[at : at + len(words)].tolist() if covered is not None else [False] * len(words)
+                    kept = [w for w, gone in zip(words, marks, strict=True) if not gone]
+                    if kept:
+                        lines.append(" ".join(kept))
+                at += len(words)
+            out.append("\n".join(lines))
+        return out
+
+
+def shard_texts(pages: list[str], page_ids: list, run: int = RUN, least_pages: int = LEAST_PAGES) -> list[str]:
+    """Main texts of all pages of one host."""
+    return _host_texts([page_blocks(p) for p in pages], page_ids, run, least_pages)
+
+
+def _host_texts(parsed: list[Blocks], page_ids: list, run: int, least_pages: int) -> list[str]:
+    shard = Shard.of(parsed, page_ids)
+    counts = shard.run_pages(run)
+    often = max(least_pages, -(-shard.pages // 2))
+    return shard.texts(cover(counts >= 2, run), cover(counts >= often, run))
+
+
+def _pack(blocks: Blocks) -> str:
+    """A line for each block: its verdict and its words (no word holds white space)."""
+    return "\n".join(f"{verdict}{' '.join(words)}" for verdict, words in blocks)
+
+
+def _unpack(page: str) -> Blocks:
+    return [(int(line[0]), line[1:].split(" ")) for line in page.split("\n")] if page else []
+
+
+def _squeezed(text: str) -> bytes:
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
+
+
+def _unsqueezed(data: bytes) -> str:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True).decode()
+
+
+def _dealt(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """(page_id, url, html, host, shard, is_split) of all rows, and the html bytes of split hosts.
 
     Shards are given by slots, of which there are at most ``SLOTS``, so their table can be
     broadcast; a host that shares its slot with a large one is split with it.
@@ -301,59 +443,155 @@ def _dealt(pages: DataFrame, shard_bytes: int) -> tuple[DataFrame, DataFrame, in
     total = large.agg(F.sum("bytes")).first()[0] or 0
     shards = large.select("slot", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("shards"))
     dealt = rows.join(F.broadcast(shards), "slot", "left").select(
-        "page_id",
+        F.col("page_id").cast("long").alias("page_id"),
         "url",
         "html",
         "host",
         F.pmod(F.xxhash64("page_id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"),
         F.col("shards").isNotNull().alias("is_split"),
     )
-    rows_of = dealt.where("is_split").groupBy("host", "shard", "page_id").agg(F.count(F.lit(1)).alias("rows"))
-    return dealt, rows_of, total
+    return dealt, total
 
 
-def known_runs(split: DataFrame, again: DataFrame, total: int, run: int) -> DataFrame:
-    """(host, shard, keys, counts): of the runs of each shard, those that two or more pages
-    of the host have, and how many.
+def _parsed(rows: DataFrame) -> DataFrame:
+    """(page_id, url, host, shard, blocks): pages as their blocks of words, compressed."""
 
-    Each batch of pages sends a key once for each shard, with its number of pages there;
-    blocks of keys are dealt by key and added up, and only what repeats is sent back.
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = [_squeezed(_pack(page_blocks(x))) for x in batch.column("html").to_pylist()]
+            at = batch.schema.get_field_index("html")
+            yield batch.set_column(at, "blocks", pa.array(blocks, pa.binary()))
+
+    columns = rows.select("page_id", "url", "host", "shard", "html")
+    return columns.mapInArrow(parse, "page_id bigint, url string, host string, shard int, blocks binary")
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one shard after the other, of rows sorted by host and shard."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and (held[0]["host"], held[0]["shard"]) != (row["host"], row["shard"]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def shard_rows(parsed: DataFrame, run: int) -> DataFrame:
+    """One row for each shard: its pages' blocks, the number of its distinct pages, and the
+    runs that a quarter of them or more have (``near``), from a suffix array."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_shard(batches):
+            packed = [_unsqueezed(r["blocks"]) for r in rows]
+            ids = [r["page_id"] for r in rows]
+            shard = Shard.of([_unpack(x) for x in packed], ids)
+            counts = shard.run_pages(run)
+            near, pages = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            if len(counts) and 4 * counts.max() >= shard.pages:
+                start, key = shard.keys(rows[0]["host"], run)
+                chosen = 4 * counts[start] >= shard.pages
+                near, first = np.unique(key[chosen], return_index=True)
+                pages = counts[start[chosen][first]]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "host": [rows[0]["host"]],
+                    "shard": pa.array([rows[0]["shard"]], pa.int32()),
+                    "pages": [shard.pages],
+                    "has_open": [shard.has_open()],
+                    "near": pa.array([near.view(np.int64)], pa.list_(pa.int64())),
+                    "near_pages": pa.array([pages], pa.list_(pa.int64())),
+                    "ids": pa.array([ids], pa.list_(pa.int64())),
+                    "urls": pa.array([[r["url"] for r in rows]], pa.list_(pa.string())),
+                    "blocks": pa.array([_squeezed(PAGE_BREAK.join(packed))], pa.binary()),
+                }
+            )
+
+    return (
+        parsed.repartition("host", "shard")
+        .sortWithinPartitions("host", "shard")
+        .mapInArrow(
+            gather,
+            "host string, shard int, pages bigint, has_open boolean, near array<bigint>, "
+            "near_pages array<bigint>, ids array<bigint>, urls array<string>, blocks binary",
+        )
+    )
+
+
+def _shard_of(row: dict) -> Shard:
+    return Shard.of([_unpack(x) for x in _unsqueezed(row["blocks"]).split(PAGE_BREAK)], row["ids"])
+
+
+def host_notices(shards: DataFrame, run: int, least_pages: int) -> DataFrame:
+    """(host, notices): the runs that half of the host's distinct pages have.
+
+    By pigeonhole such a run is on half of the pages of some shard.  Only these are named
+    to all shards of the host, which count them exactly.
     """
-    spark = split.sparkSession
+    hosts = shards.groupBy("host").agg(F.sum("pages").alias("host_pages"))
+    pairs = F.explode(F.arrays_zip("near", "near_pages")).alias("x")
+    half = shards.select("host", "pages", pairs).where(2 * F.col("x.near_pages") >= F.col("pages"))
+    named = half.groupBy("host").agg(F.collect_set("x.near").alias("named"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                named = np.sort(np.array(row["named"], np.int64).view(np.uint64))
+                pages = np.zeros(len(named), np.int64)
+                near = np.array(row["near"], np.int64).view(np.uint64)
+                at = np.minimum(np.searchsorted(near, named), max(0, len(near) - 1))
+                told = near[at] == named if len(near) else np.zeros(len(named), bool)
+                pages[told] = np.array(row["near_pages"], np.int64)[at[told]]
+                if not told.all():
+                    shard = _shard_of(row)
+                    start, key = shard.keys(row["host"], run)
+                    asked = named[~told]
+                    place = np.minimum(np.searchsorted(asked, key), len(asked) - 1)
+                    hit = asked[place] == key
+                    seen = np.unique(place[hit] * shard.pages + shard.owner[start[hit]])
+                    pages[~told] = np.bincount(seen // shard.pages, minlength=len(asked))
+                some = pages > 0
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "host": pa.array([row["host"]] * int(some.sum()), pa.string()),
+                        "key": pa.array(named[some].view(np.int64), pa.int64()),
+                        "pages": pa.array(pages[some], pa.int64()),
+                    }
+                )
+
+    asked = shards.select("host", "near", "near_pages", "ids", "blocks").join(stored(named), "host")
+    counted = asked.mapInArrow(count, "host string, key bigint, pages bigint")
+    counted = counted.groupBy("host", "key").agg(F.sum("pages").alias("pages"))
+    often = (2 * F.col("pages") >= F.col("host_pages")) & (F.col("pages") >= least_pages)
+    return counted.join(hosts, "host").where(often).groupBy("host").agg(F.collect_list("key").alias("notices"))
+
+
+def known_runs(shards: DataFrame, total: int, run: int) -> DataFrame:
+    """(host, shard, known): of the runs of each shard, those that two or more pages of the
+    host have.
+
+    Each shard sends a key once, with its number of pages there; blocks of keys are dealt
+    by key and added up, and only what repeats is sent back.
+    """
+    spark = shards.sparkSession
     deals = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // DEAL_BYTES))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         places: dict[tuple[str, int], int] = {}
-        last, page, size = None, 0, 0
+        page = size = 0
         for batch in batches:
-            parsed: list[list[str]] = []
-            salts, numbers, groups = [], [], []
-
-            def keep() -> int:
-                owner = np.repeat(np.arange(len(parsed)), [len(x) for x in parsed])
-                start, key = _window_keys(
-                    [w for x in parsed for w in x], owner, np.array(salts, np.uint64), run
-                )
-                row = owner[start]
-                held.append((key, np.array(numbers, np.int64)[row], np.array(groups, np.int64)[row]))
-                return len(key)
-
             for row in batch.to_pylist():
-                if (row["host"], row["page_id"]) != last:
-                    if sum(map(len, parsed)) + size >= FLUSH_RUNS:
-                        if parsed:
-                            keep()
-                        yield _run_blocks(held, places, deals)
-                        held, places, size = [], {}, 0
-                        parsed, salts, numbers, groups = [], [], [], []
-                    last, page = (row["host"], row["page_id"]), page + 1
-                parsed.append([w for _, words in page_blocks(row["html"]) for w in words])
-                salts.append(_salt(row["host"]))
-                numbers.append(page)
-                groups.append(places.setdefault((row["host"], row["shard"]), len(places)))
-            if parsed:
-                size += keep()
+                shard = _shard_of(row)
+                start, key = shard.keys(row["host"], run)
+                group = places.setdefault((row["host"], row["shard"]), len(places))
+                held.append((key, page + shard.owner[start], np.full(len(key), group)))
+                page, size = page + shard.pages, size + len(key)
+                if size >= FLUSH_RUNS:
+                    yield _run_blocks(held, places, deals)
+                    held, places, size = [], {}, 0
         if held:
             yield _run_blocks(held, places, deals)
 
@@ -393,18 +631,10 @@ def known_runs(split: DataFrame, again: DataFrame, total: int, run: int) -> Data
                 names=["host", "shard", "block"],
             )
 
-    once, more = split, None
-    if not again.isEmpty():
-        probed = with_slot_flag(split, stored(slot_filter(again, ["host", "page_id"])), ["host", "page_id"], "is_again")
-        once = probed.where("not is_again").drop("is_again")
-        more = probed.where("is_again").drop("is_again").repartition("host", "page_id")
-        more = more.sortWithinPartitions("host", "page_id")
-    columns = ["page_id", "html", "host", "shard"]
     packed = "deal int, hosts array<string>, shards array<int>, block binary"
-    blocks = once.select(*columns).mapInArrow(cut, packed)
-    if more is not None:
-        blocks = blocks.unionByName(more.select(*columns).mapInArrow(cut, packed))
-    return blocks.repartitionById(deals, F.col("deal")).mapInArrow(meet, "host string, shard int, block binary")
+    blocks = shards.select("host", "shard", "ids", "blocks").mapInArrow(cut, packed)
+    met = blocks.repartitionById(deals, F.col("deal")).mapInArrow(meet, "host string, shard int, block binary")
+    return met.groupBy("host", "shard").agg(F.collect_list("block").alias("known"))
 
 
 def _run_blocks(held: list, places: dict[tuple[str, int], int], deals: int) -> pa.RecordBatch:
@@ -449,64 +679,64 @@ def _unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, np.frombuffer(body, np.uint32, -1, 12 * n), np.frombuffer(body, np.uint32, n, 8 * n)
 
 
-def extract_text(pages: DataFrame, run: int = RUN, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of (page_id, url, html)."""
-
-    def run_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (held[0]["host"], held[0]["shard"]) != (row["host"], row["shard"]):
-                    yield from _texts(held, run)
-                    held = []
-                held.append(row)
-        if held:
-            yield from _texts(held, run)
+def extract_text(
+    pages: DataFrame, run: int = RUN, shard_bytes: int = SHARD_BYTES, least_pages: int = LEAST_PAGES
+) -> DataFrame:
+    """(page_id, url, text, n_chars) of every row of (page_id, url, html).
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=6)
-        for batch in batches:
-            texts = [x.encode() for x in batch.column("html").to_pylist()]
-            column = pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in texts], pa.binary())
-            yield batch.set_column(batch.schema.get_field_index("html"), "html", column)
-
-    dealt, rows_of, total = _dealt(pages, shard_bytes)
-    packed = "page_id bigint, url string, html binary, host string, shard int"
-    rows = dealt.drop("is_split").withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(pack, packed)
-    rows = rows.withColumns({"block": F.lit(None).cast("binary"), "host_pages": F.lit(None).cast("long")})
-    if total:
-        rows_of = stored(rows_of)
-        known = known_runs(dealt.where("is_split"), rows_of.where("rows > 1").select("host", "page_id"), total, run)
-        of_host = rows_of.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-        of_shard = rows_of.select("host", "shard").distinct().join(of_host, "host")
-        rows = rows.unionByName(known, allowMissingColumns=True).unionByName(of_shard, allowMissingColumns=True)
-    return (
-        rows.repartition("host", "shard")
-        .sortWithinPartitions("host", "shard")
-        .mapInArrow(run_shards, "page_id bigint, url string, text string, n_chars bigint")
-    )
+    A notice inside main text is a run of ``run`` words on half of a host's distinct pages,
+    and on ``least_pages`` at least.
+    """
 
+    def whole_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_shard(batches):
+            ids = [r["page_id"] for r in rows]
+            parsed = [_unpack(_unsqueezed(r["blocks"])) for r in rows]
+            yield _result(ids, [r["url"] for r in rows], _host_texts(parsed, ids, run, least_pages))
 
-def _texts(rows: list[dict], run: int) -> Iterator[pa.RecordBatch]:
-    blocks = [_unpacked(r["block"]) for r in rows if r["block"] is not None]
-    host_pages = max((r["host_pages"] for r in rows if r["host_pages"] is not None), default=None)
-    rows = [r for r in rows if r["html"] is not None]
-    known = None
-    if blocks:
-        keys, counts = np.concatenate([b[0] for b in blocks]), np.concatenate([b[2] for b in blocks])
-        order = np.argsort(keys)
-        known = keys[order], counts[order].astype(np.int64)
-    if not rows:
-        return
-    codec = pa.Codec("zstd")
-    pages = [
-        codec.decompress(r["html"][8:], int.from_bytes(r["html"][:8], "little"), asbytes=True).decode() for r in rows
-    ]
-    texts = shard_texts(pages, [r["page_id"] for r in rows], run, rows[0]["host"], known, host_pages)
-    yield pa.RecordBatch.from_arrays(
+    def split_hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = _shard_of(row)
+                repeated = often = np.zeros(len(shard.words), bool)
+                if row["notices"] or row["known"]:
+                    start, key = shard.keys(row["host"], run)
+                    often = _covered(start, key, np.array(row["notices"] or [], np.int64).view(np.uint64), often, run)
+                    blocks = [_unpacked(x)[0] for x in row["known"] or []]
+                    if blocks:
+                        repeated = _covered(start, key, np.concatenate(blocks), repeated, run)
+                yield _result(row["ids"], row["urls"], shard.texts(repeated, often))
+
+    kinds = "page_id bigint, url string, text string, n_chars bigint"
+    dealt, total = _dealt(pages, shard_bytes)
+    whole = _parsed(dealt.where("not is_split")).repartition("host").sortWithinPartitions("host")
+    texts = whole.mapInArrow(whole_hosts, kinds)
+    if not total:
+        return texts
+    shards = stored(shard_rows(_parsed(dealt.where("is_split")), run))
+    rows = shards.select("host", "shard", "ids", "urls", "blocks")
+    rows = rows.join(stored(host_notices(shards, run, least_pages)), "host", "left")
+    open_hosts = stored(shards.where("has_open").select("host").distinct())
+    if open_hosts.isEmpty():
+        rows = rows.withColumn("known", F.lit(None).cast("array<binary>"))
+    else:
+        known = stored(known_runs(shards.join(open_hosts, "host", "left_semi"), total, run))
+        rows = rows.join(known, ["host", "shard"], "left")
+    return texts.unionByName(rows.mapInArrow(split_hosts, kinds))
+
+
+def _covered(start: np.ndarray, key: np.ndarray, chosen: np.ndarray, none: np.ndarray, run: int) -> np.ndarray:
+    """Marks the words of the runs whose keys are chosen."""
+    begins = none.copy()
+    begins[start[np.isin(key, chosen)]] = True
+    return cover(begins, run)
+
+
+def _result(ids: list, urls: list, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
         [
-            pa.array([r["page_id"] for r in rows], pa.int64()),
-            pa.array([r["url"] for r in rows], pa.string()),
+            pa.array(ids, pa.int64()),
+            pa.array(urls, pa.string()),
             pa.array(texts, pa.string()),
             pa.array([len(t) for t in texts], pa.int64()),
         ],

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import time
 import zipfile
 from itertools import groupby
 
@@ -535,6 +536,66 @@ def test_html_notices_inside_articles(spark):
         assert {r["page_id"]: r["text"] for r in found} == want
 
 
+HOSTILE = {
+    "unclosed tags": "<a " * 300_000,
+    "one long name": "<a" * 500_000,
+    "unpaired quotes": "<a '" * 250_000 + '"',
+    "mixed quotes": "<a \"''\" <a ''\" " * 70_000,
+    "declarations": "<a<!" * 250_000,
+    "sections": "<![CDATA[" * 110_000,
+    "stray closers": "<div>" * 100_000 + "</b>" * 100_000,
+    "inline stack": "<b>" * 100_000 + "<div></div>" * 60_000,
+    "wrappers": "<div class=ad><main>" * 50_000,
+    "raw": "<script>" + "</script" * 120_000,
+    "a long number": "&#" + "9" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_html_parse_is_linear(name):
+    """A megabyte of any of these took minutes to hours when it was scanned again and again."""
+    start = time.process_time()
+    html.page_blocks(HOSTILE[name])
+    assert time.process_time() - start < 20
+
+
+def test_html_odd_markup():
+    pages = {
+        "a <b c": "a <b c",
+        "a <b 'c> d": "a <b 'c> d",
+        "a <b 'c> d <i>e</i>": "a <b 'c> d e",
+        "<td<!-- gone": "<td",
+        "a <![CDATA[x < y]]> b": "a x < y b",
+        "a <![CDATA[x> b": "a b",
+        "a <!-- b": "a",
+        "a <? b > c": "a c",
+        "a <! b": "a <! b",
+        "a<script>b</script c": "a",
+        "a</b></p> c": "a\nc",
+        "&#0000000065;&#00000000099999999999;&#x41;": "A\ufffdA",
+    }
+    assert html.shard_texts(list(pages), list(range(len(pages)))) == list(pages.values())
+
+
+@pytest.mark.parametrize("n", [2, 3, 4, 5, 9])
+def test_html_notices_by_share_alone(spark, n):
+    """With least_pages=2 hosts of all sizes lose what half of their pages have, split or not;
+    pages without main text lose what two pages have, wherever these are."""
+    own = lambda n, seed: " ".join(f"s{seed}n{k}" for k in range(n))
+    call, twice = own(14, "call"), own(9, "twice")
+    rows = [(k, "http://h/a", f"<article><p>{own(30, k)}</p><p>{call}</p></article>") for k in range(n)]
+    rows += [
+        (k, "http://o/a", f"<p>{own(30, k)}</p>" + (f"<p>{twice}</p>" if k < 102 else ""))
+        for k in range(100, 100 + n)
+    ]
+    rows += [(200, "http://o/a", f"<main><p>{own(30, 200)}</p></main><nav>{call}</nav>")]
+    want = {k: own(30, k) for k, _, _ in rows}
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for shard_bytes in (html.SHARD_BYTES, 300):
+        found = html.extract_text(frame, shard_bytes=shard_bytes, least_pages=2).collect()
+        assert {r["page_id"]: r["text"] for r in found} == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=14), min_size=1, max_size=4))
 def test_repeated_words_equal_brute_force(pages):
