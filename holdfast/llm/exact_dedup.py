@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from holdfast.llm.common import fresh, slot_filter, stored, with_slot_flag, without_ids
+from holdfast.llm.common import fresh, slot_filter, stored, with_slot_flag
 
 PREFIX_CHARS = 256
 
@@ -115,6 +115,16 @@ def drop_exact_copies(
     text_col: str = "text",
     prefix_chars: int = PREFIX_CHARS,
 ) -> DataFrame:
-    """The rows that stay, with all their columns; ids are taken to name rows."""
-    verdict = exact_dedup(docs, id_col, text_col, prefix_chars=prefix_chars)
-    return without_ids(docs, verdict.where(~F.col("kept")).select(id_col), id_col)
+    """The rows that stay, with all their columns.  An id names a row together with its text,
+    so rows that share an id with a copy that goes, but not its text, stay."""
+    found = _refine(docs, id_col, text_col, prefix_chars)
+    mine, keep = fresh(found.rows, "group_hash"), fresh(found.rows, "group_keep")
+    groups = found.groups.select(
+        F.col(found.size).alias(f"{mine}_size"), F.col(found.full).alias(mine), F.col("keep_id").alias(keep)
+    )
+    rest = found.rows.where(F.col(found.flag)).withColumn(found.full, F.unhex(F.sha2(_body(text_col), 256)))
+    same = (F.col(found.size) == F.col(f"{mine}_size")) & (F.col(found.full) == F.col(mine))
+    goes = F.col(keep).isNotNull() & F.col(id_col).isNotNull() & (F.col(id_col) != F.col(keep))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    stay = rest.join(groups, same, "left").where(~goes).select(*columns)
+    return found.rows.where(~F.col(found.flag)).select(*columns).unionByName(stay)

@@ -39,7 +39,7 @@ from holdfast.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # A task keeps the pieces of the words it has met, up to this many.
 KEPT_WORDS = 500_000
 

@@ -9,10 +9,12 @@ from html import unescape
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect
 from holdfast.llm import sentencepiece as pieces
+from holdfast.llm.common import stored
 from holdfast.llm.oracles import SQL
 from holdfast.llm.queries import QUERIES
 from tests.llm import brute
@@ -122,3 +124,32 @@ def test_pipeline_stages_equal_brute_force(spark):
             texts = dict(before)
             assert all(r["round_trip"] and r["ids"] == library.encode(texts[r["doc_id"]]) for r in rows)
         docs = after
+
+
+STAGE_ROWS = [
+    (1, "a b c d e f", "x"), (1, "g h i j k l", "x"), (2, "a b c d e f", None), (3, None, "x"), (4, "", "x"),
+    (None, "a b c d e f", "x"), (None, None, None), (5, "m n o p q r", "x"), (5, "m n o p q r", "x"),
+]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+@pytest.mark.parametrize("n", [0, len(STAGE_ROWS)])
+def test_pipeline_stages_on_odd_rows(spark, name, stage, n):
+    """Nulls, repeated ids, copies and extra columns; and an empty table."""
+    frame = spark.createDataFrame(STAGE_ROWS[:n], "doc_id long, text string, lang string")
+    frame = frame.withColumns({c: F.lit(7) for c in ("source", "bits", "label", "keep_id", "ids", "round_trip")})
+    docs = stored(frame)
+    found = stage(spark, docs, SMALL)
+    rows = sorted([(r["doc_id"], r["lang"]) for r in found.collect()], key=str)
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert set(found.columns) == {"doc_id", "lang", "source", "ids", "n_tokens", "round_trip"}
+        assert all(r["round_trip"] is True for r in found.collect())
+    else:
+        assert found.columns == docs.columns
+    want = [(i, lang) for i, _, lang in STAGE_ROWS[:n]]
+    if name == "exact dedup" and n:
+        # of the copies with an id the largest stays; (1, "g ...") is no copy; no id, no drop
+        want = [(1, "x"), (2, None), (4, "x"), (None, "x"), (None, None), (5, "x"), (5, "x")]
+    if name == "n-gram Jaccard join" and n:
+        want.remove((2, None))
+    assert rows == sorted(want, key=str)
