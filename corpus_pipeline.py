@@ -5,7 +5,9 @@ Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and retur
 DataFrame that is written as Parquet and read again as the next stage's ``docs``.  All but
 the last keep the columns of ``documents``, extra ones included.  Rows without an id cannot
 be named, so only the toxicity and decontamination stages, which judge rows by
-themselves, ever drop them.
+themselves, ever drop them.  Null and empty texts are copies of each other, have no pieces
+and are otherwise clean; an empty table stays empty; an id that several rows share names
+a row together with its text.
 """
 
 from __future__ import annotations
@@ -29,9 +31,13 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, keeps the document with the smallest id."""
-    found = jaccard.near_duplicates(docs)
-    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """Of each component of near copies, keeps the document with the smallest id.
+
+    Where rows with different texts share an id and one of them stays, all of them do.
+    """
+    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
+    lost = jaccard.near_duplicates(docs).groupBy("doc_id").agg(stays).where("not stays")
+    return without_ids(docs, lost.select("doc_id"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
