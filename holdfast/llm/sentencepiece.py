@@ -39,9 +39,9 @@ from holdfast.llm.words import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # A task keeps the pieces of the words it has met, up to this many.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 @dataclass
@@ -200,14 +200,18 @@ class Encoder:
         if len(self.words) > KEPT_WORDS:
             self.blank()
         new = words - self.words.keys()
-        cut = {w: [MARK + w] if self.plain.fullmatch(w) else self.pieces_of(w) for w in new}
-        strings = sorted({s for parts in cut.values() for s in parts if isinstance(s, str)})
-        solved = dict(zip(strings, self.solve(strings), strict=True))
-        for word, parts in cut.items():
-            self.words[word] = len(self.bounds) - 1
-            for part in parts:
-                self.flat.extend(solved[part] if isinstance(part, str) else part)
-            self.bounds.append(len(self.flat))
+        plain = {w for w in new if self.plain.fullmatch(w)}
+        odd = {w: self.pieces_of(w) for w in new - plain}
+        inner = {s for parts in odd.values() for s in parts if isinstance(s, str)}
+        solved = {}
+        strings = sorted({MARK + w for w in plain} | inner)
+        for text, ids in zip(strings, self.solve(strings), strict=True):
+            if text in inner:
+                solved[text] = ids
+            if text[0] == MARK and text[1:] in plain:
+                self._store(text[1:], ids)
+        for word, parts in odd.items():
+            self._store(word, [i for part in parts for i in (solved[part] if isinstance(part, str) else part)])
 
     def pieces_of(self, word: str) -> list:
         """Runs of known characters, and the byte pieces of the others."""
