@@ -30,6 +30,8 @@ HASH_DIGITS = 13  # hexadecimal, so 52 bits
 BATCH_ROWS = 8192
 # With at most so many tasks their counts and sums go to the driver as they are.
 DIRECT_PARTITIONS = 64
+# The passes join small neighbouring partitions of the kept rows to tasks of about so many rows.
+TASK_ROWS = 32_768
 
 
 @dataclass(frozen=True)
@@ -98,9 +100,12 @@ def _matrices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndar
 
 
 def tallies(
-    points: DataFrame, features: Sequence[str], centres: dict[int, np.ndarray]
+    points: DataFrame, features: Sequence[str], centres: dict[int, np.ndarray], direct: bool = False
 ) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Per cluster count: rows, sums and summed squares of each cluster under ``centres``."""
+    """Per cluster count: rows, sums and summed squares of each cluster under ``centres``.
+
+    ``direct`` sends the rows of each task to the driver without adding them up first.
+    """
     width = len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +128,7 @@ def tallies(
 
     schema = "k bigint, label bigint, n bigint, squares double, " + ", ".join(f"s{j} bigint" for j in range(width))
     parts = points.select(*features).mapInArrow(run, schema)
-    if points.rdd.getNumPartitions() > DIRECT_PARTITIONS:
+    if not direct:
         parts = parts.groupBy("k", "label").agg(
             F.sum("n").alias("n"), F.sum("squares").alias("squares"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)]
         )
@@ -139,7 +144,7 @@ def tallies(
 
 
 def lloyd(
-    points: DataFrame, features: Sequence[str], starts: dict[int, np.ndarray], steps: int = STEPS
+    points: DataFrame, features: Sequence[str], starts: dict[int, np.ndarray], steps: int = STEPS, direct: bool = False
 ) -> dict[int, np.ndarray]:
     """Steps until the centres hardly move, ``steps`` at most; a cluster without rows stays put."""
     done: dict[int, np.ndarray] = {}
@@ -147,7 +152,7 @@ def lloyd(
     for _ in range(steps):
         if not moving:
             break
-        for k, (n, sums, _) in tallies(points, features, moving).items():
+        for k, (n, sums, _) in tallies(points, features, moving, direct).items():
             held = n > 0
             after = moving[k].copy()
             after[held] = sums[held] / n[held, None].astype(float)
@@ -158,13 +163,15 @@ def lloyd(
     return done | moving
 
 
-def silhouettes(points: DataFrame, features: Sequence[str], centres: dict[int, np.ndarray]) -> dict[int, float]:
+def silhouettes(
+    points: DataFrame, features: Sequence[str], centres: dict[int, np.ndarray], direct: bool = False
+) -> dict[int, float]:
     """Mean silhouette (squared distances) per cluster count, from cluster moments.
 
     The mean squared distance of a row to a cluster follows from the cluster's count, sum and
     sum of squares, so no pair of rows is ever met.  Rows that are alone in a cluster count 0.
     """
-    moments = tallies(points, features, centres)
+    moments = tallies(points, features, centres, direct)
     width = len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,16 +204,19 @@ def fit(
 ) -> tuple[dict[int, Centres], dict[int, float]]:
     """Centres per cluster count, and their silhouettes if asked for.
 
-    The grid points are kept, on disk where memory is short, while the steps read them.
+    The grid points are kept, on disk where memory is short, while the steps read them.  A step
+    has as many tasks as its rows are worth, however many partitions the table came in.
     """
     ks = sorted(set(ks))
-    points = df.select(key, *[on_grid(name).alias(name) for name in features]).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.select(key, *[on_grid(name).alias(name) for name in features]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        points = kept.coalesce(max(1, -(-kept.count() // TASK_ROWS)))
+        direct = points.rdd.getNumPartitions() <= DIRECT_PARTITIONS
         found = seeds(points, features, ks[-1], seed, key)
         starts = {k: np.array(found[:k]) for k in ks if found}
-        centres = lloyd(points, features, starts, steps)
-        measured = silhouettes(points, features, centres) if scores and centres else {}
+        centres = lloyd(points, features, starts, steps, direct)
+        measured = silhouettes(points, features, centres, direct) if scores and centres else {}
     finally:
-        points.unpersist()
+        kept.unpersist()
     made = {k: Centres(tuple(features), tuple(map(tuple, centres[k].tolist())) if k in centres else ()) for k in ks}
     return made, measured

@@ -125,3 +125,20 @@ def test_heatmap_cells_keep_unobserved_months(spark):
         ("2020-01-01", 0, 1.0), ("2020-01-01", 2, 0.5), ("2020-02-01", 0, 1.0), ("2020-02-01", 2, None)
     ]
     assert cohorts.heatmap_cells(cohorts.cohort_heatmap(kept.limit(0))).count() == 0
+
+
+def test_steps_have_tasks_by_rows_not_by_partitions(spark):
+    group = "clustering-tasks"
+    df = frame(spark, blobs()).repartition(60).cache()
+    df.count()
+    spark.sparkContext.setJobGroup(group, "tasks of a fit")
+    try:
+        made, scores = clustering.fit(df, COLS, [2, 3], 42, "customer_unique_id", scores=True)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        df.unpersist()
+    assert len(made[3].values) == 3 and scores[3] > scores[2]
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    tasks = [tracker.getStageInfo(s).numCompletedTasks for s in stages]
+    assert sum(n for n in tasks if n >= 60) <= 120, tasks  # the rows are laid out once
