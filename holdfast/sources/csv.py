@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from holdfast.sources.contracts import FREE_TEXT, RAW, schema_of
-from holdfast.sources.records import csv_records
+from holdfast.sources.records import records_and_heads
 
 BYTE_ORDER_MARK = "\ufeff"
 
@@ -43,8 +43,7 @@ def read_csv(spark: SparkSession, table: str, path: str | list[str]) -> DataFram
 
 def _free_text(spark: SparkSession, path: str | list[str], schema: StructType, header: list[str]) -> DataFrame:
     """The rows of files with line breaks inside quotes; every file's header is compared."""
-    records = csv_records(spark, path)
-    heads = [r["record"] for r in records.where("first").select("record").distinct().limit(50).collect()]
+    records, heads = records_and_heads(spark, path)
     names = [name.removeprefix(BYTE_ORDER_MARK).strip() for name in header]
     for head in heads:
         found = next(csv.reader([head.removeprefix(BYTE_ORDER_MARK).rstrip("\r")]), [])

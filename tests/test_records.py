@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,3 +117,60 @@ def test_states_compose_along_a_file():
         for line in lines[:cut]:
             state = records.state_after(line, state)
         assert not broken and found["f", 100][0] == state
+
+
+@given(st.lists(st.text('",\t \ra', max_size=9), min_size=1, max_size=6), st.integers(0, 2))
+@settings(max_examples=500, deadline=None)
+def test_states_of_a_batch_are_those_line_by_line(lines, before):
+    batch = pa.array(['"x'] * before + lines + ['y"'], pa.large_string()).slice(before, len(lines))
+    after, fixed = records.line_states(batch)
+    for state in (records.OUTSIDE, records.INSIDE):
+        expected, at = [], state
+        for line in lines:
+            at = records.state_after(line, at)
+            expected.append(at)
+        assert [int(a) if f else int(a) ^ state for a, f in zip(after, fixed, strict=True)] == expected
+
+
+@pytest.mark.parametrize(("size", "piece"), [("300", 4096), ("700", 4096), ("300", 40), ("37", 4096)])
+def test_records_over_split_ends(spark, tmp_path, monkeypatch, size, piece):
+    """Ends of records that come with the states, long ones, and records over whole splits."""
+    monkeypatch.setattr(records, "PIECE_BYTES", piece)
+    path = tmp_path / "order_reviews.csv"
+    review_file(path, 60, "\n", 5)
+    expected = whole(spark, str(path))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = csv_source.read_csv(spark, "order_reviews", str(path))
+        assert sorted(map(repr, found.collect())) == expected
+        firsts = records.csv_records(spark, str(path)).where("first").select("record").collect()
+        assert [r["record"] for r in firsts] == [path.read_text(encoding="utf-8").split("\n")[0]]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_lines_go_to_python_twice(spark, tmp_path, monkeypatch):
+    """Once for the states and once for the records, however the headers are compared."""
+    path = tmp_path / "order_reviews.csv"
+    review_file(path, 60, "\n", 5)
+    passes, lines = [], records._lines
+
+    def counted(*args):
+        rows = lines(*args)
+        send = rows.mapInArrow
+        monkeypatch.setattr(rows, "mapInArrow", lambda *a: passes.append(1) or send(*a), raising=False)
+        return rows
+
+    monkeypatch.setattr(records, "_lines", counted)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = csv_source.read_csv(spark, "order_reviews", str(path))
+        plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert plan.count("MapInArrow") == 1 and len(passes) == 2
+        assert found.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
