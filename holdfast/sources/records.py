@@ -108,26 +108,25 @@ def _joined(lines: list[pa.Array]) -> str:
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Each line behind the start and file of its split and a line break: one text goes to Python
+    at half the cost of three columns.  The file is written as a URL, so it has no line breaks."""
     rows = spark.read.option("lineSep", "\n").text(path)
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
-    )
+    start, file = F.col("_metadata.file_block_start").cast("string"), F.col("_metadata.file_path")
+    return rows.select(F.concat(start, F.lit(" "), file, F.lit("\n"), "value").alias("line"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int], pa.Array]]:
     """Consecutive lines of one split, batch by batch."""
     for batch in batches:
-        count = batch.num_rows
-        if not count:
-            continue
-        files, starts, values = batch.columns
-        changes = pc.or_(
-            *[pc.not_equal(column.slice(1), column.slice(0, count - 1)) for column in (files, starts)]
-        ).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(changes) + 1).tolist(), count]
-        values = values.cast(pa.large_string())
-        for at, end in zip(cuts, cuts[1:], strict=False):
-            yield (files[at].as_py(), starts[at].as_py()), values.slice(at, end - at)
+        left = batch.column(0).cast(pa.large_binary())
+        while len(left):
+            prefix = left[0].as_py().partition(b"\n")[0]
+            start, _, file = prefix.decode().partition(" ")
+            same = pc.starts_with(left, prefix + b"\n")
+            mixed = not pc.all(same).as_py()
+            lines = pc.binary_replace_slice(left.filter(same) if mixed else left, 0, len(prefix) + 1, b"")
+            yield (file, int(start)), lines.view(pa.large_string())
+            left = left.filter(pc.invert(same)) if mixed else left.slice(len(left))
 
 
 class _Piece:
